@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +33,7 @@ def from_micros(df: DataFrame, name: str, us: Column) -> Column:
 
 def span(us: int) -> Column:
     """A literal day-time interval of ``us`` microseconds."""
-    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(us / SECOND).cast("decimal(18,6)"))
+    return F.lit(timedelta(microseconds=us))
 
 
 def elapsed(start: Column, end: Column, unit: int) -> Column:

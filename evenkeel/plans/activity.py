@@ -89,22 +89,22 @@ BLOCKING = replay.Limits(spans=(("hour", 6 * clock.HOUR, 2), ("day", clock.DAY,
 def replay_sql(key: str, decision: str, keep: str = "true", block: str = "null::bigint") -> str:
     """A recursive walk over each key's rows that carries the admitted times."""
     return f"""{with_("subm").replace("with ", "with recursive ", 1)},
-    o as (select id, {key} as key, created_at, epoch_us(created_at) as at,
+    o as (select id, {key} as key, created_at, epoch_us(created_at) as us,
                  row_number() over (partition by {key} order by created_at, id) as n from subm),
     f as (
-      select id, key, created_at, n, 'admitted' as decision, [at] as times, {block.format(times="[at]", at="at")} as until
+      select id, key, created_at, n, 'admitted' as decision, [us] as times, {block.format(times="[us]", at="us")} as until
       from o where n = 1
       union all
       select id, key, created_at, n, decision,
-             case when decision = 'admitted' then list_append(times, at) else times end,
+             case when decision = 'admitted' then list_append(times, us) else times end,
              case when decision = 'admitted'
-                  then coalesce({block.format(times="list_append(times, at)", at="at")}, until) else until end
-      from (select o.id, o.key, o.created_at, o.n, o.at, f.times, f.until, {decision} as decision
+                  then coalesce({block.format(times="list_append(times, us)", at="us")}, until) else until end
+      from (select o.id, o.key, o.created_at, o.n, o.us, f.times, f.until, {decision} as decision
             from f join o on o.key = f.key and o.n = f.n + 1))
     select id, key as session_id, created_at, decision from f where {keep}"""
 
 
-def _within(hours: float, times: str = "f.times", at: str = "o.at") -> str:
+def _within(hours: float, times: str = "f.times", at: str = "o.us") -> str:
     return f"len(list_filter({times}, lambda x: x > {at} - {int(hours * clock.HOUR)}))"
 
 
@@ -123,7 +123,7 @@ def admission_replay(spark, sf_dir):
     "admission_replay_blocks",
     replay_sql(
         "session_id",
-        f"""case when o.at < coalesce(f.until, 0) then 'blocked' when {_within(6)} >= 2 then 'hour'
+        f"""case when o.us < coalesce(f.until, 0) then 'blocked' when {_within(6)} >= 2 then 'hour'
                  when {_within(24)} >= 3 then 'day' else 'admitted' end""",
         block=f"case when {_within(6, '{times}', '{at}')} >= 2 then {{at}} + {clock.DAY} end",
     ),

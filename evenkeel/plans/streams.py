@@ -34,7 +34,7 @@ def query(name: str, sql: str | None = None):
 def _events(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
     """The events as a stream with zoned times, followed by one closing row."""
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = feeds.file_stream(spark, f"{sf_dir}/events.parquet", schema)
+    events = feeds.file_stream(spark, f"{sf_dir}/events.parquet*", schema)
     last = spark.createDataFrame([(-1, -1, "closing", CLOSING)], "event_id long, user_id long, event_type string, ts string")
     last.withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{path}/closing")
     columns = "event_id long, user_id long, event_type string, ts timestamp_ntz"
@@ -85,7 +85,7 @@ def stream_diff(spark, sf_dir):
 def stream_static_diff(spark, sf_dir):
     source = relation(spark, sf_dir, "src")
     schema = spark.table("orders").schema
-    orders = feeds.file_stream(spark, f"{sf_dir}/orders.parquet", schema)
+    orders = feeds.file_stream(spark, f"{sf_dir}/orders.parquet*", schema)
     status = F.when(F.col("o_orderkey") % 41 == 0, "X").otherwise(F.col("o_orderstatus"))
     price = F.when(F.col("o_orderkey") % 31 == 0, F.col("o_totalprice") + 0.5).otherwise(F.col("o_totalprice"))
     target = orders.where(F.col("o_orderkey") % 97 != 0).select(
@@ -141,7 +141,7 @@ def activity_sessions(spark, sf_dir):
 
 def _submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = feeds.file_stream(spark, f"{sf_dir}/events.parquet", schema)
+    events = feeds.file_stream(spark, f"{sf_dir}/events.parquet*", schema)
     kind = F.when(F.col("event_type") == "error", "bug").when(F.col("event_type") == "signup", "feature")
     return events.select(
         F.col("event_id").alias("id"),

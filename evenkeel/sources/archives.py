@@ -38,7 +38,7 @@ def _rows(path: str, archive: zipfile.ZipFile, name: str) -> Iterator[pd.DataFra
         reader = csv.DictReader(io.TextIOWrapper(raw, encoding="utf-8-sig", newline=""))
         held: list[tuple] = []
         for number, row in enumerate(reader, 1):
-            held.append((path, name, number, [(k, v) for k, v in row.items() if k is not None]))
+            held.append((path, name, number, {k: v for k, v in row.items() if k is not None}))
             if len(held) == _BATCH:
                 yield pd.DataFrame(held, columns=["archive", "member", "row_number", "row"])
                 held = []

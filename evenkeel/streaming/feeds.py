@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -156,9 +156,8 @@ class ProgressListener(StreamingQueryListener):
         pass
 
 
-def file_stream(
-    spark: SparkSession, path: str | Sequence[str], schema, files_per_batch: int | None = None
-) -> DataFrame:
+def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
+    """A Parquet folder, or a pattern of files, as a stream."""
     reader = spark.readStream.schema(schema)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)

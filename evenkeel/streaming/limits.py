@@ -32,16 +32,16 @@ class AdmissionProcessor(StatefulProcessor):
         self.block = handle.getValueState("block", "until bigint", keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["_at", "_tie"], kind="stable")
+        batch = pd.concat(list(rows)).sort_values(["at_us", "row_tie"], kind="stable")
         times = list(self.times.get()[0]) if self.times.exists() else []
         until = self.block.get()[0] if self.block.exists() else None
         state = Admissions(self.limits, times, until)
-        number = state.decide(batch["_at"].to_numpy())
+        number = state.decide(batch["at_us"].to_numpy())
         self.times.update(([int(t) for t in state.times],))
         if state.blocked_until is not None:
             self.block.update((int(state.blocked_until),))
         out = {n: [k] * len(batch) for n, k in zip(self.key_names, key)}
-        yield pd.DataFrame({**out, "_tie": batch["_tie"].to_numpy(), "_at": batch["_at"].to_numpy(), "_number": number})
+        yield pd.DataFrame({**out, "row_tie": batch["row_tie"].to_numpy(), "at_us": batch["at_us"].to_numpy(), "number": number})
 
     def close(self) -> None:
         pass
@@ -54,9 +54,9 @@ def stream_limits(df: DataFrame, keys: Sequence[str], ts: str, tie: str, limits:
     time get the same decisions.
     """
     keys = list(keys)
-    narrow = df.select(*keys, F.col(tie).alias("_tie"), clock.micros(df, ts).alias("_at"))
+    narrow = df.select(*keys, F.col(tie).alias("row_tie"), clock.micros(df, ts).alias("at_us"))
     kinds = {f.name: f.dataType.simpleString() for f in narrow.schema.fields}
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"_tie {kinds['_tie']}", "_at bigint", "_number bigint"])
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"row_tie {kinds['row_tie']}", "at_us bigint", "number bigint"])
     decided = narrow.groupBy(*keys).transformWithStateInPandas(
         statefulProcessor=AdmissionProcessor(limits, keys),
         outputStructType=schema,
@@ -65,7 +65,7 @@ def stream_limits(df: DataFrame, keys: Sequence[str], ts: str, tie: str, limits:
     )
     labels = F.array(F.lit("admitted"), *[F.lit(n) for n in limits.names])
     return decided.select(
-        *keys, F.col("_tie").alias(tie), F.col("_at").alias("at_us"), labels[F.col("_number")].alias("decision")
+        *keys, F.col("row_tie").alias(tie), "at_us", labels[F.col("number")].alias("decision")
     )
 
 
