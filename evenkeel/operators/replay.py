@@ -95,7 +95,8 @@ class Admissions:
         return out
 
 
-def _reason(limits: Limits, number: Column) -> Column:
+def reason(limits: Limits, number: Column) -> Column:
+    """The label of a reason number."""
     labels = F.array(F.lit(ADMITTED), *[F.lit(n) for n in limits.names])
     return labels[number]
 
@@ -136,7 +137,7 @@ def _decided(rows: DataFrame, keys: list[str], limits: Limits, hot_rows: int) ->
 
 def _labelled(rows: DataFrame, keys, ts: str, tie: str, limits: Limits) -> DataFrame:
     return rows.select(
-        *keys, F.col("_tie").alias(tie), F.col("_ts").alias(ts), _reason(limits, F.col("_number")).alias("decision")
+        *keys, F.col("_tie").alias(tie), F.col("_ts").alias(ts), reason(limits, F.col("_number")).alias("decision")
     )
 
 

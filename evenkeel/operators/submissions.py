@@ -34,7 +34,9 @@ REQUIRED = {
 STRUCTURE_WORDS = ("steps to reproduce", "expected", "actual", "should be", "currently")
 EXAMPLE_WORDS = ("example", "for instance", "specifically", "when i")
 STEPS = r"1\.|2\.|step 1|step 2|\n-|\n\*"
-LONG_LOWERCASE = r"(?U)\b[a-z][a-z\s]{30,}[.!?]"
+# A lower-case word start, 30 or more lower-case letters and blanks, then a full
+# stop. Only the first word start of such a run can match, so each run is read once.
+LONG_LOWERCASE = r"(?U)(?<![a-z\s])(?>[a-z\s]*?\b[a-z])[a-z\s]{30,}+[.!?]"
 # Where the score starts, what each finding adds, and the bands.
 START, VAGUE, DETAILS, GRAMMAR, SIGNAL = 7, -2, -3, -1, 2
 GOOD_SCORE, FAIR_SCORE = 7, 4

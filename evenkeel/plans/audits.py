@@ -129,7 +129,7 @@ PLANS = f"""
 @query(
     "plan_audit",
     f"""{with_("plog")}, {PLANS}
-    select id, round(sec, 6) as estimated_time_sec, r as estimated_rows, cost as estimated_cost,
+    select id, sec as estimated_time_sec, r as estimated_rows, cost as estimated_cost,
            scan as has_full_table_scan, array_to_string(advice, '|') as recommendations,
            case when sec > 300 then 'excessive' when sec > 180 then 'high' when sec > 60 then 'medium' else 'low' end
              as cost_level, sec <= 300 as is_acceptable
@@ -137,12 +137,7 @@ PLANS = f"""
 )
 def plan_audit(spark, sf_dir):
     rows = planaudit.audit_plans(relation(spark, sf_dir, "plog")).drop("engine", "plan")
-    return rows.withColumns(
-        {
-            "recommendations": F.array_join("recommendations", "|"),
-            "estimated_time_sec": F.round("estimated_time_sec", 6),
-        }
-    )
+    return rows.withColumn("recommendations", F.array_join("recommendations", "|"))
 
 
 @query(
@@ -229,8 +224,7 @@ def quality_score(spark, sf_dir):
 
 
 def _whole(words) -> str:
-    return f"""len(list_filter({_listed(words)},
-        lambda w: regexp_matches(low, '(^|[^\\pL\\pN_])' || w || '([^\\pL\\pN_]|$)')))"""
+    return f"len(list_intersect(regexp_extract_all(low, '[\\pL\\pN_]+'), {_listed(words)}))"
 
 
 RELEVANT = f"""

@@ -7,65 +7,52 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from evenkeel.functions import clock
-from evenkeel.operators.replay import Admissions, Limits
+from evenkeel.operators.replay import Admissions, Limits, reason
 
-
-class AdmissionProcessor(StatefulProcessor):
-    """Keeps a key's latest admission times and block end between micro-batches.
-
-    State per key is bounded by the limits and expires after the longest span. The
-    rows of a key in one micro-batch are ordered by time; size batches with
-    ``maxFilesPerTrigger`` or ``maxBytesPerTrigger``.
-    """
-
-    def __init__(self, limits: Limits, key_names: Sequence[str]):
-        self.limits = limits
-        self.key_names = list(key_names)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        widest = max([w for _, w, _ in self.limits.spans] + [self.limits.block_span])
-        keep_ms = 2 * widest // 1000
-        self.times = handle.getValueState("times", "at array<bigint>", keep_ms)
-        self.block = handle.getValueState("block", "until bigint", keep_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["at_us", "row_tie"], kind="stable")
-        times = list(self.times.get()[0]) if self.times.exists() else []
-        until = self.block.get()[0] if self.block.exists() else None
-        state = Admissions(self.limits, times, until)
-        number = state.decide(batch["at_us"].to_numpy())
-        self.times.update(([int(t) for t in state.times],))
-        if state.blocked_until is not None:
-            self.block.update((int(state.blocked_until),))
-        out = {n: [k] * len(batch) for n, k in zip(self.key_names, key)}
-        yield pd.DataFrame({**out, "row_tie": batch["row_tie"].to_numpy(), "at_us": batch["at_us"].to_numpy(), "number": number})
-
-    def close(self) -> None:
-        pass
+_STATE = "times array<bigint>, until bigint"
 
 
 def stream_limits(df: DataFrame, keys: Sequence[str], ts: str, tie: str, limits: Limits) -> DataFrame:
     """Keys, tie, time in microseconds and ``decision`` for a stream of submissions.
 
-    The state is the same as in the batch replay, so rows that arrive in order of
-    time get the same decisions.
+    The state of a key (its latest admissions, at most as many as the limits ask
+    for, and the end of its block) is the same as in the batch replay, so rows that
+    arrive in order of time get the same decisions. Rows of a key within one
+    micro-batch are put in order of time; a stream that reads with
+    ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` bounds how many that can be.
+    The state goes once a key was silent for twice the longest span.
     """
     keys = list(keys)
     narrow = df.select(*keys, F.col(tie).alias("row_tie"), clock.micros(df, ts).alias("at_us"))
     kinds = {f.name: f.dataType.simpleString() for f in narrow.schema.fields}
-    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), f"row_tie {kinds['row_tie']}", "at_us bigint", "number bigint"])
-    decided = narrow.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=AdmissionProcessor(limits, keys),
-        outputStructType=schema,
-        outputMode="append",
-        timeMode="ProcessingTime",
+    widest = max([w for _, w, _ in limits.spans] + [limits.block_span if limits.block_at else 0])
+    keep_ms = 2 * widest // 1000
+
+    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        rows = pd.concat([b[["row_tie", "at_us"]] for b in batches])
+        rows = rows.sort_values(["at_us", "row_tie"], kind="stable")
+        times, until = state.get if state.exists else ((), None)
+        seen = Admissions(limits, times, until)
+        number = seen.decide(rows["at_us"].to_numpy())
+        state.update(([int(t) for t in seen.times], None if seen.blocked_until is None else int(seen.blocked_until)))
+        state.setTimeoutDuration(keep_ms)
+        yield pd.DataFrame(
+            {**{n: [k] * len(rows) for n, k in zip(keys, key)}, "row_tie": rows["row_tie"].to_numpy(),
+             "at_us": rows["at_us"].to_numpy(), "number": number}
+        )
+
+    schema = [*(f"`{k}` {kinds[k]}" for k in keys), f"row_tie {kinds['row_tie']}", "at_us bigint", "number bigint"]
+    decided = narrow.groupBy(*keys).applyInPandasWithState(
+        decide, ", ".join(schema), _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
     )
-    labels = F.array(F.lit("admitted"), *[F.lit(n) for n in limits.names])
     return decided.select(
-        *keys, F.col("row_tie").alias(tie), "at_us", labels[F.col("number")].alias("decision")
+        *keys, F.col("row_tie").alias(tie), "at_us", reason(limits, F.col("number")).alias("decision")
     )
 
 
