@@ -15,7 +15,9 @@ from evenkeel.operators.replay import Admissions, Limits, reason
 _STATE = "times array<bigint>, until bigint"
 
 
-def stream_limits(df: DataFrame, keys: Sequence[str], ts: str, tie: str, limits: Limits) -> DataFrame:
+def stream_limits(
+    df: DataFrame, keys: Sequence[str], ts: str, tie: str, limits: Limits, delay: str = "1 day"
+) -> DataFrame:
     """Keys, tie, time in microseconds and ``decision`` for a stream of submissions.
 
     The state of a key (its latest admissions, at most as many as the limits ask
@@ -23,13 +25,18 @@ def stream_limits(df: DataFrame, keys: Sequence[str], ts: str, tie: str, limits:
     arrive in order of time get the same decisions. Rows of a key within one
     micro-batch are put in order of time; a stream that reads with
     ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` bounds how many that can be.
-    The state goes once a key was silent for twice the longest span.
+    The state goes once the watermark is the longest span past a key's last row;
+    rows more than ``delay`` late are dropped.
     """
     keys = list(keys)
-    narrow = df.select(*keys, F.col(tie).alias("row_tie"), clock.micros(df, ts).alias("at_us"))
+    narrow = df.select(
+        *keys,
+        F.col(tie).alias("row_tie"),
+        clock.micros(df, ts).alias("at_us"),
+        F.col(ts).cast("timestamp").alias("event_time"),
+    ).withWatermark("event_time", delay)
     kinds = {f.name: f.dataType.simpleString() for f in narrow.schema.fields}
     widest = max([w for _, w, _ in limits.spans] + [limits.block_span if limits.block_at else 0])
-    keep_ms = 2 * widest // 1000
 
     def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -41,7 +48,8 @@ def stream_limits(df: DataFrame, keys: Sequence[str], ts: str, tie: str, limits:
         seen = Admissions(limits, times, until)
         number = seen.decide(rows["at_us"].to_numpy())
         state.update(([int(t) for t in seen.times], None if seen.blocked_until is None else int(seen.blocked_until)))
-        state.setTimeoutDuration(keep_ms)
+        idle_at = (int(rows["at_us"].iloc[-1]) + widest) // 1000
+        state.setTimeoutTimestamp(max(idle_at, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(
             {**{n: [k] * len(rows) for n, k in zip(keys, key)}, "row_tie": rows["row_tie"].to_numpy(),
              "at_us": rows["at_us"].to_numpy(), "number": number}
@@ -49,7 +57,7 @@ def stream_limits(df: DataFrame, keys: Sequence[str], ts: str, tie: str, limits:
 
     schema = [*(f"`{k}` {kinds[k]}" for k in keys), f"row_tie {kinds['row_tie']}", "at_us bigint", "number bigint"]
     decided = narrow.groupBy(*keys).applyInPandasWithState(
-        decide, ", ".join(schema), _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout
+        decide, ", ".join(schema), _STATE, "append", GroupStateTimeout.EventTimeTimeout
     )
     return decided.select(
         *keys, F.col("row_tie").alias(tie), "at_us", reason(limits, F.col("number")).alias("decision")
