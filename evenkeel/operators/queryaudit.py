@@ -38,8 +38,8 @@ def _query_type(upper: Column) -> Column:
 
 def _keywords_found(upper: Column) -> Column:
     """Violations for whole-word keywords, in the order of the list."""
-    found = F.array_distinct(F.regexp_extract_all(upper, F.lit(_WORD), F.lit(1)))
-    ordered = F.filter(F.array(*[F.lit(k) for k in DANGEROUS]), lambda k: F.array_contains(found, k))
+    found = F.regexp_extract_all(upper, F.lit(_WORD), F.lit(1))
+    ordered = F.array_intersect(F.array(*[F.lit(k) for k in DANGEROUS]), found)
     return F.transform(ordered, lambda k: F.concat(F.lit("Dangerous keyword '"), k, F.lit("' detected")))
 
 
