@@ -55,7 +55,10 @@ class HistoryStore:
         self.append(table, df, _TIME[table])
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self._path(name))
+        reader = self.spark.read
+        if name in SCHEMAS:
+            reader = reader.schema(f"{SCHEMAS[name]}, run_date date")
+        return reader.parquet(self._path(name))
 
     def create_session(self, session_id: str, at: datetime, **fields: object) -> None:
         self._append_rows("sessions", [{"session_id": session_id, "created_at": at, **fields}])
