@@ -196,10 +196,17 @@ def missing_in_source(source: DataFrame, target: DataFrame, spec: CompareSpec) -
 
 
 def _missing(rows: DataFrame, other: DataFrame, spec: CompareSpec) -> DataFrame:
+    """Rows without a partner.
+
+    The other side's keys are made distinct first, so a key it repeats very often
+    is one row. They are grouped as a struct, which makes the join shuffle them
+    once more: only then can adaptive execution split a hot key among ``rows``.
+    """
     keys = list(spec.keys)
+    there = other.select(F.struct(*keys).alias("_key")).distinct().select("_key.*")
     if not spec.null_safe_keys:
-        return rows.join(other.select(*keys), keys, "left_anti")
-    a, b = rows.alias("a"), other.select(*keys).alias("b")
+        return rows.join(there, keys, "left_anti")
+    a, b = rows.alias("a"), there.alias("b")
     return a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "left_anti")
 
 

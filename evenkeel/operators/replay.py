@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from evenkeel.functions import clock
 from evenkeel.operators.keys import any_null
 from evenkeel.operators.rowindex import HOT_ROWS
-from evenkeel.operators.running import Fold, running
+from evenkeel.operators.running import Fold, fitted_chunk, running
 from evenkeel.session import pinned
 
 ADMITTED = "admitted"
@@ -234,7 +234,8 @@ def _hot_decisions(busy: DataFrame, marks: DataFrame, keys: Sequence[str], limit
     folds = {f"_m{i}": Fold("max", n) for i, n in enumerate(names)}
     # A mark sorts after the admitted row it comes from and before the next row.
     rows = busy.withColumn("_mark", F.lit(0)).unionByName(marks.withColumn("_mark", F.lit(1)), allowMissingColumns=True)
-    seen = running(rows, keys, "_at", folds, after=["_tie", "_mark"], chunk=clock.HOUR).where(F.col("_mark") == 0)
+    chunk = fitted_chunk(busy, keys, F.col("_at"), widest=clock.HOUR)
+    seen = running(rows, keys, "_at", folds, after=["_tie", "_mark"], chunk=chunk).where(F.col("_mark") == 0)
     number = F.lit(0)
     for i in reversed(range(len(names))):
         number = F.when(F.col(f"_m{i}") > F.col("_at"), F.lit(i + 1)).otherwise(number)

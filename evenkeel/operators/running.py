@@ -18,6 +18,27 @@ from evenkeel.functions import clock
 _FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
 
 
+# What one task should hold of one key.
+CHUNK_ROWS = 1_000_000
+
+
+def fitted_chunk(
+    df: DataFrame, keys: Sequence[str], at: Column, widest: int = clock.DAY, rows: int = CHUNK_ROWS
+) -> int:
+    """A chunk width at which no key has more than ``rows`` rows in a chunk.
+
+    Counted with a map-side combine; only a log with a very busy key needs a
+    second count. A second is the narrowest chunk.
+    """
+    width = widest
+    while True:
+        sizes = df.groupBy(*keys, F.floor(at / width).alias("_chunk")).agg(F.count("*").alias("_n"))
+        most = sizes.agg(F.max("_n")).first()[0] or 0
+        if most <= rows or width <= clock.SECOND:
+            return width
+        width = max(clock.SECOND, width * rows // most)
+
+
 @dataclass(frozen=True)
 class Fold:
     """A running ``kind`` ('sum', 'max', 'min') over column ``over``."""

@@ -7,8 +7,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.functions import text
+from evenkeel.functions import clock, text
 from evenkeel.operators import activity
+from evenkeel.operators.running import fitted_chunk
 
 # Length bounds and spam rules.
 TITLE_MIN, TITLE_MAX = 5, 200
@@ -193,11 +194,11 @@ def staged(
     limits = limits or {}
     session = limits.get("session", (activity.SESSION_PER_HOUR, activity.SESSION_PER_DAY))
     client = limits.get("client", (activity.CLIENT_PER_HOUR, activity.CLIENT_PER_DAY))
+    df = df.withColumn("content_hash", text.content_hash(F.col("title"), F.col("description")))
+    copies = ["session_id", "content_hash"]
+    chunk = fitted_chunk(df, copies, clock.micros(df, ts))
     rows = activity.rate_limits(df, ts=ts, session_limits=session, client_limits=client)
-    rows = rows.withColumn(
-        "content_hash", text.content_hash(F.col("title"), F.col("description"))
-    )
-    rows = activity.duplicates_within(rows, ts=ts)
+    rows = activity.duplicates_within(rows, copies, ts=ts, chunk=chunk)
     rows = quality(relevance(validate(rows)))
     limited = (
         F.col("over_session_1h") | F.col("over_session_24h") | F.col("over_client_1h") | F.col("over_client_24h")

@@ -10,7 +10,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from evenkeel.functions import clock
-from evenkeel.operators import activity, replay
+from evenkeel.operators import activity, replay, running
 
 quick = partial(settings, deadline=None, max_examples=2, suppress_health_check=list(HealthCheck))
 START = datetime(2024, 1, 1)
@@ -111,6 +111,15 @@ def test_block_ends_are_exclusive(spark):
     assert got == {0: False, 1: False, 2: True, 3: True, 4: False}
 
 
+def test_chunks_fit_the_busiest_key(spark):
+    df = spark.range(1000).selectExpr("if(id % 3 = 0, 'hot', cast(id as string)) as k", f"id * {clock.MINUTE} as at")
+    assert running.fitted_chunk(df, ["k"], df["at"]) == clock.DAY
+    width = running.fitted_chunk(df, ["k"], df["at"], rows=50)
+    assert width < clock.DAY
+    sizes = df.where("k = 'hot'").groupBy((df["at"] / width).cast("long")).count()
+    assert max(r["count"] for r in sizes.collect()) <= 50
+
+
 def test_wait_minutes(spark):
     _, df = log(spark, [0, 10, 59, 61], keys=1)
     got = {r["id"]: r["wait_minutes"] for r in activity.wait_minutes(df).collect()}

@@ -175,6 +175,15 @@ def test_unknown_columns_are_named(spark):
         diff.keyed_diff(df, df, CompareSpec(keys=("nope",)))
 
 
+def test_missing_rows_keep_their_copies(spark):
+    a = frame(spark, [(1, "x", 1.0)] * 3 + [(2, "y", 1.0), (None, "n", 1.0)])
+    b = frame(spark, [(2, "z", 1.0)] * 4 + [(None, "m", 1.0)])
+    plain = diff.missing_in_target(a, b, K).collect()
+    assert Counter(r["k"] for r in plain) == {1: 3, None: 1}
+    safe = diff.missing_in_target(a, b, CompareSpec(keys=("k",), null_safe_keys=True)).collect()
+    assert Counter(r["k"] for r in safe) == {1: 3}
+
+
 def test_composite_key_and_missing_rows(spark):
     a = spark.createDataFrame([(1, 1, "x"), (1, 2, "y")], "year int, month int, v string")
     b = spark.createDataFrame([(1, 1, "x"), (2, 2, "y")], "year int, month int, v string")
