@@ -8,7 +8,7 @@ before the latest release are rejected, the first row after it is admitted.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -142,12 +142,35 @@ def _labelled(rows: DataFrame, keys, ts: str, tie: str, limits: Limits) -> DataF
 
 
 def _fold(rows: DataFrame, keys: Sequence[str], limits: Limits) -> DataFrame:
-    def one_key(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["_at", "_tie"], kind="stable")
-        return pdf.assign(_number=Admissions(limits).decide(pdf["_at"].to_numpy()))
+    """Decide row by row over sorted partitions.
+
+    Spark sorts (and spills); Python sees one Arrow batch at a time and carries the
+    state of the key that runs over a batch's end.
+    """
+    keys = list(keys)
+
+    def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, Admissions(limits)
+        for rows in batches:
+            at = rows["_at"].to_numpy()
+            values = [rows[k].to_numpy() for k in keys]
+            turns = np.zeros(max(len(at) - 1, 0), dtype=bool)
+            for column in values:
+                turns |= column[1:] != column[:-1]
+            starts = [0, *(np.flatnonzero(turns) + 1).tolist(), len(at)]
+            number = np.zeros(len(at), dtype=np.int64)
+            for start, end in zip(starts, starts[1:]):
+                if start == end:
+                    continue
+                key = tuple(column[start] for column in values)
+                if key != current:
+                    current, state = key, Admissions(limits)
+                number[start:end] = state.decide(at[start:end])
+            yield rows.assign(_number=number)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.groupBy(*keys).applyInPandas(one_key, f"{schema}, _number bigint")
+    placed = rows.repartition(*keys).sortWithinPartitions(*keys, "_at", "_tie")
+    return placed.mapInPandas(decide, f"{schema}, _number bigint")
 
 
 def _hot_admissions(busy: DataFrame, keys: Sequence[str], limits: Limits) -> DataFrame:

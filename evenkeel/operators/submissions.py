@@ -34,7 +34,7 @@ REQUIRED = {
 # Signals that raise the quality score.
 STRUCTURE_WORDS = ("steps to reproduce", "expected", "actual", "should be", "currently")
 EXAMPLE_WORDS = ("example", "for instance", "specifically", "when i")
-STEPS = r"1\.|2\.|step 1|step 2|\n-|\n\*"
+STEP_MARKS = ("1.", "2.", "step 1", "step 2", "\n-", "\n*")
 # A lower-case word start, 30 or more lower-case letters and blanks, then a full
 # stop. Only the first word start of such a run can match, so each run is read once.
 LONG_LOWERCASE = r"(?U)(?<![a-z\s])(?>[a-z\s]*?\b[a-z])[a-z\s]{30,}+[.!?]"
@@ -122,7 +122,7 @@ def quality(
         + add(uncapitalised, GRAMMAR)
         + add(unbroken, GRAMMAR)
         + add(text.any_contained(low, STRUCTURE_WORDS), SIGNAL)
-        + add(body.rlike(STEPS), SIGNAL)
+        + add(text.any_contained(body, STEP_MARKS), SIGNAL)
         + add(text.any_contained(low, EXAMPLE_WORDS), SIGNAL)
     )
     listed = F.array_join(missing, ", ")
