@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions import clock
 from evenkeel.operators.keys import any_null
-from evenkeel.operators.rowindex import HOT_ROWS
 from evenkeel.operators.running import Fold, fitted_chunk, running
 from evenkeel.session import pinned
 
+# A key with more rows than this is not folded in one task. Folding reads narrow
+# rows batch by batch, so it stays cheaper than the rounds for quite long keys.
+HOT_ROWS = 10_000_000
+
 ADMITTED = "admitted"
 BLOCKED = "blocked"
 
@@ -112,8 +115,8 @@ def replay(
     """Keys, tie, time and ``decision`` ('admitted' or the first limit that rejects).
 
     Rows of a key are taken in order of time and tie. A key of up to ``hot_rows``
-    rows is folded in one task, on its times alone. Larger keys never meet in one
-    task: see ``_hot_admissions``. Rows without a key have no quota to use up.
+    rows is folded in one task, on its times alone. The rows of a larger key never
+    meet in one task: see ``_hot_admissions``. Rows without a key have no quota to use up.
     """
     keys = list(keys)
     every = df.select(*keys, F.col(tie).alias("_tie"), F.col(ts).alias("_ts"), clock.micros(df, ts).alias("_at"))
