@@ -156,9 +156,16 @@ class ProgressListener(StreamingQueryListener):
         pass
 
 
-def file_stream(spark: SparkSession, path: str, schema, files_per_batch: int | None = None) -> DataFrame:
-    """A Parquet folder, or a pattern of files, as a stream."""
+def file_stream(
+    spark: SparkSession, path: str, schema, files_per_batch: int | None = None, bytes_per_batch: str | None = None
+) -> DataFrame:
+    """A Parquet folder, or a pattern of files, as a stream.
+
+    Files come in the order they were written; the two limits bound a micro-batch.
+    """
     reader = spark.readStream.schema(schema)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if bytes_per_batch is not None:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
     return reader.parquet(path)
