@@ -211,20 +211,25 @@ def mixed_texts(docs: DataFrame, **settings: int) -> DataFrame:
     runs = mix.groupBy("doc_id", "key", "size", "copy", "pass").agg(
         F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("start", "n"))).alias("runs")
     )
-    parts = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    parts = F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     count = F.coalesce(F.size(words(F.col("text"))), F.lit(0)).cast("long")
-    rows = docs.withColumns({"_key": _key(F.col("source")), "_size": count, "_id": F.col("doc_id").cast("long")})
-    same = [rows["_key"] == runs["key"], rows["_size"] == runs["size"]]
-    if not sizes.where("copies > 1").isEmpty():  # number rows that share id, source and size
-        alike = Window.partitionBy("_id", "_key", "_size").orderBy("text")
-        rows = rows.withColumn("_copy", F.row_number().over(alike).cast("long"))
-        same = [rows["_key"] == runs["key"], rows["_size"] == runs["size"], rows["_copy"] == runs["copy"]]
-    found = rows.join(runs, [rows["_id"].eqNullSafe(runs["doc_id"]), *same]).select(
-        *(rows[c] for c in docs.columns), runs["n"].alias("_n"), runs["size"].alias("_all"), runs["runs"].alias("_runs")
+    rows = docs.select(
+        F.struct("*").alias("row"),
+        _key(F.col("source")).alias("key"),
+        count.alias("size"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.lit(1).cast("long").alias("copy"),
     )
+    if not sizes.where("copies > 1").isEmpty():  # number rows that share id, source and size
+        alike = Window.partitionBy("doc_id", "key", "size").orderBy("row.text")
+        rows = rows.withColumn("copy", F.row_number().over(alike).cast("long"))
+    same = [rows["doc_id"].eqNullSafe(runs["doc_id"]), *(rows[c] == runs[c] for c in ("key", "size", "copy"))]
     cut = F.array_join(
-        F.flatten(F.transform("_runs", lambda r: F.slice(parts, (r["start"] + 1).cast("int"), r["n"].cast("int")))), ""
+        F.flatten(F.transform(runs["runs"], lambda r: F.slice(parts, (r["start"] + 1).cast("int"), r["n"].cast("int")))), ""
     )
-    texts = found.withColumn("text", F.when(F.col("_n") == F.col("_all"), F.col("text")).otherwise(cut))
-    texts = texts.withColumn("n_chars", F.length("text").cast("long"))
-    return texts.select(*docs.columns)
+    text = F.when(runs["n"] == runs["size"], F.col("row.text")).otherwise(cut)
+    row = F.col("row").withField("text", text)
+    found = rows.join(runs, same).select(row.alias("row"))
+    if "n_chars" in docs.columns:
+        found = found.select(F.col("row").withField("n_chars", F.length("row.text").cast("long")).alias("row"))
+    return found.select("row.*")

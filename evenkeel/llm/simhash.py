@@ -119,7 +119,8 @@ def _second(bits: Column, signature: Column) -> Column:
 
 
 def _linked(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= bits
+    # of a negative number numpy counts the bits of its absolute value
+    return np.bitwise_count((a ^ b).view(np.uint64)) <= bits
 
 
 def forest(values: np.ndarray, bits: int = BITS) -> list[tuple[int, int]]:
@@ -252,24 +253,28 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> D
     Rows that share a group and a doc_id leave one row as well.
     """
 
+    mark = "_simhash"
+    while mark.lower() in map(str.lower, docs.columns):
+        mark += "_"
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             parts = [fingerprints(texts[lo:hi], shingle) for lo, hi in chunks([t or "" for t in texts])]
             bits_of = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-            yield batch.append_column("_simhash", pa.array(bits_of.view(np.int64)))
+            yield batch.append_column(mark, pa.array(bits_of.view(np.int64)))
 
-    schema = StructType([*docs.schema.fields, StructField("_simhash", LongType())])
+    schema = StructType([*docs.schema.fields, StructField(mark, LongType())])
     marked = pinned(docs.mapInArrow(each, schema))
-    prints = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_simhash").alias("simhash"))
+    prints = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(mark).alias("simhash"))
     groups = near_duplicates(prints, bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     chosen = groups.groupBy("root").agg(F.min(F.struct("doc_id", "simhash")).alias("one")).select("one.*")
-    same = [marked["doc_id"].eqNullSafe(chosen["doc_id"]), marked["_simhash"] == chosen["simhash"]]
+    same = [marked["doc_id"].eqNullSafe(chosen["doc_id"]), marked[mark] == chosen["simhash"]]
     rows = marked.join(chosen, same, "left_semi")
     repeated = prints.groupBy("doc_id", "simhash").count().where("count > 1")
     if not repeated.isEmpty():  # only then are texts moved once more
-        rows = rows.dropDuplicates(["doc_id", "_simhash"])
-    return rows.drop("_simhash")
+        rows = rows.dropDuplicates(["doc_id", mark])
+    return rows.drop(mark)
 
 
 def hexed(bits: Column) -> Column:
