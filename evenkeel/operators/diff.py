@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.operators.keys import any_null
-from evenkeel.operators.normalize import compare_columns, normalized
+from evenkeel.operators.normalize import compare_columns, folded, normalized
 from evenkeel.operators.rowindex import with_ordinal, with_row_index
 from evenkeel.spec import (
     DUPLICATE_KEY,
@@ -22,6 +22,7 @@ from evenkeel.spec import (
 )
 
 SIDES = ("source", "target")
+_LONE = "_lone"
 
 
 @dataclass(frozen=True)
@@ -54,80 +55,109 @@ class Paired:
         )
 
 
-def _collapsed(df: DataFrame, keys: Sequence[str], columns: Sequence[str], side: str) -> DataFrame:
+def collapsed(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], side: str, carry: Sequence[str] = ()
+) -> DataFrame:
     """One row per key: how many rows it has, and their values when it is one.
 
-    Map-side combine folds a repeated key before the shuffle, so neither a key
-    with very many rows nor a join fan-out can arise. The later join reuses this
-    partitioning and adds no shuffle.
+    Columns to ``carry`` are kept for repeated keys too: the smallest value of the
+    key's rows. Map-side combine folds a repeated key before the shuffle, so neither
+    a key with very many rows nor a join fan-out can arise. The later join reuses
+    this partitioning and adds no shuffle.
     """
     grouped = df.groupBy(*keys).agg(
         F.count("*").alias(f"n_{side}"),
         *[F.first(c).alias(f"_{side}_{c}") for c in columns],
+        *[F.min(c).alias(f"{side}_{c}") for c in carry],
     )
     single = F.col(f"n_{side}") == 1
     return grouped.select(
         *keys,
         f"n_{side}",
         *[F.when(single, F.col(f"_{side}_{c}")).alias(f"{side}_{c}") for c in columns],
+        *[f"{side}_{c}" for c in carry],
     )
 
 
-def _one_each(df: DataFrame, keys: Sequence[str], columns: Sequence[str], side: str) -> DataFrame:
+def _one_each(
+    df: DataFrame, keys: Sequence[str], columns: Sequence[str], side: str, carry: Sequence[str]
+) -> DataFrame:
     """Rows that are alone under their key already."""
     return df.select(
         *keys,
         F.lit(1).cast("long").alias(f"n_{side}"),
-        *[F.col(c).alias(f"{side}_{c}") for c in columns],
+        *[F.col(c).alias(f"{side}_{c}") for c in (*columns, *carry)],
     )
 
 
+def _digests(sides: Sequence[DataFrame], keys: Sequence[str], columns: Sequence[str], carry: Sequence[str]):
+    """Both sides with one hash per row over the compared values.
+
+    Values are hashed in the type both sides can be widened to, each with a mark
+    that tells NULL from a value: a hash alone skips NULLs, and hashes an int
+    unlike the equal long.
+    """
+    common = sides[0].select(*columns).limit(0).unionByName(sides[1].select(*columns).limit(0)).schema
+    cells = [x for c in columns for x in (F.col(c).isNull(), F.col(c).cast(common[c].dataType))]
+    return [df.select(*keys, F.xxhash64(*cells).alias("digest"), *carry) for df in sides]
+
+
 def pair(
-    source: DataFrame, target: DataFrame, spec: CompareSpec, how: str = "full_outer", unique: bool = False
+    source: DataFrame,
+    target: DataFrame,
+    spec: CompareSpec,
+    how: str = "full_outer",
+    unique: bool = False,
+    carry: Sequence[str] = (),
 ) -> Paired:
     """Bring both sides together by key; ``how`` is 'full_outer' or 'inner'.
 
-    Under plain ``=`` rows with a NULL key match nothing: they skip the shuffle
-    and are added as unmatched rows of their side. ``unique`` is for keys that
-    cannot repeat, such as a row number.
+    Under plain ``=`` rows with a NULL key match nothing. Each gets a number of its
+    own, so they neither meet nor fill one partition, and come out as unmatched rows
+    of their side from the same pass as all others. ``unique`` is for keys that
+    cannot repeat, such as a row number. ``carry`` names columns that are not
+    compared but come along as ``source_<c>``/``target_<c>``.
     """
     if not spec.keys:
         raise ValueError("a keyed compare needs keys; use multiset_diff or positional_diff without")
     columns = compare_columns(source, target, spec)
-    keys = list(spec.keys)
-    sides = [normalized(df, columns, spec) for df in (source, target)]
+    keys, carry = list(spec.keys), list(carry)
+    sides = [normalized(df, [*columns, *carry], spec) for df in (source, target)]
     if not spec.exact and columns:
-        sides = [df.select(*keys, F.xxhash64(*columns).alias("digest")) for df in sides]
+        sides = _digests(sides, keys, columns, carry)
         columns = ["digest"]
     nullable = any(f.nullable for df in sides for f in df.schema.fields if f.name in keys)
     lone = []
-    if nullable and not spec.null_safe_keys:
-        lone = [_one_each(df.where(any_null(keys)), keys, columns, s) for s, df in zip(SIDES, sides)]
-        sides = [df.where(~any_null(keys)) for df in sides]
+    if nullable and not spec.null_safe_keys and not unique:
+        own = F.when(any_null(keys), F.monotonically_increasing_id() + 1).otherwise(0)
+        sides = [df.withColumn(_LONE, own) for df in sides]
+        lone = [_LONE]
 
     if spec.duplicates == "ordinal":
-        sides = [with_ordinal(df, keys) for df in sides]
+        sides = [with_ordinal(df, [*keys, *lone]) for df in sides]
         keys = [*keys, "ordinal"]
         unique = True
-    prepare = _one_each if unique else _collapsed
+    prepare = _one_each if unique else collapsed
     if spec.null_safe_keys:
         # A struct of keys is never NULL itself, so plain equality on it is
         # null-safe and the join can reuse the aggregation's partitioning.
         packed = [df.withColumn("_key", F.struct(*keys)).drop(*keys) for df in sides]
-        a, b = (prepare(df, ["_key"], columns, s) for s, df in zip(SIDES, packed))
+        a, b = (prepare(df, ["_key"], columns, s, carry) for s, df in zip(SIDES, packed))
         rows = a.join(b, "_key", how).select("_key.*", *[c for c in (*a.columns, *b.columns) if c != "_key"])
     else:
-        a, b = (prepare(df, keys, columns, s) for s, df in zip(SIDES, sides))
-        rows = a.join(b, keys, how)
-        for extra in lone if how == "full_outer" else []:
-            rows = rows.unionByName(extra, allowMissingColumns=True)
+        a, b = (prepare(df, [*keys, *lone], columns, s, carry) for s, df in zip(SIDES, sides))
+        rows = a.join(b, [*keys, *lone], how).drop(*lone)
     zero = F.lit(0).cast("long")
     rows = rows.withColumns({f"n_{s}": F.coalesce(F.col(f"n_{s}"), zero) for s in SIDES})
     return Paired(rows, spec, columns, keys)
 
 
 def keyed_diff(source: DataFrame, target: DataFrame, spec: CompareSpec) -> DataFrame:
-    """Every key with its row status, row counts and both sides' values."""
+    """Every key with its row status, row counts and both sides' values.
+
+    A side has values where the key has exactly one row there; its row count tells
+    a repeated key (NULL values, count above 1) from an absent one (count 0).
+    """
     paired = pair(source, target, spec)
     return paired.rows.withColumn("row_status", paired.status())
 
@@ -139,11 +169,24 @@ def row_statuses(source: DataFrame, target: DataFrame, spec: CompareSpec) -> Dat
 
 
 def wide_diff(source: DataFrame, target: DataFrame, spec: CompareSpec) -> DataFrame:
-    """Keys that differ or lack a side, with values and a difference type per column."""
+    """Keys that differ or lack a side, with row counts, values and a difference type per column.
+
+    The type says which side lacks the row, or compares both values where each side
+    has exactly one row; a repeated key has no single value to compare: NULL.
+    """
     paired = pair(source, target, replace(spec, exact=True))
-    kinds = [_column_status(paired, c).alias(f"{c}_diff_type") for c in paired.columns]
+
+    def kind(name: str) -> Column:
+        return (
+            F.when(F.col("n_source") == 0, "MISSING_SOURCE")
+            .when(F.col("n_target") == 0, "MISSING_TARGET")
+            .when(paired.both(), _column_status(paired, name))
+        )
+
+    kinds = [kind(c).alias(f"{c}_diff_type") for c in paired.columns]
     values = [f"{s}_{c}" for c in paired.columns for s in SIDES]
-    rows = paired.rows.select(*paired.keys, *values, *kinds, paired.status().alias("row_status"))
+    counts = [f"n_{s}" for s in SIDES]
+    rows = paired.rows.select(*paired.keys, *counts, *values, *kinds, paired.status().alias("row_status"))
     return rows.where(F.col("row_status") != MATCH)
 
 
@@ -158,10 +201,8 @@ def _column_status(paired: Paired, name: str) -> Column:
 
 
 def as_text(df: DataFrame, name: str) -> Column:
-    """A compared value as text; doubles print as plain decimals."""
-    kind = df.schema[name].dataType.simpleString()
-    c = F.col(name)
-    return c.cast("decimal(38,6)").cast("string") if kind in ("double", "float") else c.cast("string")
+    """A compared value as text; a double as the shortest text that reads back to it."""
+    return F.col(name).cast("string")
 
 
 def value_diff(source: DataFrame, target: DataFrame, spec: CompareSpec) -> DataFrame:
@@ -203,11 +244,10 @@ def _missing(rows: DataFrame, other: DataFrame, spec: CompareSpec) -> DataFrame:
     once more: only then can adaptive execution split a hot key among ``rows``.
     """
     keys = list(spec.keys)
-    there = other.select(F.struct(*keys).alias("_key")).distinct().select("_key.*")
-    if not spec.null_safe_keys:
-        return rows.join(there, keys, "left_anti")
-    a, b = rows.alias("a"), there.alias("b")
-    return a.join(b, [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys], "left_anti")
+    there = other.select(F.struct(*[folded(other, k, spec) for k in keys]).alias("_key")).distinct().select("_key.*")
+    there = there.toDF(*[f"_there_{k}" for k in keys])
+    same = Column.eqNullSafe if spec.null_safe_keys else Column.__eq__
+    return rows.join(there, [same(folded(rows, k, spec), F.col(f"_there_{k}")) for k in keys], "left_anti")
 
 
 def missing_rows(source: DataFrame, target: DataFrame, spec: CompareSpec) -> DataFrame:

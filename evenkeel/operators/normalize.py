@@ -41,17 +41,17 @@ def compare_columns(source: DataFrame, target: DataFrame, spec: CompareSpec) ->
 
 
 def normalized(df: DataFrame, columns: Iterable[str], spec: CompareSpec) -> DataFrame:
-    """Keys and compared columns only, with strings trimmed and folded as asked."""
-    kinds = {f.name: f.dataType for f in df.schema.fields}
+    """Keys and compared columns only, with strings (of keys too) trimmed and folded as asked."""
+    return df.select(*[folded(df, c, spec) for c in (*spec.keys, *columns)])
 
-    def value(name: str) -> Column:
-        c = F.col(name)
-        if isinstance(kinds[name], T.StringType):
-            c = F.trim(c) if spec.trim else c
-            c = c if spec.case_sensitive else F.lower(c)
-        return c.alias(name)
 
-    return df.select(*spec.keys, *[value(c) for c in columns])
+def folded(df: DataFrame, name: str, spec: CompareSpec) -> Column:
+    """A column as it is compared: trimmed and folded if it is text and the spec asks for it."""
+    c = F.col(name)
+    if isinstance(df.schema[name].dataType, T.StringType):
+        c = F.trim(c) if spec.trim else c
+        c = c if spec.case_sensitive else F.lower(c)
+    return c.alias(name)
 
 
 def canonical_date(c: Column, pattern: str, out: str = "yyyy-MM-dd") -> Column:

@@ -13,17 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions import clock
 from evenkeel.operators.keys import any_null
-from evenkeel.operators.running import Fold, fitted_chunk, running
-from evenkeel.session import pinned
-
-# A key with more rows than this is not folded in one task. Folding reads narrow
-# rows batch by batch, so it stays cheaper than the rounds for quite long keys.
-HOT_ROWS = 10_000_000
 
 ADMITTED = "admitted"
 BLOCKED = "blocked"
@@ -104,38 +98,19 @@ def reason(limits: Limits, number: Column) -> Column:
     return labels[number]
 
 
-def replay(
-    df: DataFrame,
-    keys: Sequence[str],
-    ts: str,
-    tie: str,
-    limits: Limits,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
+def replay(df: DataFrame, keys: Sequence[str], ts: str, tie: str, limits: Limits) -> DataFrame:
     """Keys, tie, time and ``decision`` ('admitted' or the first limit that rejects).
 
-    Rows of a key are taken in order of time and tie. A key of up to ``hot_rows``
-    rows is folded in one task, on its times alone. The rows of a larger key never
-    meet in one task: see ``_hot_admissions``. Rows without a key have no quota to use up.
+    Rows of a key are taken in order of time and tie. Each decision rests on all
+    earlier ones of its key, so a key is one stream through one task: Spark sorts
+    (and spills) its times and ties, Python sees one Arrow batch of them at a time,
+    and memory does not grow with the key. Rows without a key have no quota to use up.
     """
     keys = list(keys)
     every = df.select(*keys, F.col(tie).alias("_tie"), F.col(ts).alias("_ts"), clock.micros(df, ts).alias("_at"))
     free = every.where(any_null(keys)).withColumn("_number", F.lit(0).cast("long"))
     rows = every.where(~any_null(keys))
-    return _labelled(_decided(rows, keys, limits, hot_rows).unionByName(free), keys, ts, tie, limits)
-
-
-def _decided(rows: DataFrame, keys: list[str], limits: Limits, hot_rows: int) -> DataFrame:
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    hot = sizes.where(F.col("_n") > hot_rows).select(*keys)
-    if hot.isEmpty():
-        return _fold(rows, keys, limits)
-    hot = pinned(hot)
-    usual = _fold(rows.join(hot, keys, "left_anti"), keys, limits)
-    # Sorted by time, so that a stretch of time is a few row groups of the files.
-    busy = pinned(rows.join(hot, keys, "left_semi").repartitionByRange("_at").sortWithinPartitions("_at"))
-    marks = _hot_admissions(busy, keys, limits)
-    return usual.unionByName(_hot_decisions(busy, marks, keys, limits))
+    return _labelled(_fold(rows, keys, limits).unionByName(free), keys, ts, tie, limits)
 
 
 def _labelled(rows: DataFrame, keys, ts: str, tie: str, limits: Limits) -> DataFrame:
@@ -174,95 +149,3 @@ def _fold(rows: DataFrame, keys: Sequence[str], limits: Limits) -> DataFrame:
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     placed = rows.repartition(*keys).sortWithinPartitions(*keys, "_at", "_tie")
     return placed.mapInPandas(decide, f"{schema}, _number bigint")
-
-
-def _hot_admissions(busy: DataFrame, keys: Sequence[str], limits: Limits) -> DataFrame:
-    """The admissions of very large keys, found stretch by stretch.
-
-    In a stretch no longer than the shortest span every release is known when the
-    stretch begins, and between two releases only the first few rows can be
-    admitted. So executors pick those few rows per (key, stretch, release); the
-    driver keeps one short state per hot key (at most rows/hot_rows of them) and
-    decides on the picked rows. Each round advances every hot key past the time
-    its limits are exhausted, so rounds follow admissions, not rows.
-    """
-    spark = busy.sparkSession
-    width = limits.shortest
-    few = min(most for _, _, most in limits.spans)
-    stretch = F.floor(F.col("_at") / width)
-    index = pinned(
-        busy.groupBy(*keys, stretch.alias("_stretch")).agg(F.min("_at").alias("_lo"), F.max("_at").alias("_hi"))
-    )
-    kinds = {f.name: f.dataType.simpleString() for f in busy.schema.fields}
-    key_schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys)
-    states: dict[tuple, Admissions] = {}
-    cursors = {tuple(r): None for r in busy.select(*keys).distinct().collect()}
-    found: list[tuple] = []
-
-    while cursors:
-        at_least = [(*k, c if c is not None else -(2**62)) for k, c in cursors.items()]
-        wanted = spark.createDataFrame(at_least, f"{key_schema}, _from bigint")
-        ahead = (
-            index.join(F.broadcast(wanted), list(keys))
-            .where(F.col("_hi") >= F.col("_from"))
-            .groupBy(*keys)
-            .agg(F.min(F.greatest("_lo", "_from")).alias("_start"))
-        )
-        starts = {tuple(r[:-1]): r[-1] for r in ahead.collect()}
-        cursors = {k: s for k, s in starts.items()}
-        if not cursors:
-            break
-        plan = []
-        for k, start in cursors.items():
-            state = states.setdefault(k, Admissions(limits))
-            known = {t + w for t in state.times for _, w, _ in limits.spans}
-            if state.blocked_until is not None:
-                known.add(state.blocked_until)
-            plan.append((*k, start, sorted(r for r in known if start < r < start + width)))
-        look = spark.createDataFrame(plan, f"{key_schema}, _start bigint, _releases array<bigint>")
-        near = (
-            busy.where(
-                (F.col("_at") >= min(cursors.values())) & (F.col("_at") < max(cursors.values()) + width)
-            )
-            .join(F.broadcast(look), list(keys))
-            .where((F.col("_at") >= F.col("_start")) & (F.col("_at") < F.col("_start") + width))
-            .withColumn("_piece", F.size(F.filter("_releases", lambda r: r <= F.col("_at"))))
-        )
-        first = Window.partitionBy(*keys, "_piece").orderBy("_at", "_tie")
-        picked = (
-            near.withColumn("_rank", F.row_number().over(first))
-            .where(F.col("_rank") <= few)
-            .select(*keys, "_at", "_tie")
-            .collect()
-        )
-        by_key: dict[tuple, list[tuple]] = {}
-        for row in picked:
-            by_key.setdefault(tuple(row[: len(keys)]), []).append((row["_at"], row["_tie"]))
-        for k, start in cursors.items():
-            state = states[k]
-            for at, tie in sorted(by_key.get(k, [])):
-                if all(r is None or at >= r for r in state.releases()):
-                    state.admit(at)
-                    found.append((*k, at, tie, *state.releases()))
-            held = [r for r in state.releases() if r is not None]
-            cursors[k] = max([start + width, *held])
-
-    columns = ", ".join(f"_r{i} bigint" for i in range(len(limits.names)))
-    return spark.createDataFrame(found, f"{key_schema}, _at bigint, _tie {kinds['_tie']}, {columns}")
-
-
-def _hot_decisions(busy: DataFrame, marks: DataFrame, keys: Sequence[str], limits: Limits) -> DataFrame:
-    """Label rows by the releases their key has set before them.
-
-    Releases never move back, so the latest is a running maximum.
-    """
-    names = [f"_r{i}" for i in range(len(limits.names))]
-    folds = {f"_m{i}": Fold("max", n) for i, n in enumerate(names)}
-    # A mark sorts after the admitted row it comes from and before the next row.
-    rows = busy.withColumn("_mark", F.lit(0)).unionByName(marks.withColumn("_mark", F.lit(1)), allowMissingColumns=True)
-    chunk = fitted_chunk(busy, keys, F.col("_at"), widest=clock.HOUR)
-    seen = running(rows, keys, "_at", folds, after=["_tie", "_mark"], chunk=chunk).where(F.col("_mark") == 0)
-    number = F.lit(0)
-    for i in reversed(range(len(names))):
-        number = F.when(F.col(f"_m{i}") > F.col("_at"), F.lit(i + 1)).otherwise(number)
-    return seen.select(*busy.columns, number.cast("long").alias("_number"))

@@ -73,13 +73,12 @@ def summary(source: DataFrame, target: DataFrame, spec: CompareSpec) -> DataFram
 def summary_by(source: DataFrame, target: DataFrame, spec: CompareSpec, segment: str) -> DataFrame:
     """One summary per value of ``segment``, which may differ between the sides.
 
-    A key belongs to the segment its source row has, else to the target's.
+    A key belongs to the segment of its source rows, else to that of its target rows;
+    of a repeated key whose rows differ in it, to the smallest.
     """
     sides = [df.withColumn("_segment", F.col(segment)) for df in (source, target)]
-    columns = [*diff.compare_columns(source, target, spec), "_segment"]
-    anything = {**spec.comparators, "_segment": lambda a, b: F.lit(True)}
-    by_segment = replace(spec, columns=tuple(columns), comparators=anything, exact=True)
-    paired = diff.pair(sides[0], sides[1], by_segment)
+    columns = diff.compare_columns(source, target, spec)
+    paired = diff.pair(sides[0], sides[1], replace(spec, columns=tuple(columns)), carry=["_segment"])
     rows = paired.rows.select(
         F.coalesce("source__segment", "target__segment").alias("segment"),
         "n_source",
@@ -91,7 +90,7 @@ def summary_by(source: DataFrame, target: DataFrame, spec: CompareSpec, segment:
 
 def mismatches_by_column(source: DataFrame, target: DataFrame, spec: CompareSpec) -> DataFrame:
     """Differing values per column, most first; one conditional count per column."""
-    paired = diff.pair(source, target, spec, how="inner")
+    paired = diff.pair(source, target, replace(spec, exact=True), how="inner")
     counted = paired.rows.agg(
         *[F.count_if(paired.both() & ~paired.equal(c)).alias(c) for c in paired.columns]
     )

@@ -12,9 +12,6 @@ from evenkeel.session import pinned
 # monotonically_increasing_id() is (partition << 33) + row in partition.
 _ROW_BITS = 33
 
-# A key with more rows than this on one side is numbered across partitions.
-HOT_ROWS = 1_000_000
-
 
 def with_row_index(df: DataFrame, order: Sequence[str], name: str = "row_number") -> DataFrame:
     """Number all rows from 1 in the order of ``order``, then of all other columns.
@@ -48,34 +45,15 @@ def with_row_index(df: DataFrame, order: Sequence[str], name: str = "row_number"
     )
 
 
-def with_ordinal(
-    df: DataFrame, keys: Sequence[str], name: str = "ordinal", hot_rows: int = HOT_ROWS
-) -> DataFrame:
-    """Number the rows of each key from 1, ordered by all columns.
+def with_ordinal(df: DataFrame, keys: Sequence[str], name: str = "ordinal") -> DataFrame:
+    """Number the rows of each key from 1, ordered by all other columns.
 
-    Usual keys are numbered by a window. Keys above ``hot_rows`` (counted first,
-    with a map-side combine; at most rows/hot_rows of them exist) are numbered by
-    the global index minus the first index of the key, which no single task holds.
+    The number is the global index less the first index of the key, so no task
+    holds a key, however many rows it has. Keys meet as a struct, which makes NULL
+    keys meet as well.
     """
     keys = list(keys)
-    rest = [c for c in df.columns if c not in keys]
-    hot = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > hot_rows).select(*keys)
-
-    def by_window(rows: DataFrame) -> DataFrame:
-        w = Window.partitionBy(*keys).orderBy(*(rest or keys))
-        return rows.withColumn(name, F.row_number().over(w).cast("long"))
-
-    if hot.isEmpty():
-        return by_window(df)
-    hot = pinned(hot)
-    a, b = df.alias("a"), hot.alias("b")
-    on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
-    usual = by_window(a.join(b, on, "left_anti"))
-    indexed = pinned(with_row_index(a.join(b, on, "left_semi"), keys, "_index"))
-    firsts = indexed.groupBy(*keys).agg(F.min("_index").alias("_first"))
-    c, d = indexed.alias("a"), firsts.alias("b")
-    numbered = c.join(d, on).select(
-        *[F.col(f"a.{n}").alias(n) for n in df.columns],
-        (F.col("_index") - F.col("_first") + 1).alias(name),
-    )
-    return usual.unionByName(numbered)
+    # Read twice below: written once.
+    indexed = pinned(with_row_index(df, keys, "_index").withColumn("_key", F.struct(*keys)))
+    firsts = indexed.groupBy("_key").agg(F.min("_index").alias("_first"))
+    return indexed.join(firsts, "_key").select(*df.columns, (F.col("_index") - F.col("_first") + 1).alias(name))

@@ -65,6 +65,16 @@ def keyed_diff_digest(spark, sf_dir):
     return report.summary(*_orders(spark, sf_dir), CompareSpec(keys=("o_orderkey",), exact=False))
 
 
+@query(
+    "keyed_diff_digest_nulls",
+    f"""{with_("gsrc", "gtgt")}, {oracles.statuses("gsrc", "gtgt", ["o_orderkey"], oracles.same("a", "b", "c"))}
+    select o_orderkey, n_source, n_target, row_status from j""",
+)
+def keyed_diff_digest_nulls(spark, sf_dir):
+    spec = CompareSpec(keys=("o_orderkey",), exact=False)
+    return diff.row_statuses(*relations(spark, sf_dir, "gsrc", "gtgt"), spec)
+
+
 @query(
     "keyed_diff_composite",
     oracles.summary(
@@ -156,7 +166,7 @@ def _cell(column: str, text: str) -> str:
     from src s join tgt t on s.o_orderkey = t.o_orderkey where s.{column} is distinct from t.{column}"""
 
 
-_MONEY = "cast(cast({side}.o_totalprice as decimal(38,6)) as varchar)"
+_MONEY = "cast({side}.o_totalprice as varchar)"
 VALUE_DIFF = " union all ".join(
     [
         _cell("o_custkey", "cast({side}.o_custkey as varchar)"),
@@ -184,35 +194,77 @@ def value_diff_nulls(spark, sf_dir):
     return rows.select(F.col("k").cast("string").alias("k"), "difference_type")
 
 
-def _kind(column: str) -> str:
-    return f"""case when s.{column} is not distinct from t.{column} then 'MATCH'
-        when s.{column} is null then 'MISSING_SOURCE' when t.{column} is null then 'MISSING_TARGET'
-        else 'VALUE_MISMATCH' end as {column}_diff_type"""
+def _number_text(side: str) -> str:
+    """A double as Spark prints it, for the values of the relations."""
+    x = f"{side}.num"
+    return f"""case when isnan({x}) then 'NaN' when isinf({x}) then case when {x} > 0 then 'Infinity' else '-Infinity' end
+        when {x} = 1e33 then '1.0E33' when {x} = 2e33 then '2.0E33' else cast({x} as varchar) end"""
 
 
 @query(
-    "value_diff_wide",
-    f"""{with_("src", "tgt")},
-    a as (select *, 1 as p from src), b as (select *, 1 as p from tgt),
-    w as (select coalesce(s.o_orderkey, t.o_orderkey) as o_orderkey,
-                 cast(s.o_custkey as varchar) as source_o_custkey, cast(t.o_custkey as varchar) as target_o_custkey,
-                 s.o_orderstatus as source_o_orderstatus, t.o_orderstatus as target_o_orderstatus,
-                 s.o_totalprice as source_o_totalprice, t.o_totalprice as target_o_totalprice,
-                 {_kind("o_custkey")}, {_kind("o_orderstatus")}, {_kind("o_totalprice")},
-                 case when t.p is null then 'missing_in_target' when s.p is null then 'missing_in_source'
-                      when s.o_custkey is not distinct from t.o_custkey
-                       and s.o_orderstatus is not distinct from t.o_orderstatus
-                       and s.o_totalprice is not distinct from t.o_totalprice then 'match'
-                      else 'value_mismatch' end as row_status
-          from a s full outer join b t on s.o_orderkey = t.o_orderkey)
-    select * from w where row_status <> 'match'""",
+    "value_diff_odd",
+    f"""{with_("osrc", "otgt")},
+    p as (select s.k, 'num' as column_name, {_number_text("s")} as source_value, {_number_text("t")} as target_value
+          from osrc s join otgt t on s.k = t.k where s.num is distinct from t.num
+          union all
+          select s.k, 'txt', s.txt, t.txt from osrc s join otgt t on s.k = t.k where s.txt is distinct from t.txt)
+    select k, column_name, source_value, target_value,
+           case when source_value is null then 'MISSING_SOURCE' when target_value is null then 'MISSING_TARGET'
+                else 'VALUE_MISMATCH' end as difference_type from p""",
 )
+def value_diff_odd(spark, sf_dir):
+    return diff.value_diff(*relations(spark, sf_dir, "osrc", "otgt"), CompareSpec(keys=("k",)))
+
+
+def _wide(source: str, target: str, keys: tuple[str, ...], columns: tuple[str, ...], as_text: tuple[str, ...]) -> str:
+    """The SQL of a wide diff: one row per key, values where a side has one row of it."""
+    sides = [
+        oracles.collapsed(f"{name}0", relation, keys, columns)
+        + f""", {name} as (select {", ".join(keys)}, n,
+            {", ".join(f"case when n = 1 then {c} end as {c}" for c in columns)} from {name}0)"""
+        for name, relation in (("sk", source), ("tk", target))
+    ]
+    on = " and ".join(f"s.{k} = t.{k}" for k in keys)
+    values = ", ".join(
+        f"cast({s}.{c} as varchar) as {side}_{c}" if c in as_text else f"{s}.{c} as {side}_{c}"
+        for c in columns
+        for s, side in (("s", "source"), ("t", "target"))
+    )
+    kinds = ", ".join(
+        f"""case when s.n is null then 'MISSING_SOURCE' when t.n is null then 'MISSING_TARGET'
+            when s.n > 1 or t.n > 1 then null when s.{c} is not distinct from t.{c} then 'MATCH'
+            when s.{c} is null then 'MISSING_SOURCE' when t.{c} is null then 'MISSING_TARGET'
+            else 'VALUE_MISMATCH' end as {c}_diff_type"""
+        for c in columns
+    )
+    same = " and ".join(f"s.{c} is not distinct from t.{c}" for c in columns)
+    return f"""{with_(source, target)}, {", ".join(sides)},
+    w as (select {", ".join(f"coalesce(s.{k}, t.{k}) as {k}" for k in keys)}, coalesce(s.n, 0) as n_source,
+                 coalesce(t.n, 0) as n_target, {values}, {kinds},
+                 case when t.n is null then 'missing_in_target' when s.n is null then 'missing_in_source'
+                      when s.n > 1 or t.n > 1 then 'duplicate_key' when {same} then 'match'
+                      else 'value_mismatch' end as row_status
+          from sk s full outer join tk t on {on})
+    select * from w where row_status <> 'match'"""
+
+
+@query("value_diff_wide", _wide("src", "tgt", ("o_orderkey",), VALUES, ("o_custkey",)))
 def value_diff_wide(spark, sf_dir):
     rows = diff.wide_diff(*_orders(spark, sf_dir), ORDER)
     as_text = {c: F.col(c).cast("string") for c in ("source_o_custkey", "target_o_custkey")}
     return rows.withColumns(as_text)
 
 
+@query(
+    "value_diff_wide_repeated",
+    _wide("lsrc", "ltgt", LINE.keys, ("l_partkey", "l_quantity"), ("l_partkey", "l_quantity")),
+)
+def value_diff_wide_repeated(spark, sf_dir):
+    rows = diff.wide_diff(*relations(spark, sf_dir, "lsrc", "ltgt"), LINE)
+    names = [f"{s}_{c}" for s in ("source", "target") for c in ("l_partkey", "l_quantity")]
+    return rows.withColumns({c: F.col(c).cast("string") for c in names})
+
+
 _POSITIONS = """
     s as (select *, row_number() over (order by {order}) as row_number from src),
     t as (select *, row_number() over (order by {order}) as row_number from tgt)
@@ -272,6 +324,30 @@ def diff_by_segment(spark, sf_dir):
     return report.summary_by(*_orders(spark, sf_dir), ORDER, "o_orderstatus")
 
 
+@query(
+    "diff_by_segment_repeated",
+    f"""{with_("lsrc", "ltgt")},
+    sk as (select l_orderkey, l_linenumber, count(*) as n, any_value(l_partkey) as p, any_value(l_quantity) as q,
+                  min(l_partkey % 7) as seg from lsrc group by all),
+    tk as (select l_orderkey, l_linenumber, count(*) as n, any_value(l_partkey) as p, any_value(l_quantity) as q,
+                  min(l_partkey % 7) as seg from ltgt group by all),
+    j as (select coalesce(s.seg, t.seg) as segment, coalesce(s.n, 0) as n_source, coalesce(t.n, 0) as n_target,
+                 case when t.n is null then 'missing_in_target' when s.n is null then 'missing_in_source'
+                      when s.n > 1 or t.n > 1 then 'duplicate_key'
+                      when s.p is not distinct from t.p and s.q is not distinct from t.q then 'match'
+                      else 'value_mismatch' end as row_status
+          from sk s full outer join tk t on s.l_orderkey = t.l_orderkey and s.l_linenumber = t.l_linenumber),
+    c as (select segment, {oracles.COUNTS} from j group by segment),
+    m as (select *, {oracles.SCORE} as match_score from c)
+    select segment, total_rows_source, total_rows_target, matching_rows, mismatched_rows, missing_in_target,
+           missing_in_source, duplicate_rows_source, duplicate_rows_target, {oracles.SCORED} from m""",
+)
+def diff_by_segment_repeated(spark, sf_dir):
+    sides = [df.withColumn("part", F.col("l_partkey") % 7) for df in relations(spark, sf_dir, "lsrc", "ltgt")]
+    spec = CompareSpec(keys=LINE.keys, columns=("l_partkey", "l_quantity"))
+    return report.summary_by(*sides, spec, "part")
+
+
 @query(
     "match_score",
     f"""{oracles.summary(["src", "tgt"], "src", "tgt", ["o_orderkey"], EQUAL).replace(
@@ -571,6 +647,14 @@ def csv_roundtrip_diff(spark, sf_dir):
     return report.summary(source, files.read_csv(spark, path, schema), ORDER)
 
 
+@query("csv_roundtrip_odd", oracles.summary(["osrc", "otgt"], "osrc", "otgt", ["k"], oracles.same("num", "txt")))
+def csv_roundtrip_odd(spark, sf_dir):
+    source, target = relations(spark, sf_dir, "osrc", "otgt")
+    path = files.export_csv(target, workspace(spark) + "/odd.csv")
+    back = files.read_csv(spark, path, "k long, num double, txt string", multiline=True)
+    return report.summary(source, back, CompareSpec(keys=("k",)))
+
+
 @query(
     "profile_table",
     """select count(*) as row_count, 6 as column_count,

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders handed out by ``workspace`` and not released yet.
+_made: list[str] = []
+
 _STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -35,16 +40,34 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int = 8, **conf: str)
 def workspace(spark: SparkSession) -> str:
     """A fresh folder under the cluster's shared checkpoint folder.
 
-    The cluster names that folder in ``spark.checkpoint.dir``; only where it is
-    unset (tests, a laptop) is a local temporary folder made and set.
+    The cluster names that folder in ``spark.checkpoint.dir``. Only a local master
+    may leave it unset (tests, a laptop): a temporary folder is then made, and
+    removed when Python ends. On a cluster executors could not see such a folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="evenkeel-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/evenkeel-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/evenkeel-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Remove the folders that this process has made below the shared folder.
+
+    For when the results that read them have been used. Gives how many were there.
+    """
+    jvm, conf, gone = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
 
 
 def pinned(df: DataFrame) -> DataFrame:

@@ -11,6 +11,10 @@ from pyspark.sql import types as T
 PREVIEW_DEFAULT = 10
 PREVIEW_MAX = 100
 
+_TEXT_KEPT = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+# Stands for a field without text while a file is parsed; no text file holds it.
+_NO_TEXT = "\u0000"
+
 # The fields of a document name per kind; the extension comes last.
 DOCUMENT_FIELDS = {
     "statement": ("prefix", "contract_number", "payment_date", "transform_subtype"),
@@ -28,14 +32,19 @@ def read_csv(
     sep: str = ",",
     header: bool = True,
     corrupt_column: str | None = None,
+    multiline: bool = False,
+    encoding: str = "UTF-8",
 ) -> DataFrame:
     """A CSV side. Without a schema every column is text, so compares are exact.
 
-    With ``corrupt_column`` (which the schema must name) unreadable lines are kept
-    there instead of turning into NULLs unseen.
+    Blanks are kept; an empty field is NULL and a quoted empty one is empty text.
+    ``multiline`` lets quoted fields hold line breaks, at the price that a file is
+    read by one task. With ``corrupt_column`` (which the schema must name) unreadable
+    lines are kept there instead of turning into NULLs unseen.
     """
     reader = spark.read.option("header", header).option("sep", sep).option("mode", "PERMISSIVE")
-    reader = reader.option("escape", '"').option("multiLine", False)
+    reader = reader.options(**_TEXT_KEPT).option("nullValue", _NO_TEXT).option("emptyValue", "")
+    reader = reader.option("multiLine", multiline).option("encoding", encoding)
     if corrupt_column:
         reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
     if schema is not None:
@@ -44,14 +53,23 @@ def read_csv(
 
 
 def export_csv(
-    df: DataFrame, path: str, order_by: Sequence[str] = (), limit: int | None = None, sep: str = ","
+    df: DataFrame,
+    path: str,
+    order_by: Sequence[str] = (),
+    limit: int | None = None,
+    sep: str = ",",
+    encoding: str = "UTF-8",
 ) -> str:
-    """Write ``df`` as CSV with a header per file; ``order_by`` sorts across files."""
+    """Write ``df`` as CSV with a header per file; ``order_by`` sorts across files.
+
+    Blanks are kept, NULL is an empty field, and empty text a quoted one.
+    """
     if order_by:
         df = df.orderBy(*order_by)
     if limit is not None:
         df = df.limit(limit)
-    df.write.option("header", True).option("sep", sep).option("escape", '"').csv(path)
+    writer = df.write.option("header", True).option("sep", sep).option("encoding", encoding)
+    writer.options(**_TEXT_KEPT).option("nullValue", "").option("emptyValue", '""').csv(path)
     return path
 
 
@@ -90,8 +108,10 @@ def file_sizes(df: DataFrame) -> DataFrame:
 
 
 def preview(df: DataFrame, keys: Sequence[str], n: int = PREVIEW_DEFAULT) -> DataFrame:
-    """The first ``n`` rows in key order; at most 100."""
-    return df.orderBy(*keys).limit(min(n, PREVIEW_MAX))
+    """The first ``n`` rows in key order; more than 100 are an error, not a shorter preview."""
+    if n > PREVIEW_MAX:
+        raise ValueError(f"a preview has at most {PREVIEW_MAX} rows, not {n}")
+    return df.orderBy(*keys).limit(n)
 
 
 def document_key(kind: str, **fields: Column) -> Column:

@@ -102,17 +102,18 @@ class HistoryStore:
     def remove_expired(self, as_of: datetime, days: int, out: str) -> "HistoryStore":
         """Write what the retention rule keeps to a new root and return its store.
 
-        Files being read are never overwritten; the caller switches roots.
+        Files being read are never overwritten; the caller switches roots. The audit
+        log outlives its sessions and is kept whole.
         """
         kept = HistoryStore(self.spark, out)
         gone = history.expired_sessions(self.sessions(), F.lit(as_of), days)
-        for name in ("sessions", "events", "files", "results", "mismatches"):
+        for name in ("sessions", "events", "files", "results", "mismatches", "audit"):
             try:
                 rows = self.table(name)
             except Exception as missing:  # a table nobody has written yet
                 if "PATH_NOT_FOUND" not in str(missing):
                     raise
                 continue
-            left = rows.join(gone, "session_id", "left_anti")
+            left = rows if name == "audit" else rows.join(gone, "session_id", "left_anti")
             left.write.partitionBy("run_date").parquet(kept._path(name))
         return kept

@@ -10,11 +10,18 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 from evenkeel.functions import clock
 from evenkeel.operators import diff
-from evenkeel.spec import CompareSpec
+from evenkeel.operators.normalize import folded, normalized
+from evenkeel.session import pinned
+from evenkeel.spec import MATCH, MISSING_IN_SOURCE, MISSING_IN_TARGET, VALUE_MISMATCH, CompareSpec
 
 
 def drain(df: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Process all available input of a streaming frame into Parquet and read it back."""
+    """Process all available input of a streaming frame into Parquet and read it back.
+
+    In append mode what no watermark has passed yet (open windows, unmatched rows of
+    the last stretch of time) stays in state and is not in the result; a closing row
+    with a later time, such as ``plans/streams.py`` adds, brings it out.
+    """
     query = (
         df.writeStream.outputMode(mode)
         .format("parquet")
@@ -53,52 +60,91 @@ def stream_diff(
     """Live differences between two streams of rows with key and event time.
 
     Rows pair when keys are equal and times at most ``tolerance`` microseconds
-    apart; unmatched rows follow once the watermark has passed them. Both time
-    columns must be zoned timestamps, as watermarks need.
+    apart; unmatched rows follow once the watermark has passed them. A row without
+    a time pairs with nothing and is unmatched at once. A key that repeats within
+    the tolerance pairs with each of its rows: rows of a stream cannot be counted
+    before they pair. Both time columns must be zoned timestamps, as watermarks need.
     """
+    if spec.duplicates == "ordinal" or not spec.exact:
+        raise ValueError("a stream cannot number the rows of a key or compare digests")
     keys = list(spec.keys)
     columns = [c for c in diff.compare_columns(source, target, spec) if c != ts]
     reach = clock.span(tolerance)
 
     def side(df: DataFrame, name: str) -> DataFrame:
         return df.select(
-            *[F.col(k).alias(f"{name}_{k}") for k in keys],
+            *[folded(df, c, spec).alias(f"{name}_{c}") for c in (*keys, *columns)],
             F.col(ts).alias(f"{name}_{ts}"),
-            *[F.col(c).alias(f"{name}_{c}") for c in columns],
-        ).withWatermark(f"{name}_{ts}", delay)
+            F.lit(True).alias(f"{name}_here"),
+        )
 
-    a, b = side(source, "source"), side(target, "target")
+    sides = {"source": side(source, "source"), "target": side(target, "target")}
+    timed = [df.where(F.col(f"{n}_{ts}").isNotNull()).withWatermark(f"{n}_{ts}", delay) for n, df in sides.items()]
     on = (F.col(f"target_{ts}") >= F.col(f"source_{ts}") - reach) & (
         F.col(f"target_{ts}") <= F.col(f"source_{ts}") + reach
     )
     for k in keys:
-        on = on & (F.col(f"source_{k}") == F.col(f"target_{k}"))
-    joined = a.join(b, on, "full_outer")
+        a, b = F.col(f"source_{k}"), F.col(f"target_{k}")
+        on = on & (a.eqNullSafe(b) if spec.null_safe_keys else a == b)
+    joined = timed[0].join(timed[1], on, "full_outer")
     same = F.lit(True)
     for c in columns:
         same = same & spec.equal(c, F.col(f"source_{c}"), F.col(f"target_{c}"))
     status = (
-        F.when(F.col(f"target_{ts}").isNull(), "missing_in_target")
-        .when(F.col(f"source_{ts}").isNull(), "missing_in_source")
-        .when(same, "match")
-        .otherwise("value_mismatch")
+        F.when(F.col("target_here").isNull(), MISSING_IN_TARGET)
+        .when(F.col("source_here").isNull(), MISSING_IN_SOURCE)
+        .when(same, MATCH)
+        .otherwise(VALUE_MISMATCH)
     )
-    return joined.select(
+    rows = joined.select(
         *[F.coalesce(f"source_{k}", f"target_{k}").alias(k) for k in keys],
         F.coalesce(f"source_{ts}", f"target_{ts}").alias(ts),
         status.alias("row_status"),
     )
+    for (name, df), lacks in zip(sides.items(), (MISSING_IN_TARGET, MISSING_IN_SOURCE)):
+        lone = df.where(F.col(f"{name}_{ts}").isNull())
+        rows = rows.unionByName(
+            lone.select(
+                *[F.col(f"{name}_{k}").alias(k) for k in keys],
+                F.col(f"{name}_{ts}").alias(ts),
+                F.lit(lacks).alias("row_status"),
+            )
+        )
+    return rows
 
 
 def against_source(source: DataFrame, spec: CompareSpec) -> Callable[[DataFrame], DataFrame]:
-    """For ``drain_batches``: compare each micro-batch of targets with a fixed source.
+    """For ``drain_batches``: compare each row of the micro-batches with a fixed source.
 
-    What is missing in the target is only known at the end, so it is not reported.
+    The source is grouped by key and written once; a batch then joins it as it is.
+    Every target row is judged on its own, so results do not depend on where
+    batches are cut: a key that the targets repeat gives a row for each of them,
+    and one that the source repeats is ``duplicate_key``. What is missing in the
+    target is only known at the end, so it is not reported.
     """
+    if spec.duplicates == "ordinal" or not spec.exact:
+        raise ValueError("a micro-batch cannot number the rows of a key or compare digests")
+    keys = list(spec.keys)
+    known: dict[tuple, tuple[list[str], DataFrame]] = {}
+
+    def prepared(batch: DataFrame) -> tuple[list[str], DataFrame]:
+        columns = tuple(diff.compare_columns(source, batch, spec))
+        if columns not in known:
+            rows = diff.collapsed(normalized(source, columns, spec), keys, columns, "source")
+            known[columns] = (list(columns), pinned(rows.toDF(*[f"_s_{k}" for k in keys], *rows.columns[len(keys) :])))
+        return known[columns]
 
     def each(batch: DataFrame) -> DataFrame:
-        rows = diff.keyed_diff(source, batch, spec)
-        return rows.where(F.col("n_target") > 0)
+        columns, held = prepared(batch)
+        rows = normalized(batch, columns, spec)
+        rows = rows.select(*keys, *[F.col(c).alias(f"target_{c}") for c in columns])
+        same_key = [
+            F.col(k).eqNullSafe(F.col(f"_s_{k}")) if spec.null_safe_keys else F.col(k) == F.col(f"_s_{k}") for k in keys
+        ]
+        joined = rows.join(held, same_key, "left").drop(*[f"_s_{k}" for k in keys])
+        joined = joined.withColumn("n_source", F.coalesce("n_source", F.lit(0).cast("long")))
+        paired = diff.Paired(joined.withColumn("n_target", F.lit(1).cast("long")), spec, columns, keys)
+        return paired.rows.withColumn("row_status", paired.status())
 
     return each
 

@@ -6,13 +6,14 @@ from functools import partial
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from evenkeel.operators import diff, keys, normalize, report, rowindex
 from evenkeel.spec import CompareSpec, fold_case, within
 
 SCHEMA = "k long, a string, b double"
 K = CompareSpec(keys=("k",))
-quick = partial(settings, deadline=None, max_examples=4, suppress_health_check=list(HealthCheck))
+quick = partial(settings, deadline=None, max_examples=12, suppress_health_check=list(HealthCheck))
 
 rows = st.lists(
     st.tuples(
@@ -199,11 +200,74 @@ def test_row_index_numbers_every_row_once(spark):
     assert [(r["g"], r["h"]) for r in got] == sorted((r["g"], r["h"]) for r in got)
 
 
-def test_hot_keys_get_the_same_ordinals(spark):
-    df = spark.range(400).selectExpr("case when id % 3 = 0 then 1 else id end as k", "id % 11 as v")
-    usual = rowindex.with_ordinal(df, ["k"]).collect()
-    split = rowindex.with_ordinal(df, ["k"], hot_rows=20).collect()
-    assert Counter(map(tuple, usual)) == Counter(map(tuple, split))
+def test_ordinals_of_hot_and_null_keys(spark):
+    df = spark.range(400).selectExpr("case when id % 3 = 0 then 1 when id % 5 = 0 then null else id end as k", "id % 11 as v")
+    got = rowindex.with_ordinal(df, ["k"]).collect()
+    want = Counter()
+    by_key = {}
+    for r in df.collect():
+        by_key.setdefault(r["k"], []).append(r["v"])
+    for k, values in by_key.items():
+        want.update((k, v, n) for n, v in enumerate(sorted(values), 1))
+    assert Counter(map(tuple, got)) == want
+
+
+KINDS = [None, float("nan"), float("inf"), 0.0, -0.0, 1.0, 1.0000001]
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    left=st.lists(st.tuples(st.sampled_from([None, 1, 2, 3, 4]), st.sampled_from(KINDS), st.sampled_from([None, "", " ", "x"])), max_size=8),
+    right=st.lists(st.tuples(st.sampled_from([None, 1, 2, 3, 4]), st.sampled_from(KINDS), st.sampled_from([None, "", " ", "x"])), max_size=8),
+)
+def test_digest_equals_exact_with_nulls_and_repeats(spark, left, right):
+    a = spark.createDataFrame(left, "k int, v double, t string")
+    b = spark.createDataFrame(right, "k long, v double, t string")
+    sides = []
+    for exact in (True, False):
+        rows = diff.row_statuses(a, b, CompareSpec(keys=("k",), exact=exact)).collect()
+        sides.append(Counter(map(tuple, rows)))
+    assert sides[0] == sides[1]
+    assert sum(r["n_source"] * c for r, c in Counter(rows).items()) == len(left)
+
+
+def test_digest_tells_null_places_and_widens_types(spark):
+    a = spark.createDataFrame([(1, None, "x", 5), (2, "x", "y", 5)], "k int, a string, b string, n int")
+    b = spark.createDataFrame([(1, "x", None, 5), (2, "x", "y", 5)], "k int, a string, b string, n long")
+    got = {r["k"]: r["row_status"] for r in diff.row_statuses(a, b, CompareSpec(keys=("k",), exact=False)).collect()}
+    assert got == {1: "value_mismatch", 2: "match"}
+
+
+def test_keys_are_trimmed_and_folded(spark):
+    a = spark.createDataFrame([("a ", 1), ("B", 2)], "k string, v int")
+    b = spark.createDataFrame([("a", 1), ("b", 2)], "k string, v int")
+    spec = CompareSpec(keys=("k",), trim=True, case_sensitive=False)
+    assert {r["row_status"] for r in diff.row_statuses(a, b, spec).collect()} == {"match"}
+    assert diff.missing_rows(a, b, spec).count() == 0
+    assert diff.missing_rows(a, b, CompareSpec(keys=("k",))).count() == 4
+
+
+def test_repeated_keys_have_no_column_status(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "y"), (2, None)], "k int, v string")
+    b = spark.createDataFrame([(1, "x"), (3, "z")], "k int, v string")
+    got = {r["k"]: (r["n_source"], r["n_target"], r["v_diff_type"]) for r in diff.wide_diff(a, b, CompareSpec(keys=("k",))).collect()}
+    assert got == {1: (2, 1, None), 2: (1, 0, "MISSING_TARGET"), 3: (0, 1, "MISSING_SOURCE")}
+
+
+def test_segments_of_repeated_keys(spark):
+    a = spark.createDataFrame([(1, "S", 1), (1, "S", 2)], "k int, seg string, v int")
+    b = spark.createDataFrame([(1, "T", 1)], "k int, seg string, v int")
+    got = report.summary_by(a, b, CompareSpec(keys=("k",), columns=("v",)), "seg").collect()
+    assert [(r["segment"], r["duplicate_rows_source"], r["duplicate_rows_target"]) for r in got] == [("S", 2, 1)]
+    by_column = report.mismatches_by_column(a, b, CompareSpec(keys=("k",), columns=("v",), exact=False))
+    assert by_column.columns == ["column_name", "mismatch_count"]
+
+
+def test_each_side_is_read_once(spark, tmp_path):
+    spark.range(20).selectExpr("id as k", "id as v").write.csv(str(tmp_path / "x"), header=True)
+    side = spark.read.csv(str(tmp_path / "x"), header=True, schema="k long, v long")
+    plan = diff.row_statuses(side, side.withColumn("v", F.col("v") + 1), CompareSpec(keys=("k",)))
+    assert plan._jdf.queryExecution().executedPlan().toString().count("Scan csv") == 2
 
 
 def test_key_profile_counts(spark):

@@ -6,6 +6,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from evenkeel import session
 from evenkeel.operators import diff, report
 from evenkeel.sources import archives, files, named, store
 from evenkeel.spec import CompareSpec
@@ -102,7 +103,43 @@ def test_named_sources(spark, tmp_path):
 
 
 def test_preview_is_limited(spark):
-    assert files.preview(spark.range(500), ["id"], n=200).count() == 100
+    assert files.preview(spark.range(500), ["id"], n=100).count() == 100
+    with pytest.raises(ValueError, match="at most 100"):
+        files.preview(spark.range(500), ["id"], n=200)
+
+
+def test_csv_keeps_blanks_empty_texts_and_lines(spark, tmp_path):
+    rows = [(1, "  pad "), (2, ""), (3, None), (4, "a\nb"), (5, 'say "hi", ok'), (6, "NULL"), (7, "\\N"), (8, "é")]
+    df = spark.createDataFrame(rows, "k int, v string")
+    for encoding in ("UTF-8", "UTF-16LE"):
+        path = files.export_csv(df, str(tmp_path / encoding), encoding=encoding)
+        back = files.read_csv(spark, path, "k int, v string", multiline=True, encoding=encoding)
+        assert sorted(map(tuple, back.collect())) == rows
+
+
+def test_the_shared_folder_is_asked_for_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Conf:
+        def get(self, name, default):
+            return default
+
+    class Session:
+        sparkContext, conf = Context(), Conf()
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.workspace(Session())
+
+
+def test_folders_can_be_released(spark):
+    session.release(spark)
+    df = session.pinned(spark.range(5))
+    assert df.count() == 5 and session.release(spark) == 1
+    assert session.release(spark) == 0
 
 
 def test_history_store(spark, tmp_path):
@@ -131,6 +168,7 @@ def test_history_store(spark, tmp_path):
     kept = runs.remove_expired(datetime(2024, 7, 1), 30, str(tmp_path / "kept"))
     assert [r["session_id"] for r in kept.table("sessions").collect()] == ["open"]
     assert kept.table("files").count() == 0 and kept.table("events").count() == 1
+    assert kept.table("audit").count() == 1
     with pytest.raises(ValueError):
         runs.set_status(name, "lost", AT)
 

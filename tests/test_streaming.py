@@ -51,6 +51,42 @@ def test_late_rows_are_dropped_and_counted(spark, tmp_path):
     assert listener.late[run] == 1 and listener.rows[run] == 6
 
 
+def test_results_do_not_depend_on_batches(spark, tmp_path):
+    schema = "k long, v string"
+    source = spark.createDataFrame([(1, "x"), (2, "b"), (3, "c"), (3, "c")], schema)
+    rows = [(1, "x"), (1, "y"), (2, "b"), (3, "c"), (None, "n")]
+    found = []
+    for n, batches in enumerate(([rows], [rows[:1], rows[1:3], rows[3:]])):
+        path = write_files(spark, str(tmp_path / f"in{n}"), batches, schema)
+        stream = feeds.file_stream(spark, path, schema, files_per_batch=1)
+        each = feeds.against_source(source, CompareSpec(keys=("k",)))
+        got = feeds.drain_batches(stream, workspace(spark), each).select("k", "target_v", "row_status").collect()
+        found.append(sorted(map(tuple, got), key=str))
+    assert found[0] == found[1]
+    assert found[0] == sorted(
+        [(1, "x", "match"), (1, "y", "value_mismatch"), (2, "b", "match"), (3, "c", "duplicate_key"), (None, "n", "missing_in_source")],
+        key=str,
+    )
+
+
+def test_stream_diff_honours_the_spec(spark, tmp_path):
+    schema = "k string, ts timestamp, v string"
+    end = START + timedelta(days=1)
+    left = [("a", START, "  x"), (None, START, "n"), ("c", None, "y"), ("zz", end, "")]
+    right = [("A ", START, "X"), (None, START, "n"), ("d", None, "y"), ("zz", end, "")]
+    sides = [
+        feeds.file_stream(spark, write_files(spark, str(tmp_path / n), [rows], schema), schema)
+        for n, rows in (("l", left), ("r", right))
+    ]
+    spec = CompareSpec(keys=("k",), columns=("v",), trim=True, case_sensitive=False, null_safe_keys=True)
+    got = feeds.drain(feeds.stream_diff(*sides, spec, "ts", clock.MINUTE), workspace(spark))
+    status = {r["k"]: r["row_status"] for r in got.collect()}
+    assert status == {"a": "match", None: "match", "c": "missing_in_target", "d": "missing_in_source", "zz": "match"}
+    for bad in (CompareSpec(keys=("k",), duplicates="ordinal"), CompareSpec(keys=("k",), exact=False)):
+        with pytest.raises(ValueError):
+            feeds.stream_diff(*sides, bad, "ts", clock.MINUTE)
+
+
 def test_batches_against_a_fixed_source(spark, tmp_path):
     schema = "k long, v string"
     path = write_files(spark, str(tmp_path / "in"), [[(1, "a"), (2, "x")], [(9, "z")]], schema)
