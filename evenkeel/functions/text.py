@@ -47,10 +47,15 @@ def preview(text: Column, width: int) -> Column:
     return F.when(F.length(text) > width, F.concat(F.substring(text, 1, width), F.lit("..."))).otherwise(text)
 
 
-def whole_words(text: Column, words) -> Column:
-    """How many distinct ``words`` occur as whole words, in one pass over ``text``."""
+def words_found(text: Column, words) -> Column:
+    """Which ``words`` occur as whole words, each once, in one pass over ``text``."""
     pattern = rf"(?U)\b({'|'.join(words)})\b"
-    return F.size(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))))
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)))
+
+
+def whole_words(text: Column, words) -> Column:
+    """How many distinct ``words`` occur as whole words."""
+    return F.size(words_found(text, words))
 
 
 def contained(text: Column, words) -> Column:

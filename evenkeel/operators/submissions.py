@@ -7,9 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.functions import clock, text
-from evenkeel.operators import activity
-from evenkeel.operators.running import fitted_chunk
+from evenkeel.functions import text
+from evenkeel.operators import activity, admission
 
 # Length bounds and spam rules.
 TITLE_MIN, TITLE_MAX = 5, 200
@@ -59,16 +58,25 @@ OFFTOPIC_WORDS = (
     "dance", "sing", "fly", "teleport", "magic", "puzzle",
 )
 
+# How the reason of a category begins; the words or their number follow.
+OFFTOPIC_REASON = "words off the topic: "
+TOPIC_REASON = "words on the topic: "
+
+
+def _known(name: str) -> Column:
+    """A text column; NULL reads as an empty text."""
+    return F.coalesce(F.col(name), F.lit(""))
+
 
 def _combined(title: str, description: str) -> Column:
-    return F.lower(F.concat(F.col(title), F.lit(" "), F.col(description)))
+    return F.lower(F.concat(_known(title), F.lit(" "), _known(description)))
 
 
 def validate(df: DataFrame, title: str = "title", description: str = "description") -> DataFrame:
     """Add ``invalid_reason``: the first failing length or spam rule, NULL when fine."""
     low = _combined(title, description)
-    raw = F.concat(F.col(title), F.lit(" "), F.col(description))
-    n_title, n_description = F.length(title), F.length(description)
+    raw = F.concat(_known(title), F.lit(" "), _known(description))
+    n_title, n_description = F.length(_known(title)), F.length(_known(description))
     reason = (
         F.when(n_title > TITLE_MAX, "title too long")
         .when(n_title < TITLE_MIN, "title too short")
@@ -99,8 +107,9 @@ def _missing_elements(kind: Column, low: Column) -> Column:
 def quality(
     df: DataFrame, kind: str = "issue_type", title: str = "title", description: str = "description"
 ) -> DataFrame:
-    """Add ``quality_score`` (0 to 10), ``severity``, ``issues_found`` and ``suggestions``."""
-    body = F.col(description)
+    """Add ``quality_score`` (0 to 10), ``severity``, ``needs_improvement``, ``vague_word_count``,
+    ``issues_found`` and ``suggestions``."""
+    body = _known(description)
     rows = df.withColumn("_low", _combined(title, description))
     low = F.col("_low")
     rows = rows.withColumns(
@@ -152,24 +161,36 @@ def quality(
     )
     points = F.col("quality_score")
     severity = F.when(points >= GOOD_SCORE, "low").when(points >= FAIR_SCORE, "medium").otherwise("high")
-    return rows.withColumn("severity", severity).drop("_low", "_vague", "_missing")
+    more = {
+        "severity": severity,
+        "needs_improvement": points < GOOD_SCORE,
+        "vague_word_count": F.when(vague > 3, vague).otherwise(0).cast("long"),
+    }
+    return rows.withColumns(more).drop("_low", "_vague", "_missing")
 
 
 def relevance(df: DataFrame, title: str = "title", description: str = "description") -> DataFrame:
-    """Add ``category`` (offtopic, relevant, unclear, irrelevant), ``confidence`` and ``is_relevant``."""
+    """Add ``category`` (offtopic, relevant, unclear, irrelevant), ``confidence``, ``is_relevant`` and
+    ``relevance_reason``, which names the off-topic words found or counts those on topic."""
     low = _combined(title, description)
     rows = df.withColumns(
-        {"_on": text.whole_words(low, TOPIC_WORDS), "_off": text.whole_words(low, OFFTOPIC_WORDS)}
+        {"_on": text.whole_words(low, TOPIC_WORDS), "_off": text.words_found(low, OFFTOPIC_WORDS)}
     )
-    on, off = F.col("_on"), F.col("_off")
+    on, off = F.col("_on"), F.size("_off")
     category = (
         F.when(off > 0, "offtopic").when(on >= 2, "relevant").when(on == 1, "unclear").otherwise("irrelevant")
     )
     confidence = F.when(off > 0, 0.9).when(on >= 2, 0.8).when(on == 1, 0.6).otherwise(0.9)
+    # in the order of the word list
+    found = F.filter(F.array(*map(F.lit, OFFTOPIC_WORDS)), lambda w: F.array_contains("_off", w))
+    reason = F.when(off > 0, F.concat(F.lit(OFFTOPIC_REASON), F.array_join(found, ", "))).otherwise(
+        F.concat(F.lit(TOPIC_REASON), on.cast("string"))
+    )
     return (
         rows.withColumn("category", category)
         .withColumn("confidence", confidence)
         .withColumn("is_relevant", F.col("category") == "relevant")
+        .withColumn("relevance_reason", reason)
         .drop("_on", "_off")
     )
 
@@ -180,38 +201,49 @@ def labels(kind: Column, score: Column, good: float = GOOD_SCORE, fair: float =
     return F.array_compact(F.array(kind, F.lit("user-submitted"), grade))
 
 
-def staged(
+def stages(
     df: DataFrame,
     ts: str = "created_at",
     limits: Mapping[str, tuple[int, int]] | None = None,
     min_score: float = 0.0,
 ) -> DataFrame:
-    """Add ``stage``: where a submission stops, in the order rate, content,
-    relevance, duplicate, quality; else accepted.
+    """id, session, client, time and ``stage``: where a submission stops, in the order rate,
+    content, relevance, duplicate, quality; else accepted.
 
-    The rate and duplicate stages look at every earlier submission in the log.
+    Rows are taken in order of time and id, and only accepted ones use quota of their
+    session and client or make later ones duplicates. Texts are judged first and left
+    behind, so only narrow rows are shuffled and sorted.
     """
     limits = limits or {}
-    session = limits.get("session", (activity.SESSION_PER_HOUR, activity.SESSION_PER_DAY))
-    client = limits.get("client", (activity.CLIENT_PER_HOUR, activity.CLIENT_PER_DAY))
-    df = df.withColumn("content_hash", text.content_hash(F.col("title"), F.col("description")))
-    copies = ["session_id", "content_hash"]
-    chunk = fitted_chunk(df, copies, clock.micros(df, ts))
-    rows = activity.rate_limits(df, ts=ts, session_limits=session, client_limits=client)
-    rows = activity.duplicates_within(rows, copies, ts=ts, chunk=chunk)
-    rows = quality(relevance(validate(rows)))
-    limited = (
-        F.col("over_session_1h") | F.col("over_session_24h") | F.col("over_client_1h") | F.col("over_client_24h")
+    quota = admission.Quota(
+        session=limits.get("session", (activity.SESSION_PER_HOUR, activity.SESSION_PER_DAY)),
+        client=limits.get("client", (activity.CLIENT_PER_HOUR, activity.CLIENT_PER_DAY)),
+        duplicate_minutes=activity.DUPLICATE_MINUTES,
     )
-    stage = (
-        F.when(limited, "rate")
-        .when(F.col("invalid_reason").isNotNull(), "content")
-        .when(~F.col("is_relevant"), "relevance")
-        .when(F.col("is_duplicate"), "duplicate")
-        .when(F.col("quality_score") < min_score, "quality")
-        .otherwise("accepted")
+    rows = quality(relevance(validate(df)))
+    stop = F.when(F.col("invalid_reason").isNotNull(), "content").when(~F.col("is_relevant"), "relevance")
+    title, description = (F.coalesce(c, F.lit("")) for c in ("title", "description"))
+    judged = rows.select(
+        "id",
+        "session_id",
+        "client_id",
+        ts,
+        text.content_hash(title, description).alias("content_hash"),
+        stop.alias("stop"),
+        (F.col("quality_score") < min_score).alias("poor"),
     )
-    return rows.withColumn("stage", stage)
+    return admission.decided(judged, quota, ts)
+
+
+def staged(
+    df: DataFrame,
+    ts: str = "created_at",
+    limits: Mapping[str, tuple[int, int]] | None = None,
+    min_score: float = 0.0,
+) -> DataFrame:
+    """Add ``stage`` (see ``stages``) to the submissions; their ids must be unique."""
+    found = stages(df, ts, limits, min_score).select("id", "stage")
+    return df.join(found, "id")
 
 
 def funnel(staged_rows: DataFrame) -> DataFrame:

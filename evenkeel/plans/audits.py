@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evenkeel.operators import planaudit, queryaudit, submissions
-from evenkeel.plans.fixtures import relation, with_
+from evenkeel.plans.fixtures import RELATIONS, relation, with_
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -209,6 +209,7 @@ _TEXTS = "t as (select *, title || ' ' || description as raw, lower(title || ' '
     f"""{with_("notes")}, {_TEXTS}, {QUALITY}
     select id, quality_score,
            case when quality_score >= 7 then 'low' when quality_score >= 4 then 'medium' else 'high' end as severity,
+           quality_score < 7 as needs_improvement, case when vague > 3 then vague else 0 end as vague_word_count,
            array_to_string(list_concat(
              case when vague > 3 then ['Contains ' || cast(vague as varchar) || ' vague words (something, maybe, etc.)']
                   else [] end,
@@ -220,7 +221,8 @@ _TEXTS = "t as (select *, title || ' ' || description as raw, lower(title || ' '
 )
 def quality_score(spark, sf_dir):
     rows = submissions.quality(relation(spark, sf_dir, "notes"))
-    return rows.select("id", "quality_score", "severity", F.array_join("issues_found", "|").alias("issues_found"))
+    found = F.array_join("issues_found", "|").alias("issues_found")
+    return rows.select("id", "quality_score", "severity", "needs_improvement", "vague_word_count", found)
 
 
 def _whole(words) -> str:
@@ -228,16 +230,20 @@ def _whole(words) -> str:
 
 
 RELEVANT = f"""
-    r1 as (select id, {_whole(submissions.TOPIC_WORDS)} as n_on, {_whole(submissions.OFFTOPIC_WORDS)} as n_off from t),
+    r0 as (select id, {_whole(submissions.TOPIC_WORDS)} as n_on, regexp_extract_all(low, '[\\pL\\pN_]+') as ws from t),
+    r1 as (select id, n_on, list_filter({_listed(submissions.OFFTOPIC_WORDS)}, lambda w: list_contains(ws, w)) as off,
+                  len(off) as n_off from r0),
     r2 as (select id, case when n_off > 0 then 'offtopic' when n_on >= 2 then 'relevant' when n_on = 1 then 'unclear'
                            else 'irrelevant' end as category,
                   cast(case when n_off > 0 then 0.9 when n_on >= 2 then 0.8 when n_on = 1 then 0.6 else 0.9 end
-                       as double) as confidence from r1)"""
+                       as double) as confidence,
+                  case when n_off > 0 then '{submissions.OFFTOPIC_REASON}' || array_to_string(off, ', ')
+                       else '{submissions.TOPIC_REASON}' || n_on end as relevance_reason from r1)"""
 
 
-@query("relevance_class", f"{with_('notes')}, {_TEXTS}, {RELEVANT} select id, category, confidence from r2")
+@query("relevance_class", f"{with_('notes')}, {_TEXTS}, {RELEVANT} select id, category, confidence, relevance_reason from r2")
 def relevance_class(spark, sf_dir):
-    return submissions.relevance(relation(spark, sf_dir, "notes")).select("id", "category", "confidence")
+    return submissions.relevance(relation(spark, sf_dir, "notes")).select("id", "category", "confidence", "relevance_reason")
 
 
 @query(
@@ -252,26 +258,39 @@ def issue_labels(spark, sf_dir):
     return rows.select("id", F.array_join(tags, "|").alias("labels"))
 
 
-_HOUR = "range between interval '59 minutes 59.999999 seconds' preceding and current row"
-_DAY = "range between interval '23 hours 59 minutes 59.999999 seconds' preceding and current row"
+# One row at a time in order of time; the list holds what was accepted.
+_ACCEPTED = """len(list_filter(held, lambda a: a.{who} = x.{who}_id and a.t > x.created_at - interval '{span}')) >= {most}"""
+_FULL = " or ".join(
+    _ACCEPTED.format(who=who, span=span, most=most)
+    for who, span, most in (
+        ("session", "1 hour", 8), ("session", "24 hours", 60), ("client", "1 hour", 14), ("client", "24 hours", 100)
+    )
+)
 
 
 @query(
     "submission_funnel",
-    f"""{with_("notes")}, {VALID}, {QUALITY}, {RELEVANT},
-    l as (select id, count(*) over (partition by session_id order by created_at {_HOUR}) > 42
-                  or count(*) over (partition by session_id order by created_at {_DAY}) > 900
-                  or count(*) over (partition by client_id order by created_at {_HOUR}) > 62
-                  or count(*) over (partition by client_id order by created_at {_DAY}) > 1400 as limited,
-                 coalesce(created_at - lag(created_at) over (partition by session_id, md5(low) order by created_at, id)
-                          < interval 30 minutes, false) as copied from t),
-    s as (select case when limited then 'rate' when invalid_reason is not null then 'content'
-                      when category <> 'relevant' then 'relevance' when copied then 'duplicate'
-                      when quality_score < 7 then 'quality' else 'accepted' end as stage
-          from v join q2 using (id) join r2 using (id) join l using (id))
-    select stage, count(*) as submissions from s group by stage""",
+    f"""with recursive notes as ({RELATIONS["renotes"]}), {VALID}, {QUALITY}, {RELEVANT},
+    x0 as (select row_number() over (order by v.created_at, v.id) as n, v.id, v.session_id, v.client_id, v.created_at,
+                  md5(v.low) as copy, quality_score < 7 as poor,
+                  case when invalid_reason is not null then 'content' when category <> 'relevant' then 'relevance' end
+                    as stop
+           from v join q2 using (id) join r2 using (id)),
+    walk as (
+      select 0::bigint as n, null::varchar as stage,
+             []::struct(session varchar, client varchar, copy varchar, t timestamp)[] as held
+      union all
+      select n, stage, case when stage = 'accepted' then list_append(
+                 list_filter(held, lambda a: a.t > created_at - interval '24 hours'),
+                 {{'session': session_id, 'client': client_id, 'copy': copy, 't': created_at}}) else held end
+      from (select x.n, x.session_id, x.client_id, x.copy, x.created_at, held,
+                   case when {_FULL} then 'rate' when stop is not null then stop
+                        when len(list_filter(held, lambda a: a.session = x.session_id and a.copy = x.copy
+                                 and a.t > x.created_at - interval '30 minutes')) > 0 then 'duplicate'
+                        when poor then 'quality' else 'accepted' end as stage
+            from walk join x0 x on x.n = walk.n + 1) step)
+    select stage, count(*) as submissions from walk where n > 0 group by stage""",
 )
 def submission_funnel(spark, sf_dir):
-    limits = {"session": (42, 900), "client": (62, 1400)}
-    rows = submissions.staged(relation(spark, sf_dir, "notes"), limits=limits, min_score=7.0)
-    return submissions.funnel(rows)
+    limits = {"session": (8, 60), "client": (14, 100)}
+    return submissions.funnel(submissions.stages(relation(spark, sf_dir, "renotes"), limits=limits, min_score=7.0))

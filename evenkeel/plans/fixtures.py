@@ -40,6 +40,34 @@ RELATIONS = {
         select l_orderkey, l_linenumber, l_partkey,
                case when l_partkey % 29 = 0 then l_quantity + 1 else l_quantity end as l_quantity
         from lineitem where l_partkey % 59 <> 0""",
+    # Values that are hard to write and to compare: not a number, infinite, large, empty, padded, of two lines.
+    "osrc": """
+        select o_orderkey as k,
+               case o_orderkey % 8 when 0 then cast('NaN' as double) when 1 then cast('Infinity' as double)
+                                   when 2 then 1e33 when 3 then null when 4 then 1e0 else o_totalprice end as num,
+               case o_orderkey % 9 when 0 then '' when 1 then null when 2 then '  pad '
+                                   when 3 then 'line' || chr(10) || 'break, "said"' else o_orderpriority end as txt
+        from orders where o_orderkey % 89 <> 0""",
+    "otgt": """
+        select o_orderkey as k,
+               case o_orderkey % 16 when 0 then cast('NaN' as double) when 8 then null
+                                    when 1 then cast('Infinity' as double) when 9 then cast('-Infinity' as double)
+                                    when 2 then 1e33 when 10 then 2e33 when 3 then null when 11 then 5e0
+                                    when 4 then 1e0 when 12 then 1.0000001e0 else o_totalprice end as num,
+               case o_orderkey % 18 when 0 then '' when 9 then null when 1 then null when 10 then ''
+                                    when 2 then '  pad ' when 11 then 'pad'
+                                    when 3 then 'line' || chr(10) || 'break, "said"' when 12 then 'line break, "said"'
+                                    else o_orderpriority end as txt
+        from orders where o_orderkey % 97 <> 0""",
+    # NULLs that change columns, and equal numbers of two types.
+    "gsrc": """
+        select o_orderkey, cast(o_custkey % 5 as int) as a, case when o_orderkey % 3 = 0 then null else 'x' end as b,
+               case when o_orderkey % 3 = 0 then 'x' end as c from orders where o_orderkey % 89 <> 0""",
+    "gtgt": """
+        select o_orderkey, cast(o_custkey % 5 as bigint) as a,
+               case when o_orderkey % 3 = 0 and o_orderkey % 2 = 0 then null else 'x' end as b,
+               case when o_orderkey % 3 = 0 and o_orderkey % 2 = 0 then 'x' end as c
+        from orders where o_orderkey % 97 <> 0""",
     # Orders whose dates are written in two formats.
     "dsrc": """
         select o_orderkey, cast(cast(o_orderdate as date) as string) as order_day, o_totalprice
@@ -141,7 +169,8 @@ RELATIONS = {
     "notes": """
         select doc_id as id, cast(doc_id % 3 as string) as session_id, cast(doc_id % 2 as string) as client_id,
                case doc_id % 3 when 0 then 'bug' when 1 then 'feature' else 'improvement' end as issue_type,
-               case when doc_id % 11 = 8 then 'note on ' || source else split_part(text, '.', 1) end as title,
+               case when doc_id % 11 = 8 then split_part(text, '.', 1) || ' note on ' || source
+                    else split_part(text, '.', 1) end as title,
                case doc_id % 11
                  when 0 then text || ' The query on the orders table is slow. Steps to reproduce: 1. run the sql.'
                              || ' For example the join should be fast.'
@@ -152,8 +181,8 @@ RELATIONS = {
                  when 5 then text || ' maybe something somehow, i think things are probably stuff, etc'
                  when 6 then text || repeat('z', 25)
                  when 7 then text || ' ' || repeat('AB', 30)
-                 when 8 then 'the sql query of ' || lang || ' is slow, an index is expected'
-                 when 9 then source || ' database query and sql plan with no full stop, why needed: the outcome'
+                 when 8 then text || ' the sql query of ' || lang || ' is slow, an index is expected'
+                 when 9 then text || source || ' database query and sql plan with no full stop, why needed: the outcome'
                  else text || ' the pizza table query' end as description,
                lang, source,
                timestamp '2024-01-01 00:00:00' + (doc_id * 30 + (doc_id * doc_id) % 97) * interval '1' second
@@ -161,6 +190,14 @@ RELATIONS = {
         from documents""",
 }
 
+# Notes, some of which are sent once more ten minutes later.
+RELATIONS["renotes"] = f"""
+        select * from ({RELATIONS["notes"]}) first_time
+        union all
+        select id + 1000000000, session_id, client_id, issue_type, title, description, lang, source,
+               created_at + interval '10' minute as created_at
+        from ({RELATIONS["notes"]}) again where id % 4 < 2"""
+
 
 def load(spark: SparkSession, sf_dir: str) -> None:
     """Register the driver tables as views for the relations to read."""

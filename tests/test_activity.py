@@ -10,9 +10,9 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from evenkeel.functions import clock
-from evenkeel.operators import activity, replay, running
+from evenkeel.operators import activity, admission, replay, running
 
-quick = partial(settings, deadline=None, max_examples=2, suppress_health_check=list(HealthCheck))
+quick = partial(settings, deadline=None, max_examples=6, suppress_health_check=list(HealthCheck))
 START = datetime(2024, 1, 1)
 LIMITS = [
     replay.Limits(spans=(("hour", clock.HOUR, 3), ("day", clock.DAY, 10))),
@@ -64,7 +64,7 @@ def test_hot_keys_get_the_same_decisions(spark, limits):
     rng = np.random.default_rng(7)
     data, df = log(spark, rng.integers(0, 1500, 300).tolist(), keys=3)
     want = by_hand(data, limits)
-    got = replay.replay(df, ["session_id"], "created_at", "id", limits, hot_rows=20)
+    got = replay.replay(df.repartition(7), ["session_id"], "created_at", "id", limits)
     assert {r["id"]: r["decision"] for r in got.collect()} == want
 
 
@@ -124,3 +124,61 @@ def test_wait_minutes(spark):
     _, df = log(spark, [0, 10, 59, 61], keys=1)
     got = {r["id"]: r["wait_minutes"] for r in activity.wait_minutes(df).collect()}
     assert got == {0: 60, 1: 50, 2: 1, 3: 9}
+
+
+QUOTA = admission.Quota(session=(2, 5), client=(4, 12), duplicate_minutes=30)
+
+
+def accepted_by_hand(rows, quota):
+    """The whole log as one list: accepted (session, client, copy, time)."""
+    held, out = [], {}
+    for i, session, client, at, copy, stop, poor in sorted(rows, key=lambda r: (r[3], r[0])):
+
+        def used(place, value, hours):
+            return sum(value is not None and a[place] == value and at - a[3] < timedelta(hours=hours) for a in held)
+
+        full = [
+            used(place, value, hours) >= most
+            for place, value, limits in ((0, session, quota.session), (1, client, quota.client))
+            for hours, most in zip((1, 24), limits)
+        ]
+        again = any(
+            session is not None and a[0] == session and a[2] == copy and at - a[3] < timedelta(minutes=quota.duplicate_minutes)
+            for a in held
+        )
+        out[i] = "rate" if any(full) else stop or ("duplicate" if again else "quality" if poor else "accepted")
+        if out[i] == "accepted":
+            held.append((session, client, copy, at))
+    return out
+
+
+@pytest.mark.parametrize("shared", [True, False])
+def test_admissions_under_session_and_client_limits(spark, shared):
+    rng = np.random.default_rng(4)
+    rows = []
+    for i, minute in enumerate(rng.integers(0, 2600, 400).tolist()):
+        session = int(rng.integers(0, 9))
+        client = int(rng.integers(0, 3)) if shared else session % 3
+        rows.append(
+            (i, None if i % 23 == 0 else f"s{session}", None if i % 19 == 0 else f"c{client}",
+             START + timedelta(minutes=minute), str(rng.integers(0, 3)), ["content", "relevance", None, None, None][i % 5], i % 7 == 0)
+        )
+    schema = "id long, session_id string, client_id string, created_at timestamp_ntz, content_hash string, stop string, poor boolean"
+    got = admission.decided(spark.createDataFrame(rows, schema).repartition(5), QUOTA, "created_at")
+    want = accepted_by_hand(rows, QUOTA)
+    assert {r["id"]: r["stage"] for r in got.collect()} == want
+    assert set(want.values()) == {"rate", "content", "relevance", "duplicate", "quality", "accepted"}
+
+
+def test_linked_groups(spark):
+    pairs = [("a", "1"), ("b", "1"), ("b", "2"), ("c", "2"), ("x", "9"), ("y", "9"), ("z", "8"), ("d", "3"), ("c", "3")]
+    got = admission.linked(spark.createDataFrame(pairs, "l string, r string"), "l", "r")
+    assert {r["l"]: r["group"] for r in got.collect()} == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x", "y": "x", "z": "z"}
+
+
+def test_rejected_rows_use_no_quota(spark):
+    rows = [(i, "s", "c", START + timedelta(minutes=20 * i), str(i), None, False) for i in range(12)]
+    schema = "id long, session_id string, client_id string, created_at timestamp_ntz, content_hash string, stop string, poor boolean"
+    quota = admission.Quota(session=(2, 10), client=(20, 50), duplicate_minutes=30)
+    got = admission.decided(spark.createDataFrame(rows, schema), quota, "created_at")
+    assert Counter(r["stage"] for r in got.collect()) == {"accepted": 8, "rate": 4}

@@ -146,3 +146,24 @@ def test_relevance_needs_two_whole_words(spark):
     rows = submissions.relevance(spark.createDataFrame(data, "id int, title string, description string"))
     got = [r["category"] for r in rows.orderBy("id").collect()]
     assert got == ["relevant", "unclear", "irrelevant", "offtopic", "irrelevant", "relevant"]
+
+
+def test_quality_says_what_to_improve(spark):
+    data = [(1, "other", "Title", "something somehow maybe stuff whatever."), (2, "other", "Crash", GOOD + " Expected: more than that.")]
+    rows = submissions.quality(spark.createDataFrame(data, "id int, issue_type string, title string, description string"))
+    got = {r["id"]: (r["needs_improvement"], r["vague_word_count"]) for r in rows.collect()}
+    assert got == {1: (True, 5), 2: (False, 0)}
+
+
+def test_relevance_names_the_words(spark):
+    data = [(1, "t", "a song, a pizza query"), (2, "t", "slow sql")]
+    rows = submissions.relevance(spark.createDataFrame(data, "id int, title string, description string"))
+    got = [r["relevance_reason"] for r in rows.orderBy("id").collect()]
+    assert got == [submissions.OFFTOPIC_REASON + "pizza, song", submissions.TOPIC_REASON + "2"]
+
+
+def test_missing_texts_are_empty(spark):
+    empty = spark.createDataFrame([(1, None, None)], "id int, title string, description string")
+    assert submissions.validate(empty).first()["invalid_reason"] == "title too short"
+    row = submissions.quality(empty.selectExpr("*", "'bug' as issue_type")).first()
+    assert row["quality_score"] == 1.0 and row["severity"] == "high"
