@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.session import pinned
@@ -13,8 +13,9 @@ from evenkeel.session import pinned
 _ROW_BITS = 33
 
 
-def with_row_index(df: DataFrame, order: Sequence[str], name: str = "row_number") -> DataFrame:
-    """Number all rows from 1 in the order of ``order``, then of all other columns.
+def _sorted(df: DataFrame, order: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``_part`` and ``_at``, first position of each part): the rows in order of
+    ``order``, then of all other columns.
 
     Rows are range-partitioned and sorted, so each partition holds one stretch of
     the order; a stretch starts where the counts before it end. Only one count per
@@ -31,29 +32,34 @@ def with_row_index(df: DataFrame, order: Sequence[str], name: str = "row_number"
         .withColumn("_at", F.monotonically_increasing_id())
         .drop("_tie")
     )
-    fixed = pinned(spread)
-    part = F.shiftright("_at", _ROW_BITS)
-    sizes = fixed.groupBy(part.alias("_part")).agg(F.count("*").alias("_rows"))
+    fixed = pinned(spread).withColumn("_part", F.shiftright("_at", _ROW_BITS))
+    sizes = fixed.groupBy("_part").agg(F.count("*").alias("_rows"))
     # One row per partition of the range shuffle: small by construction.
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
-    position = F.col("_start") + F.col("_at").bitwiseAND((1 << _ROW_BITS) - 1) + 1
-    return (
-        fixed.withColumn("_part", part)
-        .join(F.broadcast(starts), "_part")
-        .select(*df.columns, position.alias(name))
-    )
+    return fixed, sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_start"))
+
+
+def _position() -> Column:
+    return F.col("_start") + F.col("_at").bitwiseAND((1 << _ROW_BITS) - 1) + 1
+
+
+def with_row_index(df: DataFrame, order: Sequence[str], name: str = "row_number") -> DataFrame:
+    """Number all rows from 1 in the order of ``order``, then of all other columns."""
+    fixed, starts = _sorted(df, order)
+    return fixed.join(F.broadcast(starts), "_part").select(*df.columns, _position().alias(name))
 
 
 def with_ordinal(df: DataFrame, keys: Sequence[str], name: str = "ordinal") -> DataFrame:
     """Number the rows of each key from 1, ordered by all other columns.
 
-    The number is the global index less the first index of the key, so no task
-    holds a key, however many rows it has. Keys meet as a struct, which makes NULL
-    keys meet as well.
+    The number is the place among all sorted rows less that of the key's first row,
+    so no task holds a key, however many rows it has. Keys meet as a struct, which
+    makes NULL keys meet as well.
     """
-    keys = list(keys)
-    # Read twice below: written once.
-    indexed = pinned(with_row_index(df, keys, "_index").withColumn("_key", F.struct(*keys)))
-    firsts = indexed.groupBy("_key").agg(F.min("_index").alias("_first"))
-    return indexed.join(firsts, "_key").select(*df.columns, (F.col("_index") - F.col("_first") + 1).alias(name))
+    fixed, starts = _sorted(df, list(keys))
+    starts = F.broadcast(starts)
+    rows = fixed.withColumn("_key", F.struct(*keys))
+    firsts = rows.groupBy("_key").agg(F.min("_at").alias("_at")).withColumn("_part", F.shiftright("_at", _ROW_BITS))
+    firsts = firsts.join(starts, "_part").select("_key", _position().alias("_first"))
+    placed = rows.join(starts, "_part").withColumn("_place", _position())
+    return placed.join(firsts, "_key").select(*df.columns, (F.col("_place") - F.col("_first") + 1).alias(name))

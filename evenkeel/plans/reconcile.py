@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from datetime import datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from evenkeel.operators import diff, keys, normalize, report
 from evenkeel.plans import oracles
 from evenkeel.plans.fixtures import load, relation, relations, with_
 from evenkeel.session import workspace
-from evenkeel.sources import archives, files, named
+from evenkeel.sources import archives, files, named, store
 from evenkeel.spec import CompareSpec, at_scale, within
 
 ORDER = CompareSpec(keys=("o_orderkey",))
@@ -639,6 +640,53 @@ def sql_sides_diff(spark, sf_dir):
     return report.summary(*sides, ORDER)
 
 
+@query(
+    "named_source_diff",
+    oracles.summary(
+        ["tgt"], "books", "tgt", ["o_orderkey"], EQUAL,
+        extra="books as (select o_orderkey, o_custkey, o_orderstatus, o_totalprice from orders)",
+    ),
+)
+def named_source_diff(spark, sf_dir):
+    known = {"books": {"type": "parquet", "path": f"{sf_dir}/orders.parquet", "description": "all orders"}}
+    source = named.read_named(spark, "books", known)
+    return report.summary(source, relation(spark, sf_dir, "tgt"), CompareSpec(keys=("o_orderkey",), columns=VALUES))
+
+
+_TEXTS = ("select * from src", "select * from tgt")
+
+
+@query(
+    "history_store",
+    f"""{with_("src", "tgt")}, {oracles.statuses("src", "tgt", ["o_orderkey"], EQUAL)},
+    c as (select {oracles.COUNTS} from j), d as ({VALUE_DIFF})
+    select '20240501_120000_' || substr(md5('{"".join(_TEXTS)}'), 1, 8) as session_id, 'completed' as status,
+           60000 as execution_time_ms, 2500 as comparison_time_ms, {oracles.SCORE} as match_score,
+           'source' as file_role, column_name, count(*) as mismatches
+    from c, d group by all""",
+)
+def history_store(spark, sf_dir):
+    """A run from its name to its stored summary, files and mismatches, read back from the store."""
+    at = datetime(2024, 5, 1, 12)
+    runs = store.HistoryStore(spark, workspace(spark) + "/history")
+    name = store.run_id(*_TEXTS, at)
+    runs.create_session(name, at, test_type="table", client_id="c1", source_type="table", target_type="table")
+    runs.set_status(name, "running", at.replace(minute=1))
+    runs.record_file(name, "source", at, file_path="orders.parquet", file_format="parquet")
+    runs.save_summary(name, report.summary(*_orders(spark, sf_dir), ORDER), at, 2.5)
+    runs.save_mismatches(name, diff.value_diff(*_orders(spark, sf_dir), ORDER), at)
+    runs.log_audit(at, {"keys": list(ORDER.keys)}, session_id=name, tool_name="compare", success=True)
+    runs.set_status(name, "completed", at.replace(minute=2))
+    counts = runs.table("mismatches").groupBy("session_id", "column_name").agg(F.count("*").alias("mismatches"))
+    return (
+        runs.sessions()
+        .select("session_id", "status", "execution_time_ms")
+        .join(runs.table("results").select("session_id", "match_score", "comparison_time_ms"), "session_id")
+        .join(runs.table("files").select("session_id", "file_role"), "session_id")
+        .join(counts, "session_id")
+    )
+
+
 @query("csv_roundtrip_diff", oracles.summary(["src", "tgt"], "src", "tgt", ["o_orderkey"], EQUAL))
 def csv_roundtrip_diff(spark, sf_dir):
     source, target = _orders(spark, sf_dir)

@@ -169,3 +169,29 @@ def stream_distinct(spark, sf_dir):
     rows = limits.stream_distinct(_submissions(spark, sf_dir), keys, "created_at", "id", minutes=12 * 60)
     return feeds.drain(rows, workspace(spark)).select("id", "decision")
 
+
+
+_FILES = 4
+
+
+@query(
+    "stream_late_rows",
+    """select event_type, time_bucket(interval 1 hour, ts) as window_start, count(*) as n from events group by all""",
+)
+def stream_late_rows(spark, sf_dir):
+    """The first tenth of the events comes a second time, after the watermark has passed it: it is not counted again."""
+    path = workspace(spark)
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
+    low, high = events.agg(F.min("ts"), F.max("ts")).first()
+    late = events.where(F.col("ts") < F.lit(low + (high - low) / 10))
+
+    def marks(ts):
+        return spark.range(0, _FILES, 1, _FILES).select(F.lit("closing").alias("event_type"), F.lit(ts).cast("timestamp").alias("ts"))
+
+    # Rows are late by the watermark that the batch before last has set: one batch lies between.
+    for part, rows in enumerate((events.repartition(_FILES), marks(high), late.repartition(_FILES), marks(CLOSING))):
+        rows.write.parquet(f"{path}/in/part={part}")
+    stream = feeds.file_stream(spark, f"{path}/in/*", events.schema, files_per_batch=_FILES)
+    counts = feeds.drain(feeds.windowed_counts(stream, "event_type", "ts", "1 hour", "1 hour"), path)
+    rows = counts.where(F.col("event_type") != "closing")
+    return rows.select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")

@@ -79,3 +79,12 @@ def pinned(df: DataFrame) -> DataFrame:
     path = workspace(df.sparkSession) + "/pinned"
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a few large partitions to all cores, for work that is dear per row.
+
+    A table with as many partitions as there are cores stays as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
