@@ -159,7 +159,7 @@ with d as (
   select rid, ws, unnest(range(1, len(ws) + 1)) as i from w
 ), windows as (
   select rid, i, n, case when i + n - 1 <= len(ws) then md5(array_to_string(ws[i:i + n - 1], ' ')) end as g
-  from pos, (values (3), (10), (101)) as sizes(n)
+  from pos, (values (3), (20), (101)) as sizes(n)
 ), twice as (
   select rid, n, i from (select *, count(*) over (partition by rid, n, g) as c from windows where g is not null)
   where c > 1
@@ -175,11 +175,11 @@ with d as (
     length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) as word_chars,
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
     coalesce(dup, 0) as n_dup_lines, coalesce(c3.c, 0) as n_repeat_words,
-    coalesce(c10.c, 0) as covered, c101.c is not null as too_long
+    coalesce(c20.c, 0) as covered, c101.c is not null as too_long
   from w
   left join lines using (rid)
   left join covered c3 on c3.rid = w.rid and c3.n = 3
-  left join covered c10 on c10.rid = w.rid and c10.n = 10
+  left join covered c20 on c20.rid = w.rid and c20.n = 20
   left join covered c101 on c101.rid = w.rid and c101.n = 101
 )
 select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols,

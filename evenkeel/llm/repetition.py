@@ -26,8 +26,8 @@ from evenkeel.llm.common import BLANKS, chunks
 
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
-#: A repeat shorter than this says nothing on its own.
-MIN_REPEAT = 10
+#: Shorter repeats do not count: a sentence or a notice that stands twice is no fault of a text.
+MIN_REPEAT = 20
 #: Share of words in repeats above which a text fails.
 MAX_COVERED = 0.3
 #: Words of one repeat above which a text fails.
