@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from evenkeel.session import pinned
 
+#: Links in a file of a round: small states should not be spread over very many files.
+FILE_ROWS = 250_000
+
 
 def _state(links: DataFrame) -> tuple[int, int]:
     row = links.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x")).first()
@@ -41,8 +44,10 @@ def components(links: DataFrame) -> DataFrame:
     """
     now = pinned(links.select("a", "b").where("a != b").distinct())
     state = _state(now)
-    while True:
-        now = pinned(_small_star(_large_star(now)))
+    while state[0]:
+        # Rounds never add links, so the count says how many files the next one fills.
+        files = -(-state[0] // FILE_ROWS)
+        now = pinned(_small_star(_large_star(now)).coalesce(files))
         before, state = state, _state(now)
         if state == before:
             break
