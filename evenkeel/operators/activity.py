@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions import clock, scores, text
 from evenkeel.operators.normalize import where_equal
-from evenkeel.operators.running import Fold, fitted_chunk, running
+from evenkeel.operators.running import Fold, running
 
 # Submissions a session or a client may make, and the other limits.
 SESSION_PER_HOUR = 3
@@ -40,34 +40,23 @@ def _timeline(df: DataFrame, key: str, ts: str, spans: Mapping[str, int]) -> Dat
     return df.select(F.col(key).alias("_key"), F.explode(F.array(*marks)).alias("m")).select("_key", "m.*")
 
 
-def _chunk(df: DataFrame, keys: Sequence[str], ts: str, chunk: int | None) -> int:
-    return chunk or fitted_chunk(df, keys, clock.micros(df, ts))
-
-
-def trailing_counts(
-    df: DataFrame, key: str, ts: str, spans: Mapping[str, int], chunk: int | None = None
-) -> DataFrame:
+def trailing_counts(df: DataFrame, key: str, ts: str, spans: Mapping[str, int]) -> DataFrame:
     """Add, per named span, the number of rows of the key in (t-span, t].
 
     A sliding frame would be re-summed for every row; this is one running sum,
-    cut into time chunks so that no key is tied to one task. ``chunk`` is the width
-    of a chunk in microseconds; it is fitted to the busiest key when not given.
+    cut into parts so that no key is tied to one task.
     """
-    chunk = _chunk(df, [key], ts, chunk)
     marks = _timeline(df, key, ts, spans)
     folds = {n: Fold("sum", f"_d_{n}") for n in spans}
-    counted = running(marks, ["_key"], "_at", folds, chunk=chunk)
+    counted = running(marks, ["_key"], "_at", folds)
     return counted.where(F.col("_own").isNotNull()).select("_own.*", *spans)
 
 
-def oldest_in_span(
-    df: DataFrame, key: str, ts: str, width: int, name: str = "oldest", chunk: int | None = None
-) -> DataFrame:
+def oldest_in_span(df: DataFrame, key: str, ts: str, width: int, name: str = "oldest") -> DataFrame:
     """Add the time of the oldest row of the key in (t-width, t].
 
     Seen from the future backwards: among the rows that expire after t, the first.
     """
-    chunk = _chunk(df, [key], ts, chunk)
     at = clock.micros(df, ts)
     own = F.struct(*df.columns)
     none = F.when(F.lit(False), own)
@@ -76,7 +65,7 @@ def oldest_in_span(
         F.struct((-(at + width)).alias("_at"), at.alias("_seen"), none.alias("_own")),
     )
     rows = df.select(F.col(key).alias("_key"), F.explode(marks).alias("m")).select("_key", "m.*")
-    found = running(rows, ["_key"], "_at", {"_oldest": Fold("min", "_seen")}, chunk=chunk)
+    found = running(rows, ["_key"], "_at", {"_oldest": Fold("min", "_seen")})
     oldest = clock.from_micros(df, ts, F.col("_oldest")).alias(name)
     return found.where(F.col("_own").isNotNull()).select("_own.*", oldest)
 
@@ -90,11 +79,10 @@ def rate_limits(
     client_limits: tuple[int, int] = (CLIENT_PER_HOUR, CLIENT_PER_DAY),
 ) -> DataFrame:
     """Trailing counts per session and client with a flag per exceeded limit."""
-    by_session, by_client = (_chunk(df, [k], ts, None) for k in (session, client))
     spans = {"session_1h": clock.HOUR, "session_24h": clock.DAY}
-    counted = trailing_counts(df, session, ts, spans, by_session)
+    counted = trailing_counts(df, session, ts, spans)
     spans = {"client_1h": clock.HOUR, "client_24h": clock.DAY}
-    counted = trailing_counts(counted, client, ts, spans, by_client)
+    counted = trailing_counts(counted, client, ts, spans)
     limits = {
         "session_1h": session_limits[0],
         "session_24h": session_limits[1],
@@ -112,12 +100,11 @@ def wait_minutes(df: DataFrame, key: str = "session_id", ts: str = "created_at")
 
 
 def since_previous(
-    df: DataFrame, keys: Sequence[str], ts: str, tie: str, name: str = "previous", chunk: int | None = None
+    df: DataFrame, keys: Sequence[str], ts: str, tie: str, name: str = "previous"
 ) -> DataFrame:
     """Add the time of the previous row with the same ``keys``."""
-    chunk = _chunk(df, keys, ts, chunk)
     rows = df.withColumn("_at", clock.micros(df, ts))
-    seen = running(rows, keys, "_at", {"_previous": Fold("max", "_at")}, after=[tie], chunk=chunk)
+    seen = running(rows, keys, "_at", {"_previous": Fold("max", "_at")}, after=[tie])
     return seen.select(*df.columns, clock.from_micros(df, ts, F.col("_previous")).alias(name))
 
 
@@ -127,10 +114,9 @@ def duplicates_within(
     ts: str = "created_at",
     tie: str = "id",
     minutes: int = DUPLICATE_MINUTES,
-    chunk: int | None = None,
 ) -> DataFrame:
     """Flag rows whose previous identical row is less than ``minutes`` old."""
-    found = since_previous(df, keys, ts, tie, chunk=chunk)
+    found = since_previous(df, keys, ts, tie)
     gap = F.timestamp_diff("MICROSECOND", F.col("previous"), F.col(ts))
     close = F.coalesce(gap < minutes * clock.MINUTE, F.lit(False))
     return found.withColumn("is_duplicate", close).withColumn(
@@ -144,7 +130,6 @@ def with_block(
     key: str = "session_id",
     ts: str = "created_at",
     identifier_type: str = "session",
-    chunk: int | None = None,
 ) -> DataFrame:
     """Add ``blocked_until`` (NULL when free) and ``hours_left``.
 
@@ -152,7 +137,6 @@ def with_block(
     is when the latest end among the begun blocks lies ahead. Blocks and rows go
     through one running maximum, so no pairs of rows and blocks are formed.
     """
-    chunk = _chunk(df, [key], ts, chunk)
     active = blocks.where(F.col("identifier_type") == identifier_type)
     begun = active.select(
         F.col("identifier").alias("_key"),
@@ -161,7 +145,7 @@ def with_block(
     )
     rows = df.select(F.col(key).alias("_key"), clock.micros(df, ts).alias("_at"), F.struct(*df.columns).alias("_own"))
     both = rows.unionByName(begun, allowMissingColumns=True)
-    seen = running(both, ["_key"], "_at", {"_until": Fold("max", "_end")}, chunk=chunk)
+    seen = running(both, ["_key"], "_at", {"_until": Fold("max", "_end")})
     ahead = F.when(F.col("_until") > F.col("_at"), F.col("_until"))
     return seen.where(F.col("_own").isNotNull()).select(
         "_own.*",

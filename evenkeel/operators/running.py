@@ -1,8 +1,9 @@
 """Running aggregates per key that split a very long key by time.
 
-A window over one key puts all its rows in one task. Here each key is cut into
-time chunks: totals per (key, chunk) combine map-side and are few, their prefix
-enters each chunk as one opening row, and the window runs per (key, chunk).
+A window over one key puts all its rows in one task. Here rows are first dealt out
+by ranges of (key, time), so a key with many rows spreads over as many parts as it
+fills, however its rows lie in time. Totals per (key, part) are few, their prefix
+enters each part as one opening row, and the window runs per (key, part).
 """
 
 from __future__ import annotations
@@ -13,30 +14,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenkeel.functions import clock
+from evenkeel.session import pinned
 
 _FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
-
-
-# What one task should hold of one key.
-CHUNK_ROWS = 1_000_000
-
-
-def fitted_chunk(
-    df: DataFrame, keys: Sequence[str], at: Column, widest: int = clock.DAY, rows: int = CHUNK_ROWS
-) -> int:
-    """A chunk width at which no key has more than ``rows`` rows in a chunk.
-
-    Counted with a map-side combine; only a log with a very busy key needs a
-    second count. A second is the narrowest chunk.
-    """
-    width = widest
-    while True:
-        sizes = df.groupBy(*keys, F.floor(at / width).alias("_chunk")).agg(F.count("*").alias("_n"))
-        most = sizes.agg(F.max("_n")).first()[0] or 0
-        if most <= rows or width <= clock.SECOND:
-            return width
-        width = max(clock.SECOND, width * rows // most)
+_FIRST = -(1 << 63)
 
 
 @dataclass(frozen=True)
@@ -51,40 +32,35 @@ class Fold:
 
 
 def running(
-    df: DataFrame,
-    keys: Sequence[str],
-    at: str,
-    folds: Mapping[str, Fold],
-    after: Sequence[str] = (),
-    chunk: int = clock.DAY,
+    df: DataFrame, keys: Sequence[str], at: str, folds: Mapping[str, Fold], after: Sequence[str] = ()
 ) -> DataFrame:
     """Add running folds over the rows of a key up to this one, in order of ``at``.
 
     ``at`` is a whole number (microseconds). By default all rows at the same
     ``at`` are included; with tie-break columns ``after`` the rows are strictly
-    ordered and only those before this one count. ``chunk`` is the width of the
-    piece of a key that one task handles.
+    ordered and only those before this one count. The dealt rows are written once:
+    sampled ranges may differ when a lost part is computed again. All columns of
+    ``df`` are, so hand over those that are needed.
     """
     keys = list(keys)
-    cut = F.floor(F.col(at) / chunk).cast("long")
-    rows = df.withColumn("_chunk", cut).withColumn("_opening", F.lit(False))
-    totals = (
-        df.groupBy(*keys, cut.alias("_chunk"))
-        .agg(*[fold(fold.over).alias(f"_t_{n}") for n, fold in folds.items()])
-    )
-    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = df.repartitionByRange(*keys, at, *after).withColumn("_part", F.spark_partition_id())
+    rows = pinned(dealt)
+    totals = rows.groupBy(*keys, "_part").agg(*[fold(fold.over).alias(f"_t_{n}") for n, fold in folds.items()])
+    # a row per part that a key fills
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     opening = totals.select(
         *keys,
-        "_chunk",
+        "_part",
         F.lit(True).alias("_opening"),
-        (F.col("_chunk") * chunk - 1).alias(at),
+        F.lit(_FIRST).cast("long").alias(at),
         *[fold(f"_t_{n}").over(before).alias(f"_v_{n}") for n, fold in folds.items()],
     )
-    rows = rows.withColumns({f"_v_{n}": F.col(fold.over) for n, fold in folds.items()})
-    every = rows.unionByName(opening, allowMissingColumns=True)
-    inside = Window.partitionBy(*keys, "_chunk")
+    values = {f"_v_{n}": F.col(fold.over) for n, fold in folds.items()}
+    every = rows.withColumns({"_opening": F.lit(False), **values}).unionByName(opening, allowMissingColumns=True)
+    inside = Window.partitionBy(*keys, "_part")
     if after:
-        inside = inside.orderBy(at, *after).rowsBetween(Window.unboundedPreceding, -1)
+        # NULL tie-breaks sort first, so the opening row is told apart as well
+        inside = inside.orderBy(at, F.desc("_opening"), *after).rowsBetween(Window.unboundedPreceding, -1)
     else:
         inside = inside.orderBy(at).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     out = {n: fold(f"_v_{n}").over(inside) for n, fold in folds.items()}

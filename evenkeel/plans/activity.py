@@ -27,6 +27,11 @@ _DAY = "range between interval '23 hours 59 minutes 59.999999 seconds' preceding
 _AS_OF = "hi as (select max(created_at) as as_of from subm)"
 
 
+def _narrow(spark, sf_dir, *more: str):
+    """The submissions without their texts: running aggregates write all columns they are given."""
+    return relation(spark, sf_dir, "subm").select("id", "session_id", "created_at", *more)
+
+
 @query(
     "trailing_counts",
     f"""{with_("subm")}, c as (
@@ -40,7 +45,7 @@ _AS_OF = "hi as (select max(created_at) as as_of from subm)"
            client_1h > 3 as over_client_1h, client_24h > 40 as over_client_24h from c""",
 )
 def trailing_counts(spark, sf_dir):
-    rows = activity.rate_limits(relation(spark, sf_dir, "subm"), session_limits=(1, 4), client_limits=(3, 40))
+    rows = activity.rate_limits(_narrow(spark, sf_dir, "client_id"), session_limits=(1, 4), client_limits=(3, 40))
     counts = ["session_1h", "session_24h", "client_1h", "client_24h"]
     return rows.select("id", *counts, *[f"over_{c}" for c in counts])
 
@@ -54,7 +59,7 @@ def trailing_counts(spark, sf_dir):
            60 - cast(floor((epoch_us(created_at) - epoch_us(oldest)) / 60000000) as bigint) as wait_minutes from o""",
 )
 def rate_limit_wait(spark, sf_dir):
-    return activity.wait_minutes(relation(spark, sf_dir, "subm")).select("id", "oldest", "wait_minutes")
+    return activity.wait_minutes(_narrow(spark, sf_dir)).select("id", "oldest", "wait_minutes")
 
 
 @query(
@@ -66,7 +71,7 @@ def rate_limit_wait(spark, sf_dir):
     select id, previous, coalesce(created_at - previous < interval 30 minutes, false) as is_duplicate from p""",
 )
 def duplicate_within_gap(spark, sf_dir):
-    rows = activity.duplicates_within(relation(spark, sf_dir, "subm"), keys=["session_id", "submission_type"])
+    rows = activity.duplicates_within(_narrow(spark, sf_dir, "submission_type"), keys=["session_id", "submission_type"])
     return rows.select("id", "previous", "is_duplicate")
 
 
@@ -78,7 +83,7 @@ def duplicate_within_gap(spark, sf_dir):
     select id, previous, coalesce(created_at - previous < interval 30 minutes, false) as is_duplicate from p""",
 )
 def duplicate_content(spark, sf_dir):
-    rows = activity.duplicates_within(relation(spark, sf_dir, "subm"))
+    rows = activity.duplicates_within(_narrow(spark, sf_dir, "content_hash"))
     return rows.select("id", "previous", "is_duplicate")
 
 
@@ -158,7 +163,7 @@ def duplicate_replay(spark, sf_dir):
            cast(floor((epoch_us(blocked_until) - epoch_us(created_at)) / 3600000000) as bigint) as hours_left from b""",
 )
 def blocked_submissions(spark, sf_dir):
-    rows = activity.with_block(*relations(spark, sf_dir, "subm", "blocks"))
+    rows = activity.with_block(_narrow(spark, sf_dir), relation(spark, sf_dir, "blocks"))
     return rows.where(F.col("blocked_until").isNotNull()).select("id", "blocked_until", "hours_left")
 
 

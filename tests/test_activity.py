@@ -8,6 +8,8 @@ import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from evenkeel.functions import clock
 from evenkeel.operators import activity, admission, replay, running
@@ -80,8 +82,11 @@ def test_rows_without_a_key_are_admitted(spark):
 def test_trailing_counts(spark, minutes):
     data, df = log(spark, minutes)
     spans = {"h": clock.HOUR, "d": clock.DAY}
-    for chunk in (clock.HOUR // 2, clock.DAY):
-        got = {r["id"]: (r["h"], r["d"]) for r in activity.trailing_counts(df, "session_id", "created_at", spans, chunk).collect()}
+    for parts in (1, 3):  # a key in one part and over several
+        got = {
+            r["id"]: (r["h"], r["d"])
+            for r in activity.trailing_counts(df.repartition(parts), "session_id", "created_at", spans).collect()
+        }
         for i, key, at in data:
             ages = [at - t for _, k, t in data if k == key and t <= at]
             want = tuple(sum(a < timedelta(hours=n) for a in ages) for n in (1, 24))
@@ -92,8 +97,8 @@ def test_trailing_counts(spark, minutes):
 @given(minutes=minutes)
 def test_oldest_and_previous(spark, minutes):
     data, df = log(spark, minutes)
-    oldest = {r["id"]: r["oldest"] for r in activity.oldest_in_span(df, "session_id", "created_at", clock.HOUR, chunk=clock.HOUR).collect()}
-    found = activity.since_previous(df, ["session_id"], "created_at", "id", chunk=clock.HOUR)
+    oldest = {r["id"]: r["oldest"] for r in activity.oldest_in_span(df, "session_id", "created_at", clock.HOUR).collect()}
+    found = activity.since_previous(df, ["session_id"], "created_at", "id")
     previous = {r["id"]: r["previous"] for r in found.collect()}
     for i, key, at in data:
         same = [(t, j) for j, k, t in data if k == key]
@@ -111,13 +116,23 @@ def test_block_ends_are_exclusive(spark):
     assert got == {0: False, 1: False, 2: True, 3: True, 4: False}
 
 
-def test_chunks_fit_the_busiest_key(spark):
-    df = spark.range(1000).selectExpr("if(id % 3 = 0, 'hot', cast(id as string)) as k", f"id * {clock.MINUTE} as at")
-    assert running.fitted_chunk(df, ["k"], df["at"]) == clock.DAY
-    width = running.fitted_chunk(df, ["k"], df["at"], rows=50)
-    assert width < clock.DAY
-    sizes = df.where("k = 'hot'").groupBy((df["at"] / width).cast("long")).count()
-    assert max(r["count"] for r in sizes.collect()) <= 50
+@pytest.mark.parametrize("after", [[], ["id"]])
+def test_a_hot_key_spreads_over_parts(spark, after):
+    """One key holds most rows; equal times, NULL keys and each kind of fold agree with a plain window."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    df = spark.range(3000).selectExpr(
+        "id", "if(id % 10 = 0, null, if(id % 3 = 0, cast(id % 7 as string), 'hot')) as k", "(id * 7919) % 1000 as at", "id % 13 as v"
+    )
+    folds = {"s": running.Fold("sum", "v"), "lo": running.Fold("min", "v"), "hi": running.Fold("max", "v")}
+    got = running.running(df, ["k"], "at", folds, after=after)
+    parts = got.select(F.spark_partition_id().alias("p"), "k").where("k = 'hot'").distinct().count()
+    rows = got.collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    w = Window.partitionBy("k").orderBy("at", *after)
+    w = w.rowsBetween(Window.unboundedPreceding, -1) if after else w.rangeBetween(Window.unboundedPreceding, 0)
+    want = df.select("*", F.sum("v").over(w), F.min("v").over(w), F.max("v").over(w)).collect()
+    assert Counter(map(tuple, rows)) == Counter(map(tuple, want))
+    assert parts > 1
 
 
 def test_wait_minutes(spark):
