@@ -13,6 +13,18 @@ MANY_ROWS = 1_000_000
 NESTED_LOOP_ROWS = 10_000
 FILESORT_COST = 1000.0
 TEMPORARY_COST = 500.0
+CARTESIAN_FACTOR = 10
+ORACLE_PER_SECOND = 1000
+MYSQL_ROWS_PER_SECOND = 1_000_000
+MYSQL_COST_PER_SECOND = 1000
+POSTGRESQL_PER_SECOND = 10_000
+POSTGRESQL_ROW_FACTOR = 0.5
+# Where the numbers stand in a plan's text, tried in this order.
+ORACLE_COST = (r"\|\s*(\d+)\s*\(\d+%?\)", r"(?i)Cost\s*[:=]\s*(\d+)")
+ORACLE_ROWS = (r"\|\s*(\d+)\s*\|\s*\d+\s*\(", r"(?i)Cardinality\s*[:=]\s*(\d+)", r"(?i)Rows\s*[:=]\s*(\d+)")
+MYSQL_ROWS = r"(?i)rows[:\s]+(\d+)"
+POSTGRESQL_COST = (r'(?i)Total Cost["\s:]+([0-9.]+)', r'(?i)cost["\s:=]+[0-9.]+\.\.([0-9.]+)')
+POSTGRESQL_ROWS = (r'(?i)Plan Rows["\s:]+(\d+)', r'(?i)rows["\s:=]+(\d+)')
 # Recommendation texts.
 FULL_SCAN = "⚠️ Full table scan detected. Consider adding indexes."
 SEQ_SCAN = "⚠️ Sequential scan detected. Consider adding indexes."
@@ -42,13 +54,10 @@ def _advice(*hints: Column) -> Column:
 
 
 def _oracle(plan: Column) -> Column:
-    raw = _first_number(plan, r"\|\s*(\d+)\s*\(\d+%?\)", r"(?i)Cost\s*[:=]\s*(\d+)")
-    rows = _first_number(
-        plan, r"\|\s*(\d+)\s*\|\s*\d+\s*\(", r"(?i)Cardinality\s*[:=]\s*(\d+)", r"(?i)Rows\s*[:=]\s*(\d+)"
-    )
+    raw, rows = _first_number(plan, *ORACLE_COST), _first_number(plan, *ORACLE_ROWS)
     cartesian = plan.contains("CARTESIAN")
-    cost = F.when(cartesian, raw * 10).otherwise(raw)
-    seconds = cost / 1000
+    cost = F.when(cartesian, raw * CARTESIAN_FACTOR).otherwise(raw)
+    seconds = cost / ORACLE_PER_SECOND
     full = plan.contains("TABLE ACCESS FULL")
     return F.struct(
         F.when(rows > MANY_ROWS, seconds * (rows / MANY_ROWS)).otherwise(seconds).alias("estimated_time_sec"),
@@ -62,7 +71,7 @@ def _oracle(plan: Column) -> Column:
 
 
 def _mysql(plan: Column) -> Column:
-    counts = F.regexp_extract_all(plan, F.lit(r"(?i)rows[:\s]+(\d+)"), F.lit(1))
+    counts = F.regexp_extract_all(plan, F.lit(MYSQL_ROWS), F.lit(1))
     product = F.aggregate(counts, F.lit(1.0), lambda acc, n: acc * n.cast("double"))
     rows = F.when(F.size(counts) > 0, product).otherwise(0.0)
     full = plan.contains("ALL")
@@ -70,7 +79,7 @@ def _mysql(plan: Column) -> Column:
     cost = F.when(filesort, FILESORT_COST).otherwise(0.0) + F.when(temporary, TEMPORARY_COST).otherwise(0.0)
     no_index = full & plan.contains("NULL")
     return F.struct(
-        (rows / 1_000_000 + cost / 1000).alias("estimated_time_sec"),
+        (rows / MYSQL_ROWS_PER_SECOND + cost / MYSQL_COST_PER_SECOND).alias("estimated_time_sec"),
         rows.alias("estimated_rows"),
         cost.alias("estimated_cost"),
         full.alias("has_full_table_scan"),
@@ -84,12 +93,11 @@ def _mysql(plan: Column) -> Column:
 
 
 def _postgresql(plan: Column) -> Column:
-    cost = _first_number(plan, r'(?i)Total Cost["\s:]+([0-9.]+)', r'(?i)cost["\s:=]+[0-9.]+\.\.([0-9.]+)')
-    rows = _first_number(plan, r'(?i)Plan Rows["\s:]+(\d+)', r'(?i)rows["\s:=]+(\d+)')
-    seconds = cost / 10000
+    cost, rows = _first_number(plan, *POSTGRESQL_COST), _first_number(plan, *POSTGRESQL_ROWS)
+    seconds = cost / POSTGRESQL_PER_SECOND
     full = plan.contains("Seq Scan")
     return F.struct(
-        F.when(rows > MANY_ROWS, seconds * ((rows / MANY_ROWS) * 0.5)).otherwise(seconds).alias(
+        F.when(rows > MANY_ROWS, seconds * ((rows / MANY_ROWS) * POSTGRESQL_ROW_FACTOR)).otherwise(seconds).alias(
             "estimated_time_sec"
         ),
         rows.alias("estimated_rows"),

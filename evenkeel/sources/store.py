@@ -99,6 +99,27 @@ class HistoryStore:
         state = history.session_state(self.table("events")).drop("created_at")
         return self.table("sessions").drop("run_date").join(state, "session_id", "left")
 
+    def compacted(self, out: str) -> "HistoryStore":
+        """Write all tables to a new root, one file per table and day, and return its store.
+
+        Every change of state is a small file; run this now and then and switch roots.
+        """
+        kept = HistoryStore(self.spark, out)
+        for name in (*SCHEMAS, "results", "mismatches"):
+            rows = self._written(name)
+            if rows is not None:
+                rows.repartition("run_date").write.partitionBy("run_date").parquet(kept._path(name))
+        return kept
+
+    def _written(self, name: str) -> DataFrame | None:
+        """A table, or None when nobody has written it yet."""
+        try:
+            return self.table(name)
+        except Exception as missing:
+            if "PATH_NOT_FOUND" not in str(missing):
+                raise
+            return None
+
     def remove_expired(self, as_of: datetime, days: int, out: str) -> "HistoryStore":
         """Write what the retention rule keeps to a new root and return its store.
 
@@ -108,11 +129,8 @@ class HistoryStore:
         kept = HistoryStore(self.spark, out)
         gone = history.expired_sessions(self.sessions(), F.lit(as_of), days)
         for name in ("sessions", "events", "files", "results", "mismatches", "audit"):
-            try:
-                rows = self.table(name)
-            except Exception as missing:  # a table nobody has written yet
-                if "PATH_NOT_FOUND" not in str(missing):
-                    raise
+            rows = self._written(name)
+            if rows is None:
                 continue
             left = rows if name == "audit" else rows.join(gone, "session_id", "left_anti")
             left.write.partitionBy("run_date").parquet(kept._path(name))

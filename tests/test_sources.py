@@ -165,6 +165,11 @@ def test_history_store(spark, tmp_path):
     assert runs.table("results").first()["match_score"] == 50.0
     assert runs.table("mismatches").select("source_value", "target_value").collect() == [("y", "z")]
 
+    small = runs.compacted(str(tmp_path / "small"))
+    for table in ("sessions", "events", "files", "results", "mismatches", "audit"):
+        assert small.table(table).count() == runs.table(table).count()
+    assert len(list((tmp_path / "small" / "events").rglob("*.parquet"))) == 1
+
     kept = runs.remove_expired(datetime(2024, 7, 1), 30, str(tmp_path / "kept"))
     assert [r["session_id"] for r in kept.table("sessions").collect()] == ["open"]
     assert kept.table("files").count() == 0 and kept.table("events").count() == 1
