@@ -22,6 +22,11 @@ def id_rest(column: str, divisor: int) -> Column:
     return F.coalesce((F.crc32(F.col(column).cast("string")) % divisor).cast("int"), F.lit(-1))
 
 
+def uniform(*parts: Column | str) -> Column:
+    """A number in [0, 1) from a hash."""
+    return F.shiftrightunsigned(F.xxhash64(*parts), 11) * F.lit(1.0 / (1 << 53))
+
+
 def chunks(texts: list[str], most_chars: int = 1 << 20) -> Iterator[tuple[int, int]]:
     """Cut a batch into runs of about ``most_chars`` characters; a longer text makes a run of its own."""
     begin = total = 0

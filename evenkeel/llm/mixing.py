@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import BLANKS
+from evenkeel.llm.common import BLANKS, uniform
 from evenkeel.session import pinned
 
 WEIGHTS = (1, 2, 3)
@@ -36,7 +36,6 @@ SHARD = 4_096
 BUCKETS = 4_096
 ROUNDS = 24
 SEED = 7
-_UNIT = 1.0 / (1 << 53)
 
 
 def words(text: Column) -> Column:
@@ -44,11 +43,6 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.translate(text, BLANKS, " " * len(BLANKS)), " "), lambda w: w != "")
 
 
-def _uniform(*parts: Column) -> Column:
-    """A number in [0, 1) from a hash."""
-    return F.shiftrightunsigned(F.xxhash64(*parts), 11) * F.lit(_UNIT)
-
-
 def _key(source: Column) -> Column:
     """Sources as text that sorts by code point, NULL last, and never equals NULL."""
     return F.when(source.isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), source))
@@ -127,7 +121,7 @@ def draws(known: DataFrame, shard: int = SHARD, seed: int = SEED) -> DataFrame:
         .agg(F.max("open").cast("int").alias("open"), F.max("parts").alias("parts"))
         .where("open > 0")
         .select("shard", "parts", F.explode(F.sequence(F.lit(1), F.col("open"))).alias("i"))
-        .select("shard", (_uniform(F.lit(seed), F.col("shard"), F.col("i")) * F.col("parts")).alias("at"))
+        .select("shard", (uniform(F.lit(seed), F.col("shard"), F.col("i")) * F.col("parts")).alias("at"))
     )
     ends = each.select("shard", F.col("upto").alias("at"), "key", F.lit(0).alias("drawn"))
     line = ends.unionByName(points.select("shard", "at", F.lit(None).cast("string").alias("key"), F.lit(1).alias("drawn")))
@@ -147,7 +141,10 @@ def draws(known: DataFrame, shard: int = SHARD, seed: int = SEED) -> DataFrame:
 def slots(drawn: DataFrame, passes: int = PASSES, seed: int = SEED) -> DataFrame:
     """key, shard, slot (of the source), pass, block: one row per block that the mix takes."""
     numbers = F.explode(F.sequence(F.col("first"), F.col("first") + F.col("n") - 1))
-    rows = drawn.select("key", "shard", "blocks", numbers.alias("slot")).where(F.col("slot") < passes * F.col("blocks"))
+    # A row here becomes thousands below: dealt out by number, as adaptive execution would join such small partitions.
+    parts = int(drawn.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = drawn.repartition(parts, "shard", "key").select("key", "shard", "blocks", numbers.alias("slot"))
+    rows = rows.where(F.col("slot") < passes * F.col("blocks"))
     rows = rows.withColumn("pass", F.floor(F.col("slot") / F.col("blocks")).cast("int"))
     index = F.col("slot") - F.col("pass") * F.col("blocks")
     block = permuted(index, F.col("blocks"), F.lit(seed), F.col("key"), F.col("pass"))
