@@ -130,7 +130,8 @@ def draws(known: DataFrame, shard: int = SHARD, seed: int = SEED) -> DataFrame:
     hit = F.last("key", ignorenulls=True).over(beyond.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     drawn = line.withColumn("key", F.coalesce(hit, F.max("key").over(Window.partitionBy("shard")))).groupBy("shard", "key")
     extra = drawn.agg(F.sum("drawn").alias("extra"))
-    counts = each.join(extra, ["shard", "key"], "left").select(
+    # Sizes of exploded rows cannot be estimated beforehand: without the hint a side could be broadcast, however large.
+    counts = each.join(extra.hint("merge"), ["shard", "key"], "left").select(
         "shard", "key", "blocks", (F.col("whole") + F.coalesce("extra", F.lit(0))).alias("n")
     )
     # a row per shard and source
@@ -183,7 +184,7 @@ def mixed(docs: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = S
     sizes = pinned(sized(docs))
     known = pinned(sources(sizes, block).coalesce(1))
     taken = slots(draws(known, shard, seed), seed=seed)
-    return sizes, known, taken.join(fragments(sizes, block), ["key", "block"])
+    return sizes, known, taken.join(fragments(sizes, block).hint("merge"), ["key", "block"])
 
 
 def taken_words(docs: DataFrame, **settings: int) -> DataFrame:
@@ -192,7 +193,7 @@ def taken_words(docs: DataFrame, **settings: int) -> DataFrame:
     sums = mix.groupBy("doc_id", "key", "size", "copy").agg(F.sum("n").alias("taken"))
     every = sizes.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     same = [every["key"] == sums["key"], every["size"] == sums["size"], every["copy"] == sums["copy"]]
-    joined = every.join(sums, [every["doc_id"].eqNullSafe(sums["doc_id"]), *same], "left").select(
+    joined = every.join(sums.hint("merge"), [every["doc_id"].eqNullSafe(sums["doc_id"]), *same], "left").select(
         every["doc_id"], every["key"], every["size"], F.coalesce(sums["taken"], F.lit(0)).alias("taken")
     )
     return joined.join(known, "key").select("doc_id", "size", "source_size", "target", "taken")
@@ -226,7 +227,7 @@ def mixed_texts(docs: DataFrame, **settings: int) -> DataFrame:
     )
     text = F.when(runs["n"] == runs["size"], F.col("row.text")).otherwise(cut)
     row = F.col("row").withField("text", text)
-    found = rows.join(runs, same).select(row.alias("row"))
+    found = rows.join(runs.hint("merge"), same).select(row.alias("row"))
     if "n_chars" in docs.columns:
         found = found.select(F.col("row").withField("n_chars", F.length("row.text").cast("long")).alias("row"))
     return found.select("row.*")
