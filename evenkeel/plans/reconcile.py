@@ -653,6 +653,22 @@ def named_source_diff(spark, sf_dir):
     return report.summary(source, relation(spark, sf_dir, "tgt"), CompareSpec(keys=("o_orderkey",), columns=VALUES))
 
 
+@query(
+    "listed_files",
+    "select o_orderstatus as status, 1::bigint as files, true as has_content from orders group by o_orderstatus",
+)
+def listed_files(spark, sf_dir):
+    """Orders written as one CSV file per status, and the files that a listing finds."""
+    load(spark, sf_dir)
+    path = workspace(spark) + "/listed"
+    spark.table("orders").repartition("o_orderstatus").write.partitionBy("o_orderstatus").csv(path)
+    found = files.list_documents(spark, path, "*.csv")
+    status = F.regexp_extract("path", "o_orderstatus=([^/]*)/", 1)
+    return found.groupBy(status.alias("status")).agg(
+        F.count("*").alias("files"), F.bool_and(F.col("size_bytes") > 0).alias("has_content")
+    )
+
+
 _TEXTS = ("select * from src", "select * from tgt")
 
 
@@ -799,6 +815,4 @@ def _packed(customers: DataFrame) -> DataFrame:
 def zip_members(spark, sf_dir):
     load(spark, sf_dir)
     rows = archives.unzip_csv(_packed(spark.table("customer")))
-    return rows.select(
-        "archive", "member", "row_number", F.col("row")["c_custkey"].alias("c_custkey"), F.col("row")["c_name"].alias("c_name")
-    )
+    return rows.select("archive", "member", "row_number", archives.field("c_custkey"), archives.field("c_name"))

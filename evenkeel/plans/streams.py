@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.functions import clock
+from evenkeel.operators import diff
 from evenkeel.plans import activity, oracles
-from evenkeel.plans.fixtures import relation, with_
+from evenkeel.plans.fixtures import relation, relations, with_
 from evenkeel.session import workspace
 from evenkeel.spec import CompareSpec
 from evenkeel.streaming import feeds, limits
@@ -195,3 +196,17 @@ def stream_late_rows(spark, sf_dir):
     counts = feeds.drain(feeds.windowed_counts(stream, "event_type", "ts", "1 hour", "1 hour"), path)
     rows = counts.where(F.col("event_type") != "closing")
     return rows.select("event_type", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n")
+
+
+@query(
+    "observed_progress",
+    f"""{with_("src", "tgt")}, {oracles.statuses("src", "tgt", ["o_orderkey"],
+        oracles.same("o_custkey", "o_orderstatus", "o_totalprice"))}
+    select count(*) as rows, count(*) filter (where row_status <> 'match') as mismatches from j""",
+)
+def observed_progress(spark, sf_dir):
+    """Counters that fill while the rows of a compare are written."""
+    statuses = diff.row_statuses(*relations(spark, sf_dir, "src", "tgt"), CompareSpec(keys=("o_orderkey",)))
+    rows, progress = feeds.observed(statuses)
+    rows.write.parquet(f"{workspace(spark)}/observed")
+    return spark.createDataFrame([(progress.get["rows"], progress.get["mismatches"])], "rows long, mismatches long")

@@ -8,42 +8,65 @@ import io
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-MEMBER_SCHEMA = "archive string, member string, row_number long, row map<string,string>"
+MEMBER_SCHEMA = "archive string, member string, row_number long, header array<string>, fields array<string>"
 _BATCH = 10_000
 
 
 def unzip_csv(archives: DataFrame, pattern: str = "*.csv") -> DataFrame:
     """Rows of the CSV members of archives given as (path, content).
 
-    One archive is one task's work; a file read as ``binaryFile`` is below 2 GB.
-    Rows leave in batches, so a member is never held unpacked as a whole.
+    ``header`` has the names of a member's columns and ``fields`` the texts of a row
+    in the same order, so members may differ and names may repeat; ``field`` picks
+    one by name. One archive is one task's work; a file read as ``binaryFile`` is
+    below 2 GB. Rows leave in batches, so a member is never held unpacked as a whole.
     """
 
-    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+            for path, content in zip(batch.column("path"), batch.column("content"), strict=True):
+                with zipfile.ZipFile(io.BytesIO(content.as_buffer())) as archive:
                     for name in sorted(archive.namelist()):
                         if fnmatch.fnmatch(name, pattern):
-                            yield from _rows(path, archive, name)
+                            yield from _rows(path.as_py(), archive, name)
 
-    return archives.select("path", "content").mapInPandas(members, MEMBER_SCHEMA)
+    return archives.select("path", "content").mapInArrow(members, MEMBER_SCHEMA)
 
 
-def _rows(path: str, archive: zipfile.ZipFile, name: str) -> Iterator[pd.DataFrame]:
+def _rows(path: str, archive: zipfile.ZipFile, name: str) -> Iterator[pa.RecordBatch]:
     with archive.open(name) as raw:
-        reader = csv.DictReader(io.TextIOWrapper(raw, encoding="utf-8-sig", newline=""))
-        held: list[tuple] = []
-        for number, row in enumerate(reader, 1):
-            held.append((path, name, number, {k: v for k, v in row.items() if k is not None}))
+        reader = csv.reader(io.TextIOWrapper(raw, encoding="utf-8-sig", newline=""))
+        header = next(reader, None)
+        number, held = 0, []
+        for row in reader:
+            if row:  # a blank line is no row
+                held.append(row)
             if len(held) == _BATCH:
-                yield pd.DataFrame(held, columns=["archive", "member", "row_number", "row"])
-                held = []
+                yield _batch(path, name, number, header, held)
+                number, held = number + len(held), []
         if held:
-            yield pd.DataFrame(held, columns=["archive", "member", "row_number", "row"])
+            yield _batch(path, name, number, header, held)
+
+
+def _batch(path: str, name: str, before: int, header: list[str], rows: list[list[str]]) -> pa.RecordBatch:
+    n, texts = len(rows), pa.list_(pa.string())
+    columns = [
+        pa.repeat(path, n),
+        pa.repeat(name, n),
+        pa.array(range(before + 1, before + n + 1), pa.int64()),
+        pa.repeat(pa.scalar(header, texts), n),
+        pa.array(rows, texts),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["archive", "member", "row_number", "header", "fields"])
+
+
+def field(name: str) -> Column:
+    """The text of the first column called ``name``; NULL where a member or a row lacks it."""
+    at = F.array_position("header", name)
+    return F.when(at > 0, F.try_element_at("fields", at.cast("int"))).alias(name)
 
 
 def read_zip_csv(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
