@@ -48,8 +48,8 @@ class CompareSpec:
     keys            columns that identify a row (empty for multiset compare)
     columns         compared columns; None means all common columns but the keys
     ignore*         columns left out, on both sides or on one
-    trim            strip surrounding blanks from compared strings
-    case_sensitive  False folds compared strings to lower case
+    trim            strip surrounding blanks from strings, keys included
+    case_sensitive  False folds strings, keys included, to lower case
     ignore_nulls    NULL against a value is not a difference
     null_safe_keys  NULL keys match each other (``<=>``); else they stay unmatched
     duplicates      'report': keys that repeat are set apart, never multiplied;
