@@ -1,10 +1,11 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
-Training takes at most ``per_lang`` documents of each language (the ones with the smallest hash of their id), counts
-n-grams of one to four code points in hashed buckets inside Spark tasks, sums the counts by language and bucket, and
-brings the matrix (languages x buckets) to the driver. Its size is bounded by ``MOST_LANGS`` x ``BUCKETS`` cells,
-whatever the data; more languages than that are an error. The log-probability matrix is broadcast, and a batch of texts
-is scored as a product of its sparse (text x bucket) counts with the matrix.
+Training takes about ``per_lang`` documents of each language: those whose hash of id and text lies below the share that
+``per_lang`` makes of the language's documents, or all if there are fewer. It counts n-grams of one to four code points
+in hashed buckets inside Spark tasks, sums the counts by language and bucket, and brings the matrix (languages x
+buckets) to the driver. Its size is bounded by ``MOST_LANGS`` x ``BUCKETS`` cells, whatever the data; more languages
+than that are an error. The log-probability matrix is broadcast, and a batch of texts is scored as a product of its
+sparse (text x bucket) counts with the matrix.
 
 Cases: a NULL text and one without any letter get ``und`` and score 0; rows without a language are not learned from;
 with nothing to learn from every text gets ``und``; equal texts get equal results; repeated rows stay; of two languages
@@ -19,10 +20,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import chunks
+from evenkeel.llm.common import chunks, uniform
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3, 4)
@@ -113,17 +114,9 @@ def smoothed(langs: list[str], counts: np.ndarray, docs: np.ndarray, add: float
 
 def fit(docs: DataFrame, per_lang: int = PER_LANG, buckets: int = BUCKETS) -> LanguageModel:
     """Learn from the columns ``text`` and ``lang`` of ``docs``; ``doc_id`` only picks the sample."""
-    mark = F.xxhash64("doc_id", F.lit("lang"))
-    known = docs.where("lang is not null and text is not null").select("lang", "text", mark.alias("mark"))
-    near = Window.partitionBy("lang").orderBy("mark")
-    cut = (
-        known.select("lang", "mark")
-        .withColumn("at", F.row_number().over(near))
-        .where(F.col("at") <= per_lang)
-        .groupBy("lang")
-        .agg(F.max("mark").alias("last"))
-    )
-    sample = known.join(F.broadcast(cut.limit(MOST_LANGS + 1)), "lang").where("mark <= last").select("lang", "text")
+    known = docs.where("lang is not null and text is not null").select("lang", "text", uniform("doc_id", "text").alias("u"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1)
+    sample = known.join(F.broadcast(sizes), "lang").where(F.col("u") < per_lang / F.col("n")).select("lang", "text")
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[str, np.ndarray] = {}
