@@ -222,9 +222,13 @@ def mixed_texts(docs: DataFrame, **settings: int) -> DataFrame:
         alike = Window.partitionBy("doc_id", "key", "size").orderBy("row.text")
         rows = rows.withColumn("copy", F.row_number().over(alike).cast("long"))
     same = [rows["doc_id"].eqNullSafe(runs["doc_id"]), *(rows[c] == runs[c] for c in ("key", "size", "copy"))]
-    cut = F.array_join(
-        F.flatten(F.transform(runs["runs"], lambda r: F.slice(parts, (r["start"] + 1).cast("int"), r["n"].cast("int")))), ""
-    )
+
+    def taken(cut_text: Column) -> Column:
+        some = F.transform(runs["runs"], lambda r: F.slice(cut_text, (r["start"] + 1).cast("int"), r["n"].cast("int")))
+        return F.array_join(F.flatten(some), "")
+
+    # A text is cut into words once, not once for each of its runs: as the one element of an outer array.
+    cut = F.transform(F.array(parts), taken)[0]
     text = F.when(runs["n"] == runs["size"], F.col("row.text")).otherwise(cut)
     row = F.col("row").withField("text", text)
     found = rows.join(runs.hint("merge"), same).select(row.alias("row"))
