@@ -271,7 +271,7 @@ _FULL = " or ".join(
 @query(
     "submission_funnel",
     f"""with recursive notes as ({RELATIONS["renotes"]}), {VALID}, {QUALITY}, {RELEVANT},
-    x0 as (select row_number() over (order by v.created_at, v.id) as n, v.id, v.session_id, v.client_id, v.created_at,
+    x0 as materialized (select row_number() over (order by v.created_at, v.id) as n, v.id, v.session_id, v.client_id, v.created_at,
                   md5(v.low) as copy, quality_score < 7 as poor,
                   case when invalid_reason is not null then 'content' when category <> 'relevant' then 'relevance' end
                     as stop
