@@ -2,13 +2,13 @@
 
 Of all substrings of ``K`` code points those are anchors whose smallest inner substring of ``S`` code points (by hash)
 lies at the left or right edge. Whether a substring is an anchor depends on itself alone, so an edit moves no anchors
-beyond its reach. A fingerprint holds the anchors of the whole text as (hash, position), where the hash also counts how
-often the anchor has occurred before, so repetitive texts keep all their places; it is thinned to the ``KEPT`` anchors
-with the smallest hashes and written as text, ``n_chars:hash@position,...``.
+beyond its reach. A fingerprint holds all anchors of the whole text as (hash, position) and is written as text,
+``n_chars:`` and in base64 one bit for each code point (does an anchor begin there?), then the 64-bit hashes in order of
+position. About 2/7 of the code points begin an anchor, so a written fingerprint has some 3 bytes for each of them.
 
-Two fingerprints are compared by position: anchors with the same hash vote for the shift between their positions, and
-the likeness is the share of matching anchors (Dice) that agree with the most voted shift. Thinned fingerprints are
-compared below the smaller of their largest hashes only, where both are complete.
+Two fingerprints are compared by position: the n-th place of an anchor in one text meets the n-th place of the same
+anchor in the other and votes for the shift between them, and the likeness is the share of anchors (Dice) that agree
+with the most voted shift.
 
 The successor of a document (by doc_id, then text) may lie in another partition: documents are dealt to ranges of
 doc_id, and the first document of each range is also given to the range before. Ranges come from quantiles of doc_id, so
@@ -22,6 +22,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 from collections.abc import Iterator
 
@@ -35,7 +36,6 @@ from evenkeel.llm.common import chunks
 
 K = 10
 S = 4
-KEPT = 64
 #: Rows that one range of doc_id should hold.
 RANGE_ROWS = 4_000
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -112,54 +112,52 @@ def _all_anchors(texts: list[str], k: int, s: int) -> list[tuple[np.ndarray, np.
     return out
 
 
-def prints(texts: list[str], k: int = K, s: int = S, kept: int = KEPT) -> list[Print]:
-    """Fingerprints as (number of code points, hashes ascending, positions)."""
+def prints(texts: list[str], k: int = K, s: int = S) -> list[Print]:
+    """Fingerprints as (number of code points, hashes ascending, positions); equal hashes are in order of position."""
     out: list[Print] = []
     for lo, hi in chunks(texts, 1 << 19):
         for text, (hashes, places) in zip(texts[lo:hi], _all_anchors(texts[lo:hi], k, s), strict=True):
-            order = np.lexsort((places, hashes))
-            hashes, places = hashes[order], places[order]
-            heads = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])[: len(hashes)])
-            sizes = np.diff(np.append(heads, len(hashes)))
-            turn = np.arange(len(hashes)) - np.repeat(heads, sizes)  # the n-th time that this anchor occurs
-            with np.errstate(over="ignore"):
-                hashes = _mixed(hashes + turn.astype(np.uint64) * _MULTIPLIER)
-            order = np.lexsort((places, hashes))[:kept]
+            order = np.argsort(hashes, kind="stable")
             out.append((len(text), hashes[order], places[order]))
     return out
 
 
 def written(one: Print) -> str:
-    return f"{one[0]}:" + ",".join(f"{h:x}@{p}" for h, p in zip(one[1].tolist(), one[2].tolist(), strict=True))
+    n, hashes, places = one
+    begins, by_place = np.zeros(n, bool), np.zeros(n, "<u8")
+    begins[places], by_place[places] = True, hashes
+    return f"{n}:" + base64.b64encode(np.packbits(begins).tobytes() + by_place[begins].tobytes()).decode()
 
 
 def read(text: str) -> Print:
-    n, _, rest = text.partition(":")
-    pairs = [x.split("@") for x in rest.split(",") if x]
-    return (
-        int(n),
-        np.array([int(h, 16) for h, _ in pairs], np.uint64),
-        np.array([int(p) for _, p in pairs], np.int64),
-    )
+    number, _, rest = text.partition(":")
+    n, data = int(number), base64.b64decode(rest)
+    bits = -(-n // 8)
+    places = np.flatnonzero(np.unpackbits(np.frombuffer(data[:bits], np.uint8), count=n))
+    hashes = np.frombuffer(data[bits:], "<u8").astype(np.uint64)
+    order = np.argsort(hashes, kind="stable")
+    return n, hashes[order], places[order]
 
 
-def likeness(a: Print, b: Print, kept: int = KEPT) -> float:
-    """Share of anchors that match at one common shift, 0 to 1."""
+def _matches(a: Print, b: Print) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in both texts of the anchors that meet, the n-th place of an anchor with its n-th place."""
     (_, ha, pa_), (_, hb, pb) = a, b
-    if not len(ha) or not len(hb):
-        return float(len(ha) == len(hb))
-    # a thinned fingerprint says nothing about hashes above its largest
-    top = min([h[-1] for h in (ha, hb) if len(h) >= kept], default=None)
-    if top is not None:
-        na, nb = np.searchsorted(ha, top, "right"), np.searchsorted(hb, top, "right")
-        ha, pa_, hb, pb = ha[:na], pa_[:na], hb[:nb], pb[:nb]
-    at = np.searchsorted(hb, ha)
+    turn = np.arange(len(ha)) - np.searchsorted(ha, ha)
+    at = np.searchsorted(hb, ha) + turn
     hit = at < len(hb)
     hit[hit] = hb[at[hit]] == ha[hit]
-    if not hit.any():
+    return pa_[hit], pb[at[hit]]
+
+
+def likeness(a: Print, b: Print) -> float:
+    """Share of anchors that match at one common shift, 0 to 1."""
+    total = len(a[1]) + len(b[1])
+    if not len(a[1]) or not len(b[1]):
+        return float(not total)
+    here, there = _matches(a, b)
+    if not len(here):
         return 0.0
-    shifts = pa_[hit] - pb[at[hit]]
-    return float(2 * np.unique(shifts, return_counts=True)[1].max() / (len(ha) + len(hb)))
+    return float(2 * np.unique(here - there, return_counts=True)[1].max() / total)
 
 
 def edited(text: str, following: str) -> str:
@@ -237,7 +235,7 @@ def compared(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
         over = False  # the lent row has closed the range
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            own = prints(texts)
+            own = (one for lo, hi in chunks(texts, 1 << 19) for one in prints(texts[lo:hi]))
             ids, ranges = batch.column("doc_id").to_pylist(), batch.column("range").to_pylist()
             for doc_id, text, held_in, is_lent, mark in zip(
                 ids, texts, ranges, batch.column("lent").to_pylist(), own, strict=True

@@ -374,6 +374,22 @@ def test_fingerprint_text_round_trip():
         assert syncmers.written(syncmers.read(syncmers.written(one))) == syncmers.written(one)
 
 
+def test_fingerprint_holds_every_anchor():
+    r = random.Random(8)
+    vocabulary = ["".join(r.choices("abcdefghijklmnop", k=r.randint(2, 9))) for _ in range(500)]
+    for n_words in (200, 1_500, 5_000):
+        words = r.choices(vocabulary, k=n_words)
+        text = " ".join(words)
+        other = " ".join(words[: n_words // 2] + ["qrstuv"] + words[n_words // 2 + 1 :])
+        one, two = syncmers.prints([text, other])
+        assert sorted(syncmers.read(syncmers.written(one))[2].tolist()) == _slow_anchors(text)
+        assert syncmers.written(one) != syncmers.written(two)
+        # a word of the same length costs the few anchors that touch it, whatever the length of the text
+        same = " ".join(words[: n_words // 2] + ["q" * len(words[n_words // 2])] + words[n_words // 2 + 1 :])
+        lost = (1 - syncmers.likeness(one, syncmers.prints([same])[0])) * len(one[1])
+        assert 0 < lost < 30
+
+
 def _slow_compared(rows):
     rows = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
     texts = [t or "" for _, t in rows]
