@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 
 from evenkeel.llm import language, repetition, toxicity
 from evenkeel.llm.common import id_rest, kept_rows, table
@@ -70,6 +71,18 @@ def test_verdict_of_batches_equals_columns(spark, sf_dir):
     assert 0 < len(passed) < docs.count()
 
 
+@pytest.mark.parametrize("words", [10, 15, 19, 20, 25, 30])
+@pytest.mark.parametrize("share", [0.28, 0.32, 0.45])
+def test_short_repeats_on_both_sides_of_the_limit(words, share):
+    said = [" ".join(f"r{i}x{j}" for j in range(words)) for i in range(4)]
+    alone = round(8 * words / share) - 8 * words
+    between = [" ".join(f"u{k}x{j}" for j in range(k, alone, 8)) for k in range(8)]
+    text = " ".join(f"{a} {b}" for a, b in zip(said + said, between, strict=True))
+    assert (repetition.repeats([text.encode()], 10).covered[0] > 0.3 * len(text.split())) == (share > 0.3)
+    # from 20 words on the limit of 30 % decides, below the base rule alone
+    assert repetition.passes([text]).tolist() == [words < 20 or share < 0.3]
+
+
 def test_long_repeats_fail(spark):
     plain = " ".join(f"w{i}" for i in range(400))
     part = " ".join(f"p{i}" for i in range(110))
