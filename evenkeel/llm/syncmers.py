@@ -7,8 +7,10 @@ beyond its reach. A fingerprint holds all anchors of the whole text as (hash, po
 position. About 2/7 of the code points begin an anchor, so a written fingerprint has some 3 bytes for each of them.
 
 Two fingerprints are compared by position: the n-th place of an anchor in one text meets the n-th place of the same
-anchor in the other and votes for the shift between them, and the likeness is the share of anchors (Dice) that agree
-with the most voted shift.
+anchor in the other, counted from the beginning and from the end. The likeness is the share of anchors (Dice) on the
+longest chain of such meetings that goes forward in both texts, so an insertion costs the anchors that it touches. Of an
+anchor that is inserted at several places between its other occurrences, those between the first and the last place may
+miss their partner.
 
 The successor of a document (by doc_id, then text) may lie in another partition: documents are dealt to ranges of
 doc_id, and the first document of each range is also given to the range before. Ranges come from quantiles of doc_id, so
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -139,25 +142,38 @@ def read(text: str) -> Print:
     return n, hashes[order], places[order]
 
 
-def _matches(a: Print, b: Print) -> tuple[np.ndarray, np.ndarray]:
-    """Positions in both texts of the anchors that meet, the n-th place of an anchor with its n-th place."""
+def _matches(a: Print, b: Print) -> np.ndarray:
+    """Positions in the second text of the anchors that meet, by position in the first, the latest first."""
     (_, ha, pa_), (_, hb, pb) = a, b
-    turn = np.arange(len(ha)) - np.searchsorted(ha, ha)
-    at = np.searchsorted(hb, ha) + turn
-    hit = at < len(hb)
-    hit[hit] = hb[at[hit]] == ha[hit]
-    return pa_[hit], pb[at[hit]]
+    at = np.arange(len(ha))
+    low, high = np.searchsorted(hb, ha), np.searchsorted(hb, ha, "right")
+    fore = low + at - np.searchsorted(ha, ha)
+    back = high + at - np.searchsorted(ha, ha, "right")
+    ahead, behind = fore < high, (back >= low) & (back != fore)
+    here = np.concatenate([pa_[ahead], pa_[behind]])
+    there = np.concatenate([pb[fore[ahead]], pb[back[behind]]])
+    return there[np.lexsort((-there, here))]
+
+
+def _chain(values: list[int]) -> int:
+    """Length of the longest strictly increasing run, gaps allowed."""
+    ends: list[int] = []  # the smallest end of a run of each length
+    last = -1
+    for x in values:
+        if x > last:
+            ends.append(x)
+        else:
+            ends[bisect_left(ends, x)] = x
+        last = ends[-1]
+    return len(ends)
 
 
 def likeness(a: Print, b: Print) -> float:
-    """Share of anchors that match at one common shift, 0 to 1."""
+    """Share of anchors on the longest common chain, 0 to 1."""
     total = len(a[1]) + len(b[1])
     if not len(a[1]) or not len(b[1]):
         return float(not total)
-    here, there = _matches(a, b)
-    if not len(here):
-        return 0.0
-    return float(2 * np.unique(here - there, return_counts=True)[1].max() / total)
+    return 2 * _chain(_matches(a, b).tolist()) / total
 
 
 def edited(text: str, following: str) -> str:

@@ -390,6 +390,40 @@ def test_fingerprint_holds_every_anchor():
         assert 0 < lost < 30
 
 
+@pytest.mark.parametrize("size", [30, 3_000])
+def test_likeness_survives_insertions(size):
+    r = random.Random(9)
+    vocabulary = ["".join(r.choices("abcdefghijklmnop", k=r.randint(2, 9))) for _ in range(size)]
+    words = r.choices(vocabulary, k=1_000)
+    one = syncmers.prints([" ".join(words)])[0]
+    once = " ".join(words[:500] + ["qrstuv"] + words[500:])
+    assert 0.98 < syncmers.likeness(one, syncmers.prints([once])[0]) < 1
+    often = " ".join(w + " qrstuv" * (i % 100 == 50) for i, w in enumerate(words))
+    two = syncmers.prints([often])[0]
+    assert 0.9 < syncmers.likeness(one, two) == syncmers.likeness(two, one) < 1
+    other = syncmers.prints([" ".join(r.choices(vocabulary, k=1_000))])[0]
+    assert syncmers.likeness(one, other) < 0.5
+
+
+def test_likeness_against_brute_force():
+    r = random.Random(10)
+
+    def chain(x, y):
+        best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for i, u in enumerate(x):
+            for j, v in enumerate(y):
+                best[i + 1][j + 1] = best[i][j] + 1 if u == v else max(best[i][j + 1], best[i + 1][j])
+        return best[-1][-1]
+
+    for _ in range(30):  # no anchor stands twice
+        text = "".join(map(chr, r.sample(range(200, 9_000), 200)))
+        cut = sorted(r.choices(range(200), k=4))
+        other = text[: cut[0]] + "".join(map(chr, r.sample(range(9_000, 10_000), 9))) + text[cut[1] : cut[3]] + text[cut[0] : cut[1]]
+        (a, b), (x, y) = syncmers.prints([text, other]), syncmers._all_anchors([text, other], syncmers.K, syncmers.S)
+        want = 2 * chain(x[0].tolist(), y[0].tolist()) / max(len(x[0]) + len(y[0]), 1)
+        assert syncmers.likeness(a, b) == (want if len(x[0]) and len(y[0]) else float(len(x[0]) == len(y[0])))
+
+
 def _slow_compared(rows):
     rows = sorted(rows, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or ""))
     texts = [t or "" for _, t in rows]
