@@ -170,3 +170,22 @@ def test_toxicity_learns_and_edges(spark):
     fewer = toxicity.sample(docs, marks, per_class=5).collect()
     assert 2 <= len(fewer) <= 25 and {tuple(x) for x in fewer} <= {tuple(x) for x in used}
     assert all(zlib.crc32(str(x["doc_id"]).encode()) % 5 != 0 for x in used)
+
+
+def test_toxicity_uses_every_language_of_the_sample(monkeypatch):
+    r = random.Random(4)
+    langs = [f"l{i:03d}" for i in range(70)]
+    own = {lang: ["".join(r.choices("abcdefghijklmnop", k=6)) for _ in range(30)] for lang in langs}
+    rows = [(lang, j % 2) for j in range(20) for lang in langs]
+    texts = [" ".join(r.choices(own[lang], k=15) + ["vile"] * toxic) for lang, toxic in rows]
+    args = (texts, [toxic for _, toxic in rows], [lang for lang, _ in rows])
+    model = toxicity.trained(*args, epochs=1)
+    assert model.langs == langs and sorted(model.thresholds) == langs
+    guess = model.guessed(*toxicity.features(["", *texts]))
+    assert guess[0] == -1 and [langs[k] for k in guess[1:]] == args[2]
+    # the same with a full matrix
+    monkeypatch.setattr(toxicity, "FULL_LANGS", 100)
+    full = toxicity.trained(*args, epochs=1)
+    assert full.lang_log is not None and full.thresholds == model.thresholds
+    assert full.scores(texts).tolist() == model.scores(texts).tolist()
+    assert len({*model.thresholds.values()}) > 1
