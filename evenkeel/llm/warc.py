@@ -12,7 +12,8 @@ sampled ranges may differ when computed again. Each partition carries its last r
 the same URL (one row per partition and URL), and a window runs per (partition, URL).
 
 Cases: a NULL URL has no canonical form, and its revisits stay unresolved; a NULL time is earlier than any other; records
-with equal time are ordered by record id; repeated rows each get their result; revisits without an earlier response,
+with equal time are ordered by record id, a NULL id first, and responses that share both by a digest of the whole record,
+which also refers to the base, so ids need not be unique or known; repeated rows each get their result; revisits without an earlier response,
 with validators that differ, or without any are reported with that status and no body; an empty table gives no rows;
 further columns are ignored.
 """
@@ -52,6 +53,20 @@ def canonical(url: Column) -> Column:
     )
 
 
+def _digest() -> Column:
+    """Digest of all fields of a record: equal for equal records only."""
+    fields = F.struct(
+        "record_id",
+        "url",
+        F.col("ts").cast("string").alias("ts"),
+        "kind",
+        "status",
+        F.array_sort(F.map_entries("headers")).alias("headers"),
+        F.sha2(F.col("body").cast("binary"), 256).alias("body"),
+    )
+    return F.unhex(F.sha2(F.to_json(fields), 256))
+
+
 def ordered(records: DataFrame) -> DataFrame:
     """Narrow rows with the partition that holds their stretch of the order (URL, time, record)."""
     narrow = records.select(
@@ -63,16 +78,17 @@ def ordered(records: DataFrame) -> DataFrame:
         "status",
         F.col("headers")["etag"].alias("etag"),
         F.col("headers")["last-modified"].alias("modified"),
+        _digest().alias("digest"),
     )
     placed = narrow.repartitionByRange("page", "ts", "record_id", "kind")
     return pinned(placed.withColumn("stretch", F.spark_partition_id()))
 
 
 def bases(records: DataFrame) -> DataFrame:
-    """record_id, url, ts, page (canonical URL) of each revisit, base_id (NULL: none) and outcome."""
+    """record_id, url, ts, page (canonical URL), digest of each revisit, base_id and base_digest (NULL: none), outcome."""
     rows = ordered(records)
     full = (F.col("kind") == "response") & (F.col("status") == 200) & F.col("page").isNotNull()
-    base = F.when(full, F.struct("ts", "record_id", "etag", "modified"))
+    base = F.when(full, F.struct("ts", "record_id", "digest", "etag", "modified"))
     rows = rows.withColumn("own", base)
     # one row per stretch and URL, then the last one of all earlier stretches of the URL
     lasts = rows.where("own is not null").groupBy("page", "stretch").agg(F.max("own").alias("last"))
@@ -80,7 +96,7 @@ def bases(records: DataFrame) -> DataFrame:
     before = Window.partitionBy("page").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
     carried = ends.select("page", "stretch", F.last("last", ignorenulls=True).over(before).alias("carried"))
     # strictly earlier by (time, record): peers in the order do not count
-    inside = Window.partitionBy("page", "stretch").orderBy("ts", "record_id", "kind")
+    inside = Window.partitionBy("page", "stretch").orderBy("ts", "record_id", "kind", "digest")
     inside = inside.rowsBetween(Window.unboundedPreceding, -1)
     seen = rows.withColumn("near", F.last("own", ignorenulls=True).over(inside)).where("kind = 'revisit'")
     joined = seen.join(carried, ["page", "stretch"], "left").withColumn("base", F.coalesce("near", "carried"))
@@ -93,7 +109,16 @@ def bases(records: DataFrame) -> DataFrame:
         .when(dated, F.when(F.col("modified") == F.col("base.modified"), "resolved").otherwise("validator_differs"))
         .otherwise("no_validator")
     )
-    return joined.select("record_id", "url", "ts", "page", F.col("base.record_id").alias("base_id"), outcome.alias("outcome"))
+    return joined.select(
+        "record_id",
+        "url",
+        "ts",
+        "page",
+        "digest",
+        F.col("base.record_id").alias("base_id"),
+        F.col("base.digest").alias("base_digest"),
+        outcome.alias("outcome"),
+    )
 
 
 def merged(base: Column, update: Column) -> Column:
@@ -109,17 +134,15 @@ def resolved(records: DataFrame) -> DataFrame:
     ``records``: record_id, url, ts, kind ('response' or 'revisit'), status, headers (map, lower-case names), body.
     """
     found = bases(records)
-    known = found.distinct()
-    own = records.where("kind = 'revisit'").select("record_id", "url", "ts", F.col("headers").alias("own"))
-    ids = own.join(known, [own[c].eqNullSafe(known[c]) for c in ("record_id", "url", "ts")]).select(
-        own["record_id"], own["url"], own["ts"], "own", "page", "base_id", "outcome"
-    )
+    known = found.select("digest", "page", "base_id", "base_digest", "outcome").distinct()
+    own = records.where("kind = 'revisit'").select("record_id", "url", "ts", F.col("headers").alias("own"), _digest().alias("digest"))
+    ids = own.join(known, "digest")
     stored = records.where("kind = 'response'").select(
-        F.col("record_id").alias("base_id"), F.col("headers").alias("base_headers"), F.col("body").alias("base_body")
+        _digest().alias("base_digest"), F.col("headers").alias("base_headers"), F.col("body").alias("base_body")
     )
     got = F.col("outcome") == "resolved"
-    # responses are unique by id; a base that very many revisits share is split by AQE
-    return ids.join(stored.dropDuplicates(["base_id"]), "base_id", "left").select(
+    # responses of one digest are equal; a base that very many revisits share is split by AQE
+    return ids.join(stored.dropDuplicates(["base_digest"]), "base_digest", "left").select(
         "record_id",
         "url",
         "ts",

@@ -490,6 +490,33 @@ def _slow_page(url):
     return "//a.org/x" if "/x" in url else "//a.org/y?a=1&b=2"
 
 
+def test_bases_without_unique_ids(spark):
+    from datetime import datetime
+
+    one, two = datetime(2024, 1, 1), datetime(2024, 1, 2)
+    rows = [
+        (None, "http://a.org/null", one, "response", 200, {"etag": '"1"', "x-own": "null"}, "body null"),
+        (7, "http://a.org/a", one, "response", 200, {"etag": '"1"', "x-own": "a"}, "body a"),
+        (7, "http://a.org/b", one, "response", 200, {"etag": '"1"', "x-own": "b"}, "body b"),
+        (7, "http://a.org/b", one, "response", 200, {"etag": '"1"', "x-own": "b"}, "body b"),
+        *[(8, f"http://a.org/{x}", two, "revisit", 304, {"etag": '"1"'}, None) for x in ("null", "a", "b")],
+        (9, "http://a.org/a", two, "revisit", 304, {"etag": '"1"'}, None),
+        (9, "http://a.org/a", two, "revisit", 304, {"etag": '"2"'}, None),
+        (9, "http://a.org/a", two, "revisit", 304, {"etag": '"2"'}, None),
+    ]
+    got = warc.resolved(spark.createDataFrame(rows, RECORD).repartition(3)).collect()
+    found = sorted((x["record_id"], x["url"][13:], str(x["base_id"]), x["outcome"], str(x["body"])) for x in got)
+    assert found == [
+        (8, "a", "7", "resolved", "body a"),
+        (8, "b", "7", "resolved", "body b"),
+        (8, "null", "None", "resolved", "body null"),
+        (9, "a", "7", "resolved", "body a"),
+        (9, "a", "7", "validator_differs", "None"),
+        (9, "a", "7", "validator_differs", "None"),
+    ]
+    assert all(x["headers"]["x-own"] == x["url"][13:] for x in got if x["body"])
+
+
 def test_revisits_against_brute_force(spark):
     rows = _records()
     df = spark.createDataFrame(rows, RECORD).withColumn("page", F.lit("clash")).withColumn("stretch", F.lit(0)).repartition(5)
