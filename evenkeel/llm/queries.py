@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.llm import chat, language, mixing, packing, repetition, sharding, simhash, syncmers, toxicity, warc
+from evenkeel.llm import (
+    chat,
+    language,
+    lexical,
+    mixing,
+    neighbours,
+    packing,
+    repetition,
+    sharding,
+    simhash,
+    syncmers,
+    toxicity,
+    warc,
+    whitening,
+)
 from evenkeel.llm.common import id_rest, table
 from evenkeel.session import pinned
 
@@ -128,6 +142,20 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(own.unionByName(extra))
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, "vec_id", "embedding", F.col("id") % 20 == 0, 20)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 16)
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return lexical.ranked(docs, items, 50)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -145,6 +173,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_syncmers": op9_syncmers,
     "op10_chat": op10_chat,
+    "op11_neighbours": op11_neighbours,
+    "op12_whitening": op12_whitening,
+    "op13_lexical": op13_lexical,
     "pipeline": pipeline,
 }
 
@@ -269,4 +300,50 @@ select conv_id, n_turns::bigint as n_turns, sha256(told) as turns_sha256, length
 from c
 """
 
-ORACLES: dict[str, str] = {"op4_quality_rules": _OP4, "op8_warc": _OP8, "op10_chat": _OP10}
+_OP11 = r"""
+with v as (
+  select distinct vec_id, embedding::double[] as v from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda e: e is null or not isfinite(e))) = 0
+    and len(list_filter(embedding, lambda e: e <> 0)) > 0 and vec_id is not null
+), scored as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v) as score
+  from v q join v c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % 20 = 0
+)
+select query_id, place::int as rank, vec_id, score
+from (select *, row_number() over (partition by query_id order by score desc, vec_id) as place from scored)
+where place <= 20
+"""
+
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_FOLDED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP13 = rf"""
+with d as (
+  select row_number() over () as rid, doc_id, regexp_extract_all({_FOLDED}, '{_TERM}') as ts from documents
+), sizes as (
+  select rid, doc_id, len(ts)::bigint as n from d where len(ts) > 0
+), total as (
+  select count(*)::bigint as n_docs, sum(n)::bigint as n_terms from sizes
+), tf as (
+  select rid, term, count(*)::bigint as tf from (select rid, unnest(ts) as term from d) group by rid, term
+), w as (
+  select term, floor(1000 * ln((2 * n_docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w
+  from tf, total group by term, n_docs
+), asked as (
+  select distinct item_id, unnest(regexp_extract_all({_FOLDED}, '{_TERM}')) as term from benchmark
+), scored as (
+  select item_id, rid, doc_id,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + ((50 * n * n_docs) // n_terms)))))::bigint as score
+  from asked join w using (term) join tf using (term) join sizes using (rid), total group by item_id, rid, doc_id
+)
+select item_id, place::int as rank, doc_id, score from (
+  select *, row_number() over (partition by item_id order by score desc, doc_id) as place from scored where score > 0
+) where place <= 50
+"""
+
+ORACLES: dict[str, str] = {
+    "op4_quality_rules": _OP4,
+    "op8_warc": _OP8,
+    "op10_chat": _OP10,
+    "op11_neighbours": _OP11,
+    "op13_lexical": _OP13,
+}

@@ -14,6 +14,12 @@ TALK = [
     (1, 0, "user", None), (1, 0, "user", None), (None, None, None, None), (2, 1, "assistant", "</s>\\"), (2, 1, "tool", "[INST]"),
     (-7, 5, "user", "kept apart?"),
 ]
+VECTORS = [
+    (0, [1.0, 0.0]), (0, [1.0, 0.0]), (20, [0.5, 0.5]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [None, 1.0]),
+    (6, [float("inf"), 1.0]), (None, [1.0, 1.0]), (7, [1.0, 2.0, 3.0]), (8, [-1.0, 0.25]), (9, [-1.0, 0.25]), (40, [3e38, -3e38]),
+]
+ITEMS = [(1, None), (2, ""), (3, "a b"), (3, "far AWAY"), (None, "same text"), (None, "same text"), (4, "x" * 200_000), (5, "nowhere")]
+OWN = {"op3_packing", "op8_warc", "op10_chat", "op11_neighbours", "op12_whitening", "op13_lexical", "pipeline"}
 
 
 def _write(spark, path, some):
@@ -27,6 +33,10 @@ def _write(spark, path, some):
     pages.selectExpr("*", "'b' as body", "1 as ts").write.parquet(f"{path}/pages.parquet")
     talk = spark.createDataFrame(TALK if some else [], "conv_id long, turn long, role string, text string")
     talk.selectExpr("*", "'f' as formatted", "1 as layout").write.parquet(f"{path}/conversations.parquet")
+    vectors = spark.createDataFrame(VECTORS if some else [], "vec_id long, embedding array<float>")
+    vectors.selectExpr("*", "1 as id", "2 as v", "3 as score", "'x' as x").write.parquet(f"{path}/embeddings.parquet")
+    items = spark.createDataFrame(ITEMS if some else [], "item_id long, text string")
+    items.selectExpr("*", "1 as term", "2 as terms", "3 as doc_id").write.parquet(f"{path}/benchmark.parquet")
 
 
 @pytest.fixture(scope="module")
@@ -41,12 +51,18 @@ def folders(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_odd_rows(spark, folders, name):
     rows = queries.QUERIES[name](spark, folders["odd"]).collect()
-    if name not in ("op3_packing", "op8_warc", "op10_chat", "pipeline"):
+    if name not in OWN:
         assert sorted(str(r["doc_id"]) for r in rows) == sorted(str(d[0]) for d in DOCS)
     if name == "op3_packing":
         assert {str(r["doc_id"]) for r in rows} == {str(d[0]) for d in DOCS}
     if name == "op10_chat":
         assert {r["conv_id"]: r["n_turns"] for r in rows} == {1: 2, None: 1, 2: 2, -7: 3}
+    if name == "op11_neighbours":
+        assert {r["query_id"] for r in rows} == {0, 20, 40}
+    if name == "op12_whitening":
+        assert {r["vec_id"] for r in rows} == {0, 20, None, 3, 8, 9}  # 3e38 is beyond the grid
+    if name == "op13_lexical":
+        assert {r["item_id"] for r in rows} == {3, None, 4}
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
