@@ -107,12 +107,19 @@ def mismatch_sample(differences: DataFrame, keys: Sequence[str], limit: int = 50
     return differences.orderBy(*keys, "column_name").limit(limit)
 
 
+def row_key(keys: Sequence[str]) -> Column:
+    """Key columns as one text that can be told apart: parts are joined by a bar, a bar or backslash in a text gets a
+    backslash before it, and NULL is ``\\N``."""
+    parts = [F.regexp_replace(F.col(k).cast("string"), r"([\\|])", r"\\$1") for k in keys]
+    return F.concat_ws("|", *[F.coalesce(part, F.lit("\\N")) for part in parts])
+
+
 def report_rows(differences: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The mismatch report: numbered differences in key order with the key as text."""
     numbered = with_row_index(differences, [*keys, "column_name"])
     return numbered.select(
         "row_number",
-        F.concat_ws("|", *[F.col(k).cast("string") for k in keys]).alias("row_key"),
+        row_key(keys).alias("row_key"),
         "column_name",
         "source_value",
         "target_value",

@@ -52,14 +52,22 @@ def with_row_index(df: DataFrame, order: Sequence[str], name: str = "row_number"
 def with_ordinal(df: DataFrame, keys: Sequence[str], name: str = "ordinal") -> DataFrame:
     """Number the rows of each key from 1, ordered by all other columns.
 
-    The number is the place among all sorted rows less that of the key's first row,
-    so no task holds a key, however many rows it has. Keys meet as a struct, which
-    makes NULL keys meet as well.
+    Rows are numbered within their stretch of the sorted order and key, to which the
+    key's rows in earlier stretches are added. A key goes on over a border only if it
+    is the first of the next stretch, so one small row for each stretch crosses; no
+    task holds more than a stretch, however many rows a key has. Keys meet as a
+    struct, which makes NULL keys meet as well.
     """
-    fixed, starts = _sorted(df, list(keys))
-    starts = F.broadcast(starts)
+    fixed, _ = _sorted(df, list(keys))
     rows = fixed.withColumn("_key", F.struct(*keys))
-    firsts = rows.groupBy("_key").agg(F.min("_at").alias("_at")).withColumn("_part", F.shiftright("_at", _ROW_BITS))
-    firsts = firsts.join(starts, "_part").select("_key", _position().alias("_first"))
-    placed = rows.join(starts, "_part").withColumn("_place", _position())
-    return placed.join(firsts, "_key").select(*df.columns, (F.col("_place") - F.col("_first") + 1).alias(name))
+    first = rows.groupBy("_part").agg(F.min_by("_key", "_at").alias("_key"))
+    counts = rows.groupBy("_part", "_key").agg(F.count("*").alias("_rows"))
+    # Only keys that begin a stretch can have rows before it: at most one row for each stretch and such key it meets.
+    carried = counts.join(F.broadcast(first.select("_key").distinct()), "_key")
+    before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    opening = carried.select("_part", "_key", F.sum("_rows").over(before).alias("_before")).where("_before > 0")
+    within = F.row_number().over(Window.partitionBy("_part", "_key").orderBy("_at"))
+    # A stretch goes to the task of its number, where a hash could bring several together.
+    stretches = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    numbered = rows.repartitionById(stretches, F.col("_part").cast("int")).withColumn("_within", within.cast("long")).join(F.broadcast(opening), ["_part", "_key"], "left")
+    return numbered.select(*df.columns, (F.col("_within") + F.coalesce("_before", F.lit(0))).alias(name))

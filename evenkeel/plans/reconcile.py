@@ -389,6 +389,32 @@ def mismatch_report_rows(spark, sf_dir):
     return report.report_rows(value_diff_long(spark, sf_dir), ["o_orderkey"])
 
 
+_ODD_KEYS = """
+        select case when o_orderkey % 3 = 0 then null else o_orderstatus || '|' || cast(o_orderkey as {text}) end as a,
+               case when o_orderkey % 5 = 0 then null when o_orderkey % 7 = 0 then '{slash}' || o_orderpriority
+                    else o_orderpriority || '|' end as b,
+               o_orderkey as k, cast(o_orderkey as {text}) as source_value from orders where o_orderkey % 89 <> 0"""
+_ODD_PART = "coalesce(replace(replace({0}, chr(92), chr(92) || chr(92)), '|', chr(92) || '|'), chr(92) || 'N')"
+
+
+@query(
+    "mismatch_report_odd_keys",
+    f"""with d as ({_ODD_KEYS.format(text="varchar", slash=chr(92))})
+    select row_number() over (order by a nulls first, b nulls first, k) as row_number,
+           {_ODD_PART.format("a")} || '|' || {_ODD_PART.format("b")} || '|' || cast(k as varchar) as row_key,
+           'v' as column_name, source_value, cast(null as varchar) as target_value, 'missing' as difference_type from d""",
+)
+def mismatch_report_odd_keys(spark, sf_dir):
+    """Report keys that hold NULLs, bars and backslashes."""
+    load(spark, sf_dir)
+    rows = spark.sql(_ODD_KEYS.format(text="string", slash=chr(92) * 2))
+    found = rows.select(
+        "a", "b", "k", F.lit("v").alias("column_name"), "source_value", F.lit(None).cast("string").alias("target_value"),
+        F.lit("missing").alias("difference_type"),
+    )
+    return report.report_rows(found, ["a", "b", "k"])
+
+
 @query(
     "key_profile",
     f"""{with_("lsrc")}, g as (select l_orderkey, l_linenumber, count(*) as n from lsrc group by all)
@@ -640,6 +666,18 @@ def sql_sides_diff(spark, sf_dir):
     return report.summary(*sides, ORDER)
 
 
+@query(
+    "sql_sides_braces",
+    """select o_orderkey, '{orders} {n}' as shape, o_orderstatus from orders where o_orderkey % 89 <> 0""",
+)
+def sql_sides_braces(spark, sf_dir):
+    """Relations named in braces, plainly, and braces that stand for nothing."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    text = """with kept as (select o_orderkey, concat('{', 'orders} {n}') as shape from {orders} where o_orderkey % 89 <> 0)
+        select o_orderkey, shape, o_orderstatus from kept join orders using (o_orderkey) -- all of {n}"""
+    return named.read_sql(spark, text, {"orders": orders})
+
+
 @query(
     "named_source_diff",
     oracles.summary(
@@ -714,7 +752,8 @@ def csv_roundtrip_diff(spark, sf_dir):
 @query("csv_roundtrip_odd", oracles.summary(["osrc", "otgt"], "osrc", "otgt", ["k"], oracles.same("num", "txt")))
 def csv_roundtrip_odd(spark, sf_dir):
     source, target = relations(spark, sf_dir, "osrc", "otgt")
-    path = files.export_csv(target, workspace(spark) + "/odd.csv")
+    # One file, which is read by several tasks where it is large, line breaks or not.
+    path = files.export_csv(target.repartition(1), workspace(spark) + "/odd.csv")
     back = files.read_csv(spark, path, "k long, num double, txt string", multiline=True)
     return report.summary(source, back, CompareSpec(keys=("k",)))
 
@@ -787,6 +826,23 @@ def document_key_build(spark, sf_dir):
     return rows.select("*", read_back[1], read_back[2])
 
 
+@query(
+    "documents_read",
+    f"""{with_("otgt")} select cast(k as varchar) as k, txt, 'C' || (k % 5) as contract_number,
+       '2024010' || (k % 3) as payment_date, 'final' as transform_subtype from otgt where k % 3 <> 0""",
+)
+def documents_read(spark, sf_dir):
+    """Odd texts written as documents that their names describe, and those of some days read back."""
+    k = F.col("k").cast("long")
+    root = files.write_documents(
+        relation(spark, sf_dir, "otgt").select("k", "txt"), workspace(spark) + "/documents", "statement",
+        prefix=F.lit("statement"), contract_number=F.concat(F.lit("C"), k % 5),
+        payment_date=F.concat(F.lit("2024010"), k % 3), transform_subtype=F.lit("final"), extension=F.lit("csv"),
+    )
+    found = files.read_documents(spark, root, "statement", multiline=True, payment_date="2024010[12]")
+    return found.select("k", "txt", "contract_number", "payment_date", "transform_subtype")
+
+
 _PER_ARCHIVE = 500
 
 

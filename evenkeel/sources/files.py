@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from evenkeel.sources.csvsplit import read_split_csv
+
 PREVIEW_DEFAULT = 10
 PREVIEW_MAX = 100
 
@@ -34,22 +36,32 @@ def read_csv(
     corrupt_column: str | None = None,
     multiline: bool = False,
     encoding: str = "UTF-8",
+    name_pattern: str | None = None,
+    name_column: str | None = None,
 ) -> DataFrame:
     """A CSV side. Without a schema every column is text, so compares are exact.
 
     Blanks are kept; an empty field is NULL and a quoted empty one is empty text.
-    ``multiline`` lets quoted fields hold line breaks, at the price that a file is
-    read by one task. With ``corrupt_column`` (which the schema must name) unreadable
-    lines are kept there instead of turning into NULLs unseen.
+    ``multiline`` lets quoted fields hold line breaks. Files in UTF-8 stay splittable
+    all the same (``csvsplit``); of other encodings a file is then read by one task.
+    With ``corrupt_column`` (which the schema must name) unreadable lines are kept
+    there instead of turning into NULLs unseen. ``name_pattern`` picks files by name,
+    and ``name_column`` adds the name of a row's file.
     """
-    reader = spark.read.option("header", header).option("sep", sep).option("mode", "PERMISSIVE")
-    reader = reader.options(**_TEXT_KEPT).option("nullValue", _NO_TEXT).option("emptyValue", "")
-    reader = reader.option("multiLine", multiline).option("encoding", encoding)
+    options = {"sep": sep, "mode": "PERMISSIVE", "nullValue": _NO_TEXT, "emptyValue": "", "multiLine": str(multiline).lower()}
+    options |= {name: str(value).lower() if isinstance(value, bool) else value for name, value in _TEXT_KEPT.items()}
     if corrupt_column:
-        reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
+        options["columnNameOfCorruptRecord"] = corrupt_column
+    reader = spark.read.options(**options).option("header", header).option("encoding", encoding)
+    if name_pattern:
+        reader = reader.option("pathGlobFilter", name_pattern)
     if schema is not None:
         reader = reader.schema(schema)
-    return reader.csv(path)
+    rows = reader.csv(path)
+    if multiline and encoding.upper().replace("-", "") == "UTF8":
+        found = read_split_csv(spark, path, rows.schema, options, sep, header, name_pattern)
+        return found.withColumnRenamed("_name", name_column) if name_column else found.drop("_name")
+    return rows.select("*", F.col("_metadata.file_name").alias(name_column)) if name_column else rows
 
 
 def export_csv(
@@ -140,15 +152,39 @@ def document_fields(kind: str, file_name: Column) -> list[Column]:
     return [parts[i].alias(n) for i, n in enumerate((*_fields(kind), "extension"))]
 
 
-def read_documents(spark: SparkSession, root: str, kind: str, sep: str = ",", **fields: str) -> DataFrame:
+def read_documents(
+    spark: SparkSession, root: str, kind: str, sep: str = ",", multiline: bool = False, **fields: str
+) -> DataFrame:
     """CSV documents of a kind under ``root``, each row with its document's fields."""
-    rows = (
-        spark.read.option("header", True)
-        .option("sep", sep)
-        .option("pathGlobFilter", document_pattern(kind, **fields))
-        .csv(root)
-    )
-    return rows.select("*", *document_fields(kind, F.col("_metadata.file_name")))
+    pattern = document_pattern(kind, **fields)
+    rows = read_csv(spark, root, sep=sep, multiline=multiline, name_pattern=pattern, name_column="_name")
+    return rows.select("*", *document_fields(kind, F.col("_name"))).drop("_name")
+
+
+def write_documents(df: DataFrame, root: str, kind: str, sep: str = ",", **fields: Column) -> str:
+    """Write ``df`` as CSV documents below ``root``, one file for each value of the kind's fields.
+
+    A document is one file, so its rows are one task's work. Spark names the files that it writes; they are renamed
+    when all are there, one metadata call each.
+    """
+    spark = df.sparkSession
+    named = df.withColumn("_document", document_key(kind, **fields))
+    parts = f"{root.rstrip('/')}/_parts"
+    columns = [c for c in named.columns if c != "_document"]
+    writer = named.select(*columns, "_document").repartition("_document").write.partitionBy("_document")
+    writer.option("header", True).option("sep", sep).options(**_TEXT_KEPT).option("nullValue", "").option("emptyValue", '""').csv(parts)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    top = hadoop(parts)
+    system = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    unescaped = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    for folder in system.listStatus(top):
+        if folder.isDirectory():
+            document = unescaped(folder.getPath().getName().split("=", 1)[1])
+            for part in system.listStatus(folder.getPath()):
+                if not system.rename(part.getPath(), hadoop(root, document)):
+                    raise OSError(f"could not name document {document!r}")
+    system.delete(top, True)
+    return root
 
 
 def list_documents(spark: SparkSession, root: str, pattern: str = "*", recursive: bool = True) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 from dataclasses import dataclass
 
@@ -110,18 +111,23 @@ def read_jdbc(
 
 
 def read_sql(spark: SparkSession, query: str, views: Mapping[str, DataFrame]) -> DataFrame:
-    """A SQL text over named relations, as a side."""
-    return spark.sql(query, **views) if _has_braces(query) else _over_views(spark, query, views)
+    """A SQL text over relations that it names plainly or in braces, as a side.
 
-
-def _has_braces(query: str) -> bool:
-    return "{" in query
-
-
-def _over_views(spark: SparkSession, query: str, views: Mapping[str, DataFrame]) -> DataFrame:
-    for name, df in views.items():
-        df.createOrReplaceTempView(name)
-    return spark.sql(query)
+    Only the given names are taken as fields, so braces may stand in literals. The
+    relations are seen by this text alone: views of the session keep their meaning.
+    """
+    held = {name: f"evenkeel_{uuid.uuid4().hex}" for name in views}
+    text = query.strip().rstrip(";")
+    for name, own in held.items():
+        views[name].createOrReplaceTempView(own)
+        text = text.replace("{" + name + "}", own)
+    try:
+        named = ", ".join(f"`{name}` as (select * from {own})" for name, own in held.items())
+        # The line break ends a comment that the text may end with.
+        return spark.sql(f"with {named} select * from (\n{text}\n)" if held else text)
+    finally:
+        for own in held.values():
+            spark.catalog.dropTempView(own)
 
 
 def read_named(

@@ -212,6 +212,22 @@ def test_ordinals_of_hot_and_null_keys(spark):
     assert Counter(map(tuple, got)) == want
 
 
+def test_no_task_holds_a_hot_key(spark):
+    df = spark.range(20_000).selectExpr("if(id % 10 < 7, 1, id) as k", "id as v")
+    kept = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "16")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        got = rowindex.with_ordinal(df, ["k"]).withColumn("task", F.spark_partition_id())
+        sizes = [r["count"] for r in got.groupBy("task").count().collect()]
+        ordinals = got.where("k = 1").agg(F.max("ordinal"), F.count_distinct("ordinal")).first()
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    assert sum(sizes) == 20_000 and max(sizes) <= 2 * 20_000 / 16
+    assert tuple(ordinals) == (14_000, 14_000)
+
+
 KINDS = [None, float("nan"), float("inf"), 0.0, -0.0, 1.0, 1.0000001]
 
 

@@ -1,5 +1,6 @@
 """Files, archives, databases and the history store."""
 
+import random
 import zipfile
 from datetime import datetime
 
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evenkeel import session
 from evenkeel.operators import diff, report
-from evenkeel.sources import archives, files, named, store
+from evenkeel.sources import archives, csvsplit, files, named, store
 from evenkeel.spec import CompareSpec
 
 AT = datetime(2024, 5, 1, 12)
@@ -43,6 +44,96 @@ def test_documents_by_name(spark, tmp_path):
     assert [r["file_size"] for r in sizes] == [9]
 
 
+def test_documents_keep_odd_texts(spark, tmp_path):
+    rows = [("1", 'say "hi", now', ""), ("2", None, " b "), ("3", "two\nlines", "x,y"), ("4", "", None)]
+    df = spark.createDataFrame(rows, "id string, v string, w string")
+    contract = F.concat(F.lit("C"), F.col("id").cast("int") % 2)
+    fields = {"prefix": F.lit("statement"), "payment_date": F.lit("20240101"), "transform_subtype": F.lit("final")}
+    root = files.write_documents(df, str(tmp_path / "d"), "statement", contract_number=contract, extension=F.lit("csv"), **fields)
+    names = ["statement.C0.20240101.final.csv", "statement.C1.20240101.final.csv"]
+    assert sorted(p.name for p in (tmp_path / "d").iterdir() if not p.name.startswith(".")) == names
+    back = files.read_documents(spark, root, "statement", multiline=True)
+    assert sorted(map(tuple, back.select("id", "v", "w").collect())) == rows
+    assert {r["contract_number"] for r in back.collect()} == {"C0", "C1"}
+    one = files.read_documents(spark, root, "statement", contract_number="C0")
+    assert sorted(map(tuple, one.select("id", "v", "w", "payment_date").collect())) == [
+        ("2", None, " b ", "20240101"), ("4", "", None, "20240101")
+    ]
+
+
+@pytest.mark.parametrize(
+    "lines, inside, ends",
+    [
+        ("a,b", False, False), ('a,"b', False, True), ('a,"b""', False, True), ('a,"b""",c', False, False), ('5" x,"', False, True),
+        ('5" x', False, False), ('"a"b"c,"d', False, True), ('a",b', True, False), ('a"",b', True, True), ('a",",",b', True, False),
+        ('""', False, False), ("", True, True), ('"a', True, False), ('",', True, False), ('","', True, True),
+    ],
+)
+def test_state_at_the_end_of_a_line(lines, inside, ends):
+    assert csvsplit.ends_inside(lines, inside) is ends
+
+
+def _odd_csv(seed, rows):
+    r = random.Random(seed)
+
+    def field():
+        if r.random() < 0.5:
+            return r.choice(["a", "bc", "", " x ", '5" pipe', "é", "it's"])
+        return '"' + "".join(r.choice(["a", ",", "\n", '""', " ", "long text ", "é"]) for _ in range(r.randint(0, 12))) + '"'
+
+    lines = [",".join(field() for _ in range(3)) if r.random() > 0.05 else "" for _ in range(rows)]
+    return "h1,h2,h3\n" + "\n".join(lines) + r.choice(["", "\n"])
+
+
+def test_split_reading_equals_whole_reading(spark, tmp_path):
+    for seed in range(3):
+        (tmp_path / f"odd{seed}.csv").write_text(_odd_csv(seed, 40), newline="")
+    (tmp_path / "odd_crlf.csv").write_text('\ufeffh1,h2,h3\r\na,"b, c",d\r\n\r\ne,,"f"\r\n', newline="")
+    (tmp_path / "odd_long.csv").write_text('h1,"h\n2",h3\na,"' + "many\nlines " * 100 + '",z\nlast,,""', newline="")
+    (tmp_path / "odd_open.csv").write_text('h1,h2,h3\na,b,c\nd,"never closed\ne,f', newline="")
+    (tmp_path / "odd_head.csv").write_text("h1,h2,h3\n", newline="")
+    (tmp_path / "odd_none.csv").write_text("", newline="")
+    schema = "a string, b string, c string"
+    options = {"header": True, "multiLine": True, "escape": '"', "nullValue": "\u0000", "emptyValue": ""}
+    whole = sorted(map(str, spark.read.schema(schema).options(**options).csv(str(tmp_path)).collect()))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        for size in ("134217728", "150"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            found = files.read_csv(spark, str(tmp_path), schema, multiline=True, name_column="file")
+            assert sorted(map(str, found.drop("file").collect())) == whole
+        records = csvsplit.records(spark, str(tmp_path / "odd0.csv"))
+        assert records.rdd.getNumPartitions() > 4  # one file, several tasks
+        names = {r["file"] for r in found.collect()}
+        assert {"odd0.csv", "odd_long.csv"} <= names and "odd_head.csv" not in names
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    untyped = files.read_csv(spark, str(tmp_path / "odd0.csv"), multiline=True, header=False)
+    assert untyped.columns == ["_c0", "_c1", "_c2"] and untyped.where("_c0 = 'h1'").count() == 1
+
+
+def test_sql_sides_take_braces_and_leave_views_alone(spark):
+    df = spark.range(3).withColumnRenamed("id", "n")
+    spark.range(7).createOrReplaceTempView("mine")
+    for text, rows in (
+        ("select '{a}' as j, n from {mine}", [("{a}", 0), ("{a}", 1), ("{a}", 2)]),
+        ("select '{}' as j, n from mine where n > 1; ", [("{}", 2)]),
+        ("with w as (select n from mine) select '{' as j, n from w join {mine} using (n) where n < 1 -- {x}", [("{", 0)]),
+    ):
+        assert sorted(map(tuple, named.read_sql(spark, text, {"mine": df}).collect())) == rows
+    assert spark.table("mine").count() == 7
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("evenkeel_")]
+    assert named.read_sql(spark, "select '{a}' as j", {}).collect() == [("{a}",)]
+
+
+def test_report_keys_are_told_apart(spark):
+    keys = [("a", None), (None, "a"), ("a|b", "c"), ("a", "b|c"), ("\\N", "x"), (None, "x"), ("a\\", "b")]
+    rows = spark.createDataFrame(keys, "a string, b string").select(report.row_key(["a", "b"]).alias("k")).collect()
+    assert [r["k"] for r in rows] == ["a|\\N", "\\N|a", "a\\|b|c", "a|b\\|c", "\\\\N|x", "\\N|x", "a\\\\|b"]
+
+
 def test_zip_members(spark, tmp_path):
     with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
         z.writestr("one.csv", 'id,name\n1,"x, y"\n2,"line\nbreak"\n')
