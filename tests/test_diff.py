@@ -214,10 +214,13 @@ def test_ordinals_of_hot_and_null_keys(spark):
 
 def test_no_task_holds_a_hot_key(spark):
     df = spark.range(20_000).selectExpr("if(id % 10 < 7, 1, id) as k", "id as v")
-    kept = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    # Small partitions would be put together.
+    change = {"spark.sql.shuffle.partitions": "16", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    change["spark.sql.adaptive.coalescePartitions.enabled"] = "false"
+    kept = {c: spark.conf.get(c) for c in change}
     try:
-        spark.conf.set("spark.sql.shuffle.partitions", "16")
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for c, v in change.items():
+            spark.conf.set(c, v)
         got = rowindex.with_ordinal(df, ["k"]).withColumn("task", F.spark_partition_id())
         sizes = [r["count"] for r in got.groupBy("task").count().collect()]
         ordinals = got.where("k = 1").agg(F.max("ordinal"), F.count_distinct("ordinal")).first()
