@@ -1,5 +1,6 @@
 """Limits and duplicates against plain Python folds, also on split hot keys."""
 
+import random
 from collections import Counter
 from datetime import datetime, timedelta
 from functools import partial
@@ -70,6 +71,54 @@ def test_hot_keys_get_the_same_decisions(spark, limits):
     assert {r["id"]: r["decision"] for r in got.collect()} == want
 
 
+@pytest.fixture
+def twelve_parts(spark):
+    """Twelve partitions a shuffle, however small."""
+    change = {"spark.sql.shuffle.partitions": "12", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    kept = {c: spark.conf.get(c) for c in change}
+    for c, v in change.items():
+        spark.conf.set(c, v)
+    yield
+    for c, v in kept.items():
+        spark.conf.set(c, v)
+
+
+def _hot(seed, rows=900, every=7):
+    """Most rows have one key, which is busy throughout or rests now and then; some times are equal."""
+    r = random.Random(seed)
+    at, minutes = 0, []
+    for _ in range(rows):
+        at += r.choice([0, 1, 1, 2, every]) if r.random() < 0.99 else r.choice([40, 300, 2000])
+        minutes.append(at)
+    return [("h" if r.random() < 0.8 else f"k{r.randint(0, 9)}", m) for m in minutes]
+
+
+@pytest.mark.parametrize("rounds", [0, 1, 3])
+@pytest.mark.parametrize("limits", LIMITS)
+def test_a_hot_key_spreads_over_stretches(spark, twelve_parts, monkeypatch, limits, rounds):
+    monkeypatch.setattr(replay, "ROUNDS", rounds)
+    for seed in (1, 2):
+        some = _hot(seed)
+        data = [(i, key, START + timedelta(minutes=m)) for i, (key, m) in enumerate(some)]
+        df = spark.createDataFrame(data, "id long, session_id string, created_at timestamp")
+        got = replay.replay(df, ["session_id"], "created_at", "id", limits).withColumn("task", F.spark_partition_id()).collect()
+        assert {r["id"]: r["decision"] for r in got} == by_hand(data, limits)
+        sizes = Counter(r["task"] for r in got)
+        assert len(sizes) == 12 and max(sizes.values()) <= 2 * len(data) / 12
+
+
+def test_only_stretches_that_began_wrong_run_again(spark, twelve_parts, monkeypatch):
+    ran = []
+    exits = replay._exits
+    monkeypatch.setattr(replay, "_exits", lambda s, k, l, tasks: ran.append(len(tasks)) or exits(s, k, l, tasks))
+    # Rests of two days: every stretch begins with nothing that still counts, or forgets it at the next rest.
+    data = [(i, "h", START + timedelta(days=2 * (i // 20), minutes=i % 20)) for i in range(600)]
+    df = spark.createDataFrame(data, "id long, session_id string, created_at timestamp")
+    got = replay.replay(df, ["session_id"], "created_at", "id", LIMITS[0])
+    assert {r["id"]: r["decision"] for r in got.collect()} == by_hand(data, LIMITS[0])
+    assert ran[0] == 11 and sum(ran[1:]) <= 11 and len(ran) <= 2
+
+
 def test_rows_without_a_key_are_admitted(spark):
     df = spark.createDataFrame([(1, None, START), (2, None, START)], "id long, session_id string, created_at timestamp_ntz")
     once = replay.Limits(spans=(("hour", clock.HOUR, 1),))
