@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions import clock
+from evenkeel.operators.links import components
+from evenkeel.operators.running import Fold, running
 from evenkeel.session import pinned
 
 ACCEPTED = "accepted"
@@ -35,21 +37,28 @@ class Quota:
 
 
 def linked(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """Add ``group``: equal for all pairs that are connected through shared values.
+    """(left, right, group) of the distinct pairs; ``group`` is equal for all that are connected through shared values.
 
-    The smallest left value spreads over pairs that share a value, round by round,
-    until nothing changes; one number per round reaches the driver.
+    Left and right values are nodes of one graph, so rounds grow with the logarithm of the longest chain of pairs.
     """
-    rows = pinned(pairs.select(left, right).distinct().withColumn("group", F.col(left)))
-    while True:
-        by_left = rows.groupBy(left).agg(F.min("group").alias("_l"))
-        by_right = rows.groupBy(right).agg(F.min("group").alias("_r"))
-        least = F.least("_l", "_r", "group")
-        moved = rows.join(by_left, left).join(by_right, right).withColumn("_moved", F.col("group") != least)
-        rows_next = pinned(moved.select(left, right, least.alias("group"), "_moved"))
-        rows = rows_next.drop("_moved")
-        if rows_next.where("_moved").isEmpty():
-            return rows
+    rows = pinned(pairs.select(left, right).distinct())
+    # Right values come after all left ones, so the smallest node of a group is a left value.
+    node = F.concat(F.lit("l"), F.col(left).cast("string"))
+    links = rows.select(node.alias("a"), F.concat(F.lit("r"), F.col(right).cast("string")).alias("b"))
+    roots, _ = components(links)
+    of_left = roots.select(F.col("node").alias("_node"), F.substring("root", 2, 1 << 30).alias("group"))
+    return rows.join(of_left, node == F.col("_node")).select(left, right, "group")
+
+
+def pieces(rows: DataFrame, keys: list[str], at: str, tie: str, gap: int) -> DataFrame:
+    """Add ``piece``: counts up in each key wherever no row of it lies within ``gap`` before a row.
+
+    Both passes are running aggregates over ranges of (key, time), so a hot key is never in one task.
+    """
+    before = running(rows, keys, at, {"_before": Fold("max", at)}, after=[tie])
+    starts = F.when(F.col("_before").isNull() | (F.col(at) - F.col("_before") >= gap), 1).otherwise(0)
+    counted = running(before.withColumn("_starts", starts.cast("long")), keys, at, {"piece": Fold("sum", "_starts")})
+    return counted.drop("_before", "_starts")
 
 
 @dataclass
@@ -104,8 +113,10 @@ def decided(
 
     ``rows`` has ``content_hash``, ``stop`` (the stage at which its content fails,
     NULL if it stands) and ``poor`` (its quality is too low). Only these narrow
-    columns are shuffled. A group is one stream through one task: Spark sorts it,
-    Python sees a batch at a time and keeps what is younger than a day.
+    columns are shuffled. A group is cut wherever it rests for as long as any limit
+    looks back, as nothing before bears on what comes then. Such a piece is one
+    stream through one task: Spark sorts it, Python sees a batch at a time and keeps
+    what is younger than a day.
     """
     narrow = rows.select(
         F.col(tie).alias("_tie"),
@@ -130,12 +141,14 @@ def decided(
         F.concat(F.lit("c"), F.col("_client")),
         alone,
     )
+    grouped = (
+        narrow.join(of_session, "_session", "left").join(of_client, "_client", "left").select(*narrow.columns, group.alias("_group"))
+    )
+    widest = max(clock.DAY, quota.duplicate_minutes * clock.MINUTE)
     placed = (
-        narrow.join(of_session, "_session", "left")
-        .join(of_client, "_client", "left")
-        .select(*narrow.columns, group.alias("_group"))
-        .repartition("_group")
-        .sortWithinPartitions("_group", "_at", "_tie")
+        pieces(grouped, ["_group"], "_at", "_tie", widest)
+        .repartition("_group", "piece")
+        .sortWithinPartitions("_group", "piece", "_at", "_tie")
     )
 
     def decide(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -143,7 +156,7 @@ def decided(
         for batch in batches:
             stages = []
             for name, s, c, at, copy, stop, poor in zip(
-                batch["_group"], batch["_session"], batch["_client"], batch["_at"], batch["content_hash"],
+                zip(batch["_group"], batch["piece"], strict=True), batch["_session"], batch["_client"], batch["_at"], batch["content_hash"],
                 batch["stop"], batch["poor"], strict=True,
             ):
                 if name != current:

@@ -167,9 +167,11 @@ RELATIONS = {
                    || '", "Total Cost": ' || cast(p_size * 100000 as string) || '.50, "Plan Rows": '
                    || cast(p_partkey * 2000 as string) end as plan
         from part""",
-    # Whole documents as submissions; endings add the words the rules look for.
+    # Whole documents as submissions; endings add the words the rules look for. Each 400 share three sessions and two
+    # clients.
     "notes": """
-        select doc_id as id, cast(doc_id % 3 as string) as session_id, cast(doc_id % 2 as string) as client_id,
+        select doc_id as id, cast(cast(floor(doc_id / 400) * 3 + doc_id % 3 as bigint) as string) as session_id,
+               cast(cast(floor(doc_id / 400) * 2 + doc_id % 2 as bigint) as string) as client_id,
                case doc_id % 3 when 0 then 'bug' when 1 then 'feature' else 'improvement' end as issue_type,
                case when doc_id % 11 = 8 then split_part(text, '.', 1) || ' note on ' || source
                     else split_part(text, '.', 1) end as title,

@@ -13,7 +13,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evenkeel.functions import clock
-from evenkeel.operators import activity, admission, replay, running
+from evenkeel.operators import activity, admission, links, replay, running
 
 quick = partial(settings, deadline=None, max_examples=6, suppress_health_check=list(HealthCheck))
 START = datetime(2024, 1, 1)
@@ -240,6 +240,36 @@ def test_linked_groups(spark):
     assert {r["l"]: r["group"] for r in got.collect()} == {"a": "a", "b": "a", "c": "a", "d": "a", "x": "x", "y": "x", "z": "z"}
 
 
+def test_components_of_a_long_chain_and_a_star(spark):
+    chain = [(f"n{i:04}", f"n{i + 1:04}") for i in range(1000)]
+    found, rounds = links.components(spark.createDataFrame(chain[::2] + chain[1::2], "a string, b string"))
+    assert {r["root"] for r in found.collect()} == {"n0000"} and found.count() == 1001
+    assert rounds < 15
+    rest = [("hub", f"x{i}") for i in range(300)] + [("x5", "y"), ("z", "z"), (None, "q"), ("p", None), ("u", "v"), ("v", "u")]
+    found, rounds = links.components(spark.createDataFrame(rest, "a string, b string"))
+    groups = {}
+    for r in found.collect():
+        groups.setdefault(r["root"], set()).add(r["node"])
+    assert groups.pop("hub") == {"hub", "y", *(f"x{i}" for i in range(300))}
+    assert groups == {"z": {"z"}, "q": {"q"}, "p": {"p"}, "u": {"u", "v"}} and rounds <= 4
+    assert links.components(spark.createDataFrame([], "a string, b string"))[0].count() == 0
+
+
+def test_a_group_is_cut_where_it_rests(spark, twelve_parts):
+    rng = np.random.default_rng(9)
+    rows = [
+        (i, f"s{i % 3}", f"c{i % 2}", START + timedelta(days=int(3 * (i // 30)), minutes=int(m)), str(m % 3), None, False)
+        for i, m in enumerate(rng.integers(0, 1500, 600).tolist())
+    ]
+    schema = "id long, session_id string, client_id string, created_at timestamp_ntz, content_hash string, stop string, poor boolean"
+    got = admission.decided(spark.createDataFrame(rows, schema), QUOTA, "created_at")
+    got = got.withColumn("task", F.spark_partition_id()).collect()
+    assert {r["id"]: r["stage"] for r in got} == accepted_by_hand(rows, QUOTA)
+    # One group of 600 rows, which fills twenty pieces.
+    sizes = Counter(r["task"] for r in got)
+    assert len(sizes) >= 6 and max(sizes.values()) <= 180 and all(n % 30 == 0 for n in sizes.values())
+
+
 def test_rejected_rows_use_no_quota(spark):
     rows = [(i, "s", "c", START + timedelta(minutes=20 * i), str(i), None, False) for i in range(12)]
     schema = "id long, session_id string, client_id string, created_at timestamp_ntz, content_hash string, stop string, poor boolean"
