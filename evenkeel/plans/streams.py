@@ -140,16 +140,25 @@ def activity_sessions(spark, sf_dir):
     return spells.where(F.col("user_id") >= 0).withColumns(times)
 
 
-def _submissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = feeds.file_stream(spark, f"{sf_dir}/events.parquet*", schema)
-    kind = F.when(F.col("event_type") == "error", "bug").when(F.col("event_type") == "signup", "feature")
-    return events.select(
-        F.col("event_id").alias("id"),
-        F.col("user_id").cast("string").alias("session_id"),
-        kind.otherwise("improvement").alias("submission_type"),
-        F.col("ts").alias("created_at"),
-    )
+_BATCHES = 4
+
+
+def _submissions(spark: SparkSession, sf_dir: str, path: str) -> tuple[DataFrame, str]:
+    """The submissions as files by ranges of time, one a micro-batch, each with some rows of the range before it, then
+    a closing row of its own; and how late a row can be, which is two ranges."""
+    log = relation(spark, sf_dir, "subm").select("id", "session_id", "submission_type", "created_at")
+    low, high = log.agg(F.min("created_at"), F.max("created_at")).first()
+    width = (high - low) / _BATCHES
+    turn = F.lit(0)
+    for n in range(1, _BATCHES):
+        turn = turn + F.when(F.col("created_at") >= F.lit(low + n * width), 1).otherwise(0)
+    late = (F.col("id") % 19 == 0) & (turn < _BATCHES - 1)  # rows that come one file late
+    dealt = log.withColumn("turn", F.when(late, turn + 1).otherwise(turn))
+    closing = spark.sql(f"select -1L as id, 'closing' as session_id, 'closing' as submission_type, timestamp_ntz '{CLOSING}' as created_at")
+    for n in range(_BATCHES):
+        dealt.where(F.col("turn") == n).drop("turn").coalesce(1).write.parquet(f"{path}/in/turn={n}")
+    closing.coalesce(1).write.parquet(f"{path}/in/turn={_BATCHES}")
+    return feeds.file_stream(spark, f"{path}/in/*", closing.schema, files_per_batch=1), f"{(2 * width).days + 1} days"
 
 
 _DECIDED = activity.ORACLES["admission_replay"].replace("select id, key as session_id, created_at, decision", "select id, key as session_id, decision")
@@ -157,8 +166,10 @@ _DECIDED = activity.ORACLES["admission_replay"].replace("select id, key as sessi
 
 @query("stream_admissions", _DECIDED)
 def stream_admissions(spark, sf_dir):
-    rows = limits.stream_limits(_submissions(spark, sf_dir), ["session_id"], "created_at", "id", activity.LIMITS)
-    return feeds.drain(rows, workspace(spark)).drop("at_us")
+    path = workspace(spark)
+    stream, delay = _submissions(spark, sf_dir, path)
+    rows = limits.stream_limits(stream, ["session_id"], "created_at", "id", activity.LIMITS, delay, clock.DAY)
+    return feeds.drain(rows, path).drop("at_us")
 
 
 @query(
@@ -167,8 +178,10 @@ def stream_admissions(spark, sf_dir):
 )
 def stream_distinct(spark, sf_dir):
     keys = ["session_id", "submission_type"]
-    rows = limits.stream_distinct(_submissions(spark, sf_dir), keys, "created_at", "id", minutes=12 * 60)
-    return feeds.drain(rows, workspace(spark)).select("id", "decision")
+    path = workspace(spark)
+    stream, delay = _submissions(spark, sf_dir, path)
+    rows = limits.stream_distinct(stream, keys, "created_at", "id", 12 * 60, delay, clock.DAY)
+    return feeds.drain(rows, path).select("id", "decision")
 
 
 

@@ -5,28 +5,120 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import (
+    ExpiredTimerInfo,
+    StatefulProcessor,
+    StatefulProcessorHandle,
+    TimerValues,
+)
 
 from evenkeel.functions import clock
-from evenkeel.operators.replay import Admissions, Limits, reason
+from evenkeel.operators.keys import any_null
+from evenkeel.operators.replay import ADMITTED, Admissions, Limits, reason
 
-_STATE = "times array<bigint>, until bigint"
+_TIME = T.StructType([T.StructField("at", T.LongType())])
+
+
+class _Limiter(StatefulProcessor):
+    """One key: rows wait, by slots of event time, until the watermark has passed their slot, and are then decided.
+
+    Kept are the latest admission times (a list), the end of a block (a value), and the rows that wait (a map by slot).
+    A timer at the end of each slot decides its rows; timers come in order of time, so decisions do, whatever order rows
+    arrived in. One more timer forgets the key when no limit looks back any longer.
+    """
+
+    def __init__(self, keys: Sequence[str], tie: T.DataType, limits: Limits, slot: int) -> None:
+        self.keys, self.tie, self.limits, self.slot = list(keys), tie, limits, slot
+        self.widest = max([w for _, w, _ in limits.spans] + [limits.block_span if limits.block_at else 0])
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.times = handle.getListState("times", _TIME)
+        self.until = handle.getValueState("until", _TIME)
+        slot = T.StructType([T.StructField("slot", T.LongType())])
+        rows = T.StructType([T.StructField("at", T.ArrayType(T.LongType())), T.StructField("tie", T.ArrayType(self.tie))])
+        self.waiting = handle.getMapState("waiting", slot, rows)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        for piece in rows:  # a key's rows of a micro-batch come in pieces and are never held together
+            for slot, some in piece.groupby(piece["at_us"] // self.slot, sort=False):
+                at, ties = some["at_us"].tolist(), some["row_tie"].tolist()
+                if self.waiting.containsKey((int(slot),)):
+                    before = self.waiting.getValue((int(slot),))
+                    at, ties = [*before[0], *at], [*before[1], *ties]
+                else:
+                    self.handle.registerTimer(self._end(int(slot)))
+                self.waiting.updateValue((int(slot),), ([int(t) for t in at], ties))
+        return iter(())
+
+    def _end(self, slot: int) -> int:
+        return -(-(slot + 1) * self.slot // 1000)
+
+    def handleExpiredTimer(
+        self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo
+    ) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        slot = (now * 1000 // self.slot - 1,)
+        if not self.waiting.containsKey(slot):
+            if not any(True for _ in self.waiting.keys()):  # the last timer: nothing bears on later rows
+                self.times.clear()
+                self.until.clear()
+            return
+        at, ties = self.waiting.getValue(slot)
+        self.waiting.removeKey(slot)
+        rows = sorted(zip(at, ties, strict=True), key=lambda r: (r[0], r[1] is not None, r[1]))
+        state = Admissions(
+            self.limits, [r[0] for r in self.times.get()], self.until.get()[0] if self.until.exists() else None
+        )
+        table = pd.DataFrame(rows, columns=["at_us", "row_tie"])
+        number = state.decide(table["at_us"].to_numpy("int64"))
+        self.times.clear()
+        if state.times:
+            self.times.put([(int(t),) for t in state.times])
+        if state.blocked_until is not None:
+            self.until.update((int(state.blocked_until),))
+        self.handle.registerTimer(-(-(int(at[-1]) + self.widest + self.slot) // 1000) + 1)
+        yield pd.DataFrame(
+            {**{n: [k] * len(rows) for n, k in zip(self.keys, key, strict=True)}, "row_tie": table["row_tie"],
+             "at_us": table["at_us"], "number": number}
+        )
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
+        times = [int(t) for t in initialState["times"].iloc[0]]
+        until = initialState["until"].iloc[0]
+        if times:
+            self.times.put([(t,) for t in times])
+            self.handle.registerTimer(-(-(times[-1] + self.widest) // 1000) + 1)
+        if not pd.isna(until):
+            self.until.update((int(until),))
+
+    def close(self) -> None:
+        pass
 
 
 def stream_limits(
-    df: DataFrame, keys: Sequence[str], ts: str, tie: str, limits: Limits, delay: str = "1 day"
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    tie: str,
+    limits: Limits,
+    delay: str = "1 day",
+    slot: int = clock.MINUTE,
+    seed: DataFrame | None = None,
 ) -> DataFrame:
     """Keys, tie, time in microseconds and ``decision`` for a stream of submissions.
 
-    The state of a key (its latest admissions, at most as many as the limits ask
-    for, and the end of its block) is the same as in the batch replay, so rows that
-    arrive in order of time get the same decisions. Rows of a key within one
-    micro-batch are put in order of time; a stream that reads with
-    ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` bounds how many that can be.
-    The state goes once the watermark is the longest span past a key's last row;
-    rows more than ``delay`` late are dropped.
+    Rows are decided when the watermark, ``delay`` behind the latest row, has passed
+    their ``slot`` of time (microseconds), in order of time and tie. So decisions are
+    those of the batch replay whatever order rows come in and however batches are cut;
+    rows that are later than ``delay`` are dropped. Memory holds the rows of a key in
+    one slot, and state those that wait. A key's state goes when no limit looks back
+    to it any more. ``seed`` (from ``states_after``) lets a stream go on where a batch
+    replay has ended. Rows without a key are admitted at once, rows without a time
+    are left out.
     """
     keys = list(keys)
     narrow = df.select(
@@ -34,39 +126,47 @@ def stream_limits(
         F.col(tie).alias("row_tie"),
         clock.micros(df, ts).alias("at_us"),
         F.col(ts).cast("timestamp").alias("event_time"),
-    ).withWatermark("event_time", delay)
-    kinds = {f.name: f.dataType.simpleString() for f in narrow.schema.fields}
-    widest = max([w for _, w, _ in limits.spans] + [limits.block_span if limits.block_at else 0])
+    ).where("event_time is not null")
+    kinds = {f.name: f.dataType for f in narrow.schema.fields}
+    free = narrow.where(any_null(keys)).select(*keys, F.col("row_tie").alias(tie), "at_us", F.lit(ADMITTED).alias("decision"))
+    schema = T.StructType(
+        [*(T.StructField(k, kinds[k]) for k in keys), T.StructField("row_tie", kinds["row_tie"]),
+         T.StructField("at_us", T.LongType()), T.StructField("number", T.LongType())]
+    )
+    grouped = narrow.where(~any_null(keys)).withWatermark("event_time", delay).groupBy(*keys)
+    decided = grouped.transformWithStateInPandas(
+        _Limiter(keys, kinds["row_tie"], limits, slot),
+        schema,
+        "append",
+        "EventTime",
+        initialState=None if seed is None else seed.select(*keys, "times", "until").groupBy(*keys),
+    )
+    labelled = decided.select(*keys, F.col("row_tie").alias(tie), "at_us", reason(limits, F.col("number")).alias("decision"))
+    return labelled.unionByName(free)
 
-    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        rows = pd.concat([b[["row_tie", "at_us"]] for b in batches])
-        rows = rows.sort_values(["at_us", "row_tie"], kind="stable")
-        times, until = state.get if state.exists else ((), None)
-        seen = Admissions(limits, times, until)
-        number = seen.decide(rows["at_us"].to_numpy())
-        state.update(([int(t) for t in seen.times], None if seen.blocked_until is None else int(seen.blocked_until)))
-        idle_at = (int(rows["at_us"].iloc[-1]) + widest) // 1000
-        state.setTimeoutTimestamp(max(idle_at, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(
-            {**{n: [k] * len(rows) for n, k in zip(keys, key)}, "row_tie": rows["row_tie"].to_numpy(),
-             "at_us": rows["at_us"].to_numpy(), "number": number}
-        )
 
-    schema = [*(f"`{k}` {kinds[k]}" for k in keys), f"row_tie {kinds['row_tie']}", "at_us bigint", "number bigint"]
-    decided = narrow.groupBy(*keys).applyInPandasWithState(
-        decide, ", ".join(schema), _STATE, "append", GroupStateTimeout.EventTimeTimeout
-    )
-    return decided.select(
-        *keys, F.col("row_tie").alias(tie), "at_us", reason(limits, F.col("number")).alias("decision")
-    )
+def states_after(decided: DataFrame, keys: Sequence[str], ts: str, limits: Limits) -> DataFrame:
+    """(keys, times, until) at the end of a batch replay's decisions: what ``stream_limits`` begins with.
+
+    The latest admissions are enough: a row is only admitted outside a block, so no block but the last one's can hold.
+    """
+    at = decided.select(*keys, clock.micros(decided, ts).alias("at")).where(decided["decision"] == ADMITTED).where(~any_null(keys))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("at")))
+    latest = at.withColumn("place", place).where(F.col("place") <= limits.memory)
+    times = latest.groupBy(*keys).agg(F.sort_array(F.collect_list("at")).alias("times"))
+    last = F.element_at("times", -1)
+    if limits.block_at is None:
+        until = F.lit(None).cast("long")
+    else:
+        first = limits.spans[0][1]
+        within = F.size(F.filter("times", lambda t: t > last - first))
+        until = F.when(within >= limits.block_at, last + limits.block_span)
+    return times.withColumn("until", until)
 
 
 def stream_distinct(
-    df: DataFrame, keys: Sequence[str], ts: str, tie: str, minutes: int = 30
+    df: DataFrame, keys: Sequence[str], ts: str, tie: str, minutes: int = 30, delay: str = "1 day", slot: int = clock.MINUTE
 ) -> DataFrame:
     """Duplicate suppression: a copy is rejected within ``minutes`` of the last accepted one."""
     once = Limits(spans=(("duplicate", minutes * clock.MINUTE, 1),))
-    return stream_limits(df, keys, ts, tie, once)
+    return stream_limits(df, keys, ts, tie, once, delay, slot)

@@ -1,5 +1,6 @@
 """Streams fed file by file, late rows and progress."""
 
+import random
 from datetime import datetime, timedelta
 
 import pytest
@@ -21,15 +22,47 @@ def write_files(spark, path, batches, schema):
     return f"{path}/*"
 
 
-def test_limits_keep_state_between_batches(spark, tmp_path):
-    rows = [(i, f"s{i % 3}", START + timedelta(minutes=7 * i)) for i in range(60)]
-    schema = "id long, session_id string, created_at timestamp_ntz"
-    path = write_files(spark, str(tmp_path / "in"), [rows[:20], rows[20:40], rows[40:]], schema)
-    rule = replay.Limits(spans=(("hour", clock.HOUR, 2), ("day", clock.DAY, 5)))
-    stream = feeds.file_stream(spark, path, schema, files_per_batch=1)
-    got = feeds.drain(limits.stream_limits(stream, ["session_id"], "created_at", "id", rule), workspace(spark))
-    twin = replay.replay(spark.createDataFrame(rows, schema), ["session_id"], "created_at", "id", rule)
-    assert {r["id"]: r["decision"] for r in got.collect()} == {r["id"]: r["decision"] for r in twin.collect()}
+SUBMITTED = "id long, session_id string, created_at timestamp_ntz"
+CLOSING = [(-1, "closing", START + timedelta(days=900))]
+
+
+def _stream(spark, path, batches):
+    return feeds.file_stream(spark, write_files(spark, path, [*batches, CLOSING], SUBMITTED), SUBMITTED, files_per_batch=1)
+
+
+def _decisions(df):
+    return {r["id"]: r["decision"] for r in df.collect() if r["id"] != -1}
+
+
+@pytest.mark.parametrize(
+    "rule",
+    [
+        replay.Limits(spans=(("hour", clock.HOUR, 2), ("day", clock.DAY, 5))),
+        replay.Limits(spans=(("hour", clock.HOUR, 2), ("day", clock.DAY, 5)), block_at=2, block_span=3 * clock.HOUR),
+    ],
+)
+def test_limits_hold_however_rows_arrive(spark, tmp_path, rule):
+    rows = [(i, f"s{i % 3}", START + timedelta(minutes=5 * (i // 2))) for i in range(80)]
+    rows += [(100, None, START), (101, None, START), (102, "s1", None)]
+    shuffled = random.Random(5).sample(rows, len(rows))
+    batches = [shuffled[:10], shuffled[10:50], shuffled[50:]]
+    stream = _stream(spark, str(tmp_path / "in"), batches)
+    decided = limits.stream_limits(stream, ["session_id"], "created_at", "id", rule, slot=10 * clock.MINUTE)
+    got = _decisions(feeds.drain(decided, workspace(spark)))
+    twin = replay.replay(spark.createDataFrame(rows[:-1], SUBMITTED), ["session_id"], "created_at", "id", rule)
+    assert got == _decisions(twin) and len(got) == 82
+
+
+def test_a_stream_goes_on_where_a_replay_ended(spark, tmp_path):
+    rule = replay.Limits(spans=(("hour", clock.HOUR, 3), ("day", clock.DAY, 5)), block_at=2, block_span=5 * clock.HOUR)
+    rows = [(i, f"s{i % 2}", START + timedelta(minutes=23 * i)) for i in range(60)]
+    whole = _decisions(replay.replay(spark.createDataFrame(rows, SUBMITTED), ["session_id"], "created_at", "id", rule))
+    earlier = replay.replay(spark.createDataFrame(rows[:30], SUBMITTED), ["session_id"], "created_at", "id", rule)
+    seed = limits.states_after(earlier, ["session_id"], "created_at", rule)
+    stream = _stream(spark, str(tmp_path / "in"), [rows[30:45], rows[45:]])
+    rest = limits.stream_limits(stream, ["session_id"], "created_at", "id", rule, seed=seed)
+    assert {**_decisions(earlier), **_decisions(feeds.drain(rest, workspace(spark)))} == whole
+    assert {"admitted", "blocked"} <= set(whole.values())
 
 
 def test_late_rows_are_dropped_and_counted(spark, tmp_path):
@@ -108,8 +141,6 @@ def test_observed_progress(spark):
 @pytest.mark.parametrize("minutes,kept", [(30, [0, 3]), (10, [0, 1, 3])])
 def test_copies_are_suppressed_from_the_last_accepted(spark, tmp_path, minutes, kept):
     rows = [(i, "h", START + timedelta(minutes=m)) for i, m in enumerate((0, 20, 25, 50))]
-    schema = "id long, copy string, ts timestamp_ntz"
-    path = write_files(spark, str(tmp_path / "in"), [rows], schema)
-    stream = feeds.file_stream(spark, path, schema)
-    got = feeds.drain(limits.stream_distinct(stream, ["copy"], "ts", "id", minutes), workspace(spark))
+    stream = _stream(spark, str(tmp_path / "in"), [rows[2:], rows[:2]])
+    got = feeds.drain(limits.stream_distinct(stream, ["session_id"], "created_at", "id", minutes), workspace(spark))
     assert sorted(r["id"] for r in got.where(F.col("decision") == "admitted").collect()) == kept
