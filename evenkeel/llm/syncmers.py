@@ -224,8 +224,8 @@ def compared(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
         return pd.Series([[k, before[k]] if begin.get(k) == i else [k] for k, i in zip(at.tolist(), ids.tolist(), strict=True)])
 
     dealt = rows.select("doc_id", "text", F.posexplode(places(low)).alias("lent", "range"))
-    n = max(len(used), 1)
-    ordered = dealt.repartition(n, "range").sortWithinPartitions("range", "lent", "doc_id", "text")
+    # Each range has a partition of its own, where hashes of range numbers would bring some together.
+    ordered = dealt.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "lent", "doc_id", "text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: tuple | None = None  # (range, doc_id, text, print) whose next row has not come yet
