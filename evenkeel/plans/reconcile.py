@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
 from datetime import datetime
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -846,21 +843,6 @@ def documents_read(spark, sf_dir):
 _PER_ARCHIVE = 500
 
 
-def _packed(customers: DataFrame) -> DataFrame:
-    """Customers as ZIP archives of at most 500 rows, with one CSV per segment."""
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        held = io.BytesIO()
-        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as out:
-            for segment, rows in pdf.sort_values("c_custkey").groupby("c_mktsegment"):
-                out.writestr(f"{segment}.csv", rows[["c_custkey", "c_name"]].to_csv(index=False))
-            out.writestr("readme.txt", "not a table")
-        return pd.DataFrame([(f"customers-{pdf['part'].iloc[0]}.zip", held.getvalue())], columns=["path", "content"])
-
-    cut = customers.withColumn("part", F.floor(F.col("c_custkey") / _PER_ARCHIVE).cast("long"))
-    return cut.groupBy("part").applyInPandas(pack, "path string, content binary")
-
-
 @query(
     "zip_members",
     f"""select 'customers-' || cast(c_custkey // {_PER_ARCHIVE} as varchar) || '.zip' as archive,
@@ -869,6 +851,15 @@ def _packed(customers: DataFrame) -> DataFrame:
        cast(c_custkey as varchar) as c_custkey, c_name from customer""",
 )
 def zip_members(spark, sf_dir):
+    """Customers as archives below the shared folder, a CSV member for each segment, read back member by member."""
     load(spark, sf_dir)
-    rows = archives.unzip_csv(_packed(spark.table("customer")))
-    return rows.select("archive", "member", "row_number", archives.field("c_custkey"), archives.field("c_name"))
+    number = F.floor(F.col("c_custkey") / _PER_ARCHIVE).cast("long")
+    rows = spark.table("customer").select(
+        "c_custkey", "c_name", F.concat(F.lit("customers-"), number, F.lit(".zip")).alias("archive"),
+        F.concat("c_mktsegment", F.lit(".csv")).alias("member"),
+    )
+    root = workspace(spark) + "/archives"
+    archives.write_zip_csv(rows, root, "archive", "member", ["c_custkey"]).write.format("noop").mode("overwrite").save()
+    found = archives.read_zip_csv(spark, root, task_bytes=1 << 16)
+    name = F.element_at(F.split("archive", "/"), -1).alias("archive")
+    return found.select(name, "member", "row_number", archives.field("c_custkey"), archives.field("c_name"))

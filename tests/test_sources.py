@@ -150,6 +150,61 @@ def test_zip_members(spark, tmp_path):
     assert rows.where("member = 'deep/two.csv' and row_number = 1").first()["fields"] == ["z", "3", "again"]
 
 
+def _archive(path, texts, **how):
+    with zipfile.ZipFile(path, "w", **how) as z:
+        for name, text in texts.items():
+            z.writestr(name, text)
+
+
+def test_members_of_one_archive_are_read_by_several_tasks(spark, tmp_path, monkeypatch):
+    (tmp_path / "deep").mkdir()
+    texts = {f"m{i:02}.csv": "id,v\n" + "".join(f"{i},{n}\n" for n in range(300)) for i in range(12)}
+    # Tiny limits make the writer use the records of archives beyond 4 GB and 65,535 members.
+    with monkeypatch.context() as small:
+        small.setattr(zipfile, "ZIP64_LIMIT", 100)
+        small.setattr(zipfile, "ZIP_FILECOUNT_LIMIT", 3)
+        _archive(tmp_path / "deep" / "big.zip", texts, compression=zipfile.ZIP_DEFLATED)
+    assert b"PK\x06\x06" in (tmp_path / "deep" / "big.zip").read_bytes()
+    rows = archives.read_zip_csv(spark, str(tmp_path), task_bytes=1500)
+    tasks = rows.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.count_distinct("member").alias("n")).collect()
+    assert len(tasks) >= 6 and sum(r["n"] for r in tasks) == 12
+    assert rows.count() == 3600 and rows.where("fields[0] != cast(substr(member, 2, 2) as int)").count() == 0
+    one = archives.read_zip_csv(spark, str(tmp_path), "m0[12].csv")
+    assert sorted(r["member"] for r in one.select("member").distinct().collect()) == ["m01.csv", "m02.csv"]
+
+
+@pytest.mark.parametrize("method", [zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED, zipfile.ZIP_BZIP2, zipfile.ZIP_LZMA])
+def test_members_by_method(spark, tmp_path, method):
+    body = "\ufeffid,name\n" + "".join(f'{i},"näme, {i % 7}"\n' for i in range(40_000)) + "\n"
+    _archive(tmp_path / "a.zip", {"one.csv": body, "empty.csv": "", "head.csv": "id\n", "dir/": ""}, compression=method)
+    rows = archives.read_zip_csv(spark, f"file://{tmp_path}/a.zip")
+    assert rows.count() == 40_000 and rows.agg(F.max("row_number")).first()[0] == 40_000
+    assert rows.where("row_number = 9").select(archives.field("name")).first()[0] == "näme, 1"
+
+
+def test_other_members_are_not_read_and_damage_is_found(spark, tmp_path):
+    _archive(tmp_path / "a.zip", {"good.csv": "id\n1\n", "bad.csv": "id\n2\n"})
+    raw = bytearray((tmp_path / "a.zip").read_bytes())
+    raw[raw.index(b"id\n2")] = 0x78  # the second member's check sum is wrong
+    (tmp_path / "a.zip").write_bytes(raw)
+    assert [r["fields"] for r in archives.read_zip_csv(spark, str(tmp_path), "g*.csv").collect()] == [["1"]]
+    assert archives.read_zip_csv(spark, str(tmp_path), "none*").count() == 0
+    with pytest.raises(Exception, match="damaged"):
+        archives.read_zip_csv(spark, str(tmp_path)).collect()
+
+
+def test_archives_round_trip(spark, tmp_path):
+    rows = [("a.zip", "x.csv", 2, 'say "hi"'), ("a.zip", "x.csv", 1, None), ("a.zip", "y.csv", 3, "two\nlines"), ("b/c.zip", "x.csv", 4, "é")]
+    df = spark.createDataFrame(rows, "archive string, member string, id int, v string")
+    for _ in range(2):  # writing again replaces
+        written = archives.write_zip_csv(df, str(tmp_path / "out"), "archive", "member", ["id"]).collect()
+    assert sorted(r["path"].removeprefix(str(tmp_path)) for r in written) == ["/out/a.zip", "/out/b/c.zip"]
+    found = archives.read_zip_csv(spark, str(tmp_path / "out"))
+    got = found.select("member", "row_number", archives.field("id"), archives.field("v")).collect()
+    assert sorted(map(tuple, got)) == [("x.csv", 1, "1", ""), ("x.csv", 1, "4", "é"), ("x.csv", 2, "2", 'say "hi"'), ("y.csv", 1, "3", "two\nlines")]
+    assert sorted(p.name for p in (tmp_path / "out").rglob("*.*")) == ["a.zip", "c.zip"]
+
+
 @pytest.fixture(scope="module")
 def derby(spark):
     url = "jdbc:derby:memory:evenkeel;create=true"
