@@ -97,6 +97,55 @@ def stream_static_diff(spark, sf_dir):
     return found.select("o_orderkey", "row_status")
 
 
+@query(
+    "stream_compare",
+    """with a as (select event_id, event_type from events where event_id % 89 <> 0
+               union all select event_id, event_type from events where event_id % 89 <> 0 and event_id % 23 = 0),
+    b as (select event_id, case when event_id % 41 = 0 then 'changed' else event_type end as event_type
+          from events where event_id % 97 <> 0
+          union all select event_id, event_type from events where event_id % 97 <> 0 and event_id % 31 = 0),
+    ca as (select event_id, count(*) as n, min(event_type) as v from a group by event_id),
+    cb as (select event_id, count(*) as n, min(event_type) as v from b group by event_id)
+    select coalesce(ca.event_id, cb.event_id) as event_id, coalesce(ca.n, 0)::bigint as n_source,
+           coalesce(cb.n, 0)::bigint as n_target,
+           case when cb.n is null then 'missing_in_target' when ca.n is null then 'missing_in_source'
+                when ca.n > 1 or cb.n > 1 then 'duplicate_key' when ca.v = cb.v then 'match' else 'value_mismatch' end
+             as row_status
+    from ca full outer join cb on ca.event_id = cb.event_id""",
+)
+def stream_compare(spark, sf_dir):
+    """Two streams in which some keys come twice within seconds."""
+    path = workspace(spark)
+
+    def side(name, kept, again, value):
+        rows = _events(spark, sf_dir, f"{path}/{name}").where(F.col("event_id") % kept != 0)
+        times = F.array(F.lit(0), F.when((F.col("event_id") % again == 0) & (F.col("event_id") > 0), 3))
+        twice = rows.withColumn("later", F.explode(F.filter(times, lambda t: t.isNotNull())))
+        first = F.when(F.col("later") == 0, value).otherwise(F.col("event_type"))
+        return twice.withColumn("event_type", first).withColumn("ts", F.timestamp_add("SECOND", F.col("later"), F.col("ts"))).drop("later")
+
+    source = side("a", 89, 23, F.col("event_type"))
+    target = side("b", 97, 31, F.when(F.col("event_id") % 41 == 0, "changed").otherwise(F.col("event_type")))
+    spec = CompareSpec(keys=("event_id",), columns=("event_type",))
+    return feeds.drain(feeds.stream_compare(source, target, spec, "ts", "10 seconds"), path).where("event_id >= 0")
+
+
+@query(
+    "stream_arriving_diff",
+    f"""{with_("src", "tgt")}, {oracles.statuses("src", "tgt", ["o_orderkey"],
+        oracles.same("o_custkey", "o_orderstatus", "o_totalprice"))}
+    select o_orderkey, n_source, n_target, row_status from j""",
+)
+def stream_arriving_diff(spark, sf_dir):
+    """A target that comes in four parts: after the last, the rows of the whole compare."""
+    path = workspace(spark)
+    source, target = relations(spark, sf_dir, "src", "tgt")
+    target.repartition(4, "o_orderkey").write.parquet(f"{path}/in")
+    stream = feeds.file_stream(spark, f"{path}/in", target.schema, files_per_batch=1)
+    _, whole = feeds.drain_arriving(stream, source, CompareSpec(keys=("o_orderkey",)), path)
+    return whole
+
+
 @query(
     "sliding_counts",
     """with w as (

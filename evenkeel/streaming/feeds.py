@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 from evenkeel.functions import clock
 from evenkeel.operators import diff
+from evenkeel.operators.keys import any_null
 from evenkeel.operators.normalize import folded, normalized
 from evenkeel.session import pinned
 from evenkeel.spec import MATCH, MISSING_IN_SOURCE, MISSING_IN_TARGET, VALUE_MISMATCH, CompareSpec
@@ -149,6 +150,74 @@ def against_source(source: DataFrame, spec: CompareSpec) -> Callable[[DataFrame]
     return each
 
 
+def stream_compare(
+    source: DataFrame, target: DataFrame, spec: CompareSpec, ts: str, gap: str = "10 minutes", delay: str = "10 minutes"
+) -> DataFrame:
+    """Keys, row counts of both sides and ``row_status`` of two streams, as a batch compare gives them.
+
+    Rows of a key, of either side, that follow each other within ``gap`` are one spell and are compared together when the
+    watermark has passed it. Spells are counted and folded as rows come, so a key that repeats is ``duplicate_key`` with
+    its counts and its rows are never paired with each other; state holds one row for each open spell. Rows with a NULL
+    key (unless keys are null-safe) or without a time are unmatched on their side at once. Times must be zoned.
+    """
+    if spec.duplicates == "ordinal" or not spec.exact:
+        raise ValueError("a stream cannot number the rows of a key or compare digests")
+    keys = list(spec.keys)
+    columns = [c for c in diff.compare_columns(source, target, spec) if c != ts]
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(*[folded(df, c, spec).alias(c) for c in (*keys, *columns)], F.col(ts).alias("_ts"))
+        return rows.select(*keys, "_ts", F.lit(name).alias("_side"), F.struct(F.lit(True), *columns).alias(f"_{name}"))
+
+    both = side(source, "source").unionByName(side(target, "target"), allowMissingColumns=True)
+    alone = F.col("_ts").isNull() | (F.lit(False) if spec.null_safe_keys else any_null(keys))
+    timed = both.where(~alone).withWatermark("_ts", delay)
+    spells = timed.groupBy(*keys, F.session_window("_ts", gap).alias("_spell")).agg(
+        *[F.count_if(F.col("_side") == s).alias(f"n_{s}") for s in diff.SIDES],
+        *[F.first(f"_{s}", ignorenulls=True).alias(f"_{s}") for s in diff.SIDES],
+    )
+    values = [F.col(f"_{s}.{c}").alias(f"{s}_{c}") for s in diff.SIDES for c in columns]
+    paired = diff.Paired(spells.select(*keys, "n_source", "n_target", *values), spec, columns, keys)
+    rows = paired.rows.select(*keys, "n_source", "n_target", paired.status().alias("row_status"))
+    here = F.col("_side") == "source"
+    lone = both.where(alone).select(
+        *keys,
+        here.cast("long").alias("n_source"),
+        (~here).cast("long").alias("n_target"),
+        F.when(here, MISSING_IN_TARGET).otherwise(MISSING_IN_SOURCE).alias("row_status"),
+    )
+    return rows.unionByName(lone)
+
+
+def drain_arriving(target: DataFrame, source: DataFrame, spec: CompareSpec, path: str) -> tuple[DataFrame, DataFrame]:
+    """Compare an arriving target with a fixed source: rows as they came, and the whole compare at the end.
+
+    Each micro-batch is judged against the source at once (``against_source``) and leaves its compared columns below
+    ``path``; a batch that is repeated after a failure replaces both. When all have come, a closing sweep compares what
+    was seen with the source, so keys that the target lacks, or repeats across batches, are told as in a batch compare,
+    however batches were cut.
+    """
+    each = against_source(source, spec)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        columns = diff.compare_columns(source, batch, spec)
+        batch.select(*spec.keys, *columns).write.mode("overwrite").parquet(f"{path}/seen/batch_id={batch_id}")
+        each(batch).write.mode("overwrite").parquet(f"{path}/out/batch_id={batch_id}")
+
+    query = (
+        target.writeStream.foreachBatch(write)
+        .option("checkpointLocation", f"{path}/progress")
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    reader = target.sparkSession.read
+    columns = diff.compare_columns(source, target, spec)
+    schema = target.select(*spec.keys, *columns).schema
+    seen = reader.schema(schema).parquet(f"{path}/seen")
+    return reader.parquet(f"{path}/out").drop("batch_id"), diff.row_statuses(source, seen, spec)
+
+
 def windowed_counts(
     df: DataFrame, key: str, ts: str, width: str = "1 hour", slide: str = "10 minutes", delay: str = "10 minutes"
 ) -> DataFrame:

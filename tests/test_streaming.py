@@ -130,6 +130,39 @@ def test_batches_against_a_fixed_source(spark, tmp_path):
     assert {r["k"]: r["row_status"] for r in got.collect()} == {1: "match", 2: "value_mismatch", 9: "missing_in_source"}
 
 
+ROWS = [("a", "1"), ("a", "1"), ("b", "2"), ("c", "3"), (None, "n"), ("e", None), ("f", "6"), ("f", "6"), ("f", "6"), ("g", "7")]
+OTHERS = [("a", "1"), ("b", "2"), ("b", "2"), ("c", "x"), (None, "n"), ("d", "4"), ("e", None), ("f", "6"), ("h", "8"), ("h", "8")]
+
+
+@pytest.mark.parametrize("null_safe", [False, True])
+def test_repeats_in_two_streams_give_the_batch_statuses(spark, tmp_path, null_safe):
+    spec = CompareSpec(keys=("k",), columns=("v",), null_safe_keys=null_safe)
+    schema = "k string, ts timestamp, v string"
+    end = [("closing", START + timedelta(days=9), "")]
+    sides = []
+    for name, rows in (("l", ROWS), ("r", OTHERS)):
+        timed = [(k, START + timedelta(seconds=i), v) for i, (k, v) in enumerate(rows)]
+        path = write_files(spark, str(tmp_path / name), [timed[5:], timed[:5], end], schema)
+        sides.append(feeds.file_stream(spark, path, schema, files_per_batch=1))
+    found = feeds.drain(feeds.stream_compare(*sides, spec, "ts", "1 minute", "1 hour"), workspace(spark))
+    got = sorted(map(str, found.where("k is null or k != 'closing'").collect()))
+    batch = [spark.createDataFrame(rows, "k string, v string") for rows in (ROWS, OTHERS)]
+    assert got == sorted(map(str, diff.row_statuses(*batch, spec).collect()))
+
+
+def test_an_arriving_target_ends_with_the_batch_compare(spark, tmp_path):
+    spec, schema = CompareSpec(keys=("k",)), "k string, v string"
+    source = spark.createDataFrame(ROWS, schema)
+    want = sorted(map(str, diff.row_statuses(source, spark.createDataFrame(OTHERS, schema), spec).collect()))
+    for n, batches in enumerate(([OTHERS], [OTHERS[:2], OTHERS[2:9], OTHERS[9:]])):
+        path = write_files(spark, str(tmp_path / f"in{n}"), batches, schema)
+        stream = feeds.file_stream(spark, path, schema, files_per_batch=1)
+        running, whole = feeds.drain_arriving(stream, source, spec, workspace(spark))
+        assert running.count() == len(OTHERS)
+        assert sorted(map(str, whole.collect())) == want
+    assert any("missing_in_target" in r for r in want) and any("duplicate_key" in r for r in want)
+
+
 def test_observed_progress(spark):
     a = spark.range(100).selectExpr("id as k", "id as v")
     b = spark.range(100).selectExpr("id as k", "if(id < 10, -1, id) as v")
