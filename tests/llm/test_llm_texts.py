@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from evenkeel.llm import language, repetition, toxicity
@@ -111,11 +112,31 @@ def test_language_counts_and_edges(spark):
 
 
 def test_language_scores_equal_naive_bayes():
-    model = language.smoothed(["a", "b"], np.random.default_rng(1).integers(0, 9, (2, 64)), np.ones(2))
-    text = "Some words here"
-    _, cells = language.grams([text], 64)
-    joint = np.array([sum(model.log_prob[c, k] for c in cells) for k in (0, 1)])
-    assert np.allclose(model.scores([text])[0], joint)
+    counts = np.random.default_rng(1).integers(0, 9, (2, 64))
+    cells = pd.DataFrame({"lang": np.repeat(["a", "b"], 64), "bucket": np.tile(np.arange(64), 2), "n": counts.ravel()})
+    texts = ["Some words here", "", "aaa aaa aaa bb", "été 🙂"]
+    for full in (256, 1):
+        model = language.smoothed(["a", "b"], cells[cells["n"] > 0], 64, full=full)
+        assert isinstance(model, language.SparseModel) == (full == 1)
+        for text, got in zip(texts, model.scores(texts), strict=True):
+            _, places = language.grams([text], 64)
+            share = np.log((counts + 0.2) / (counts + 0.2).sum(1, keepdims=True))
+            assert np.allclose(got, [share[k][places].sum() for k in (0, 1)])
+
+
+def test_very_many_languages(spark):
+    r = random.Random(3)
+    words = {f"l{i:03}": ["".join(r.choices("abcdefghijklmnop", k=6)) for _ in range(12)] for i in range(300)}
+    rows = [(n, " ".join(r.choices(words[lang], k=40)), lang) for n, lang in enumerate([*words] * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.fit(docs.where("doc_id < 900"))
+    assert len(model.langs) == 300 and isinstance(model, language.SparseModel)
+    full = language.fit(docs.where("doc_id < 900"), full=1000)
+    texts = [t for _, t, _ in rows[900:]]
+    assert model.predict(texts)[0] == full.predict(texts)[0] == [lang for _, _, lang in rows[900:]]
+    assert np.allclose(model.scores(texts), full.scores(texts))
+    # A sample smaller than the languages still knows every one.
+    assert len(language.fit(docs, sample=100).langs) == 300
 
 
 def test_language_held_out(spark, sf_dir):
