@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from evenkeel.functions import clock, text
 from evenkeel.operators import activity, replay
 from evenkeel.plans.fixtures import latest, relation, relations, with_
+from evenkeel.session import workspace
+from evenkeel.sources.snapshots import PERIOD, SnapshotTable
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -177,7 +179,10 @@ def blocks_upsert(spark, sf_dir):
     blocks = relation(spark, sf_dir, "blocks")
     middle = blocks.select(F.expr("timestampadd(HOUR, 360, min(blocked_at))")).scalar()
     before, after = blocks.where(F.col("blocked_at") < middle), blocks.where(F.col("blocked_at") >= middle)
-    return activity.latest_blocks(before, after)
+    table = SnapshotTable(spark, workspace(spark) + "/blocks", keys=["identifier"])
+    for rows in (before, after):
+        table.upsert(rows, "blocked_at", ["blocked_at", "unblock_at", "reason"])
+    return table.read().drop(PERIOD)
 
 
 @query(

@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from evenkeel.operators import history
 from evenkeel.plans.fixtures import latest, relation, relations, with_
+from evenkeel.session import pinned, workspace
+from evenkeel.sources.snapshots import SnapshotTable
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -92,9 +94,15 @@ def retention_counts(spark, sf_dir):
     select 'files', count(*) from files where session_id not in (select session_id from gone)""",
 )
 def retained_rows(spark, sf_dir):
+    """Sessions and files in a store with snapshots, by month, after its retention: counted from what is read back."""
     sess, files = relations(spark, sf_dir, "sess", "files")
-    kept = dict(zip(("sessions", "files"), history.retained(sess, files, latest(sess))))
-    counts = [df.agg(F.count("*").alias("n_rows")).withColumn("table_name", F.lit(n)) for n, df in kept.items()]
+    gone = pinned(history.expired_sessions(sess, latest(sess)))
+    root, counts = workspace(spark), []
+    for name, rows, ts in (("files", files, "downloaded_at"), ("sessions", sess, "created_at")):
+        table = SnapshotTable(spark, f"{root}/{name}", grain="month")
+        table.append(rows, ts)
+        table.remove(gone, "session_id")
+        counts.append(table.read().agg(F.count("*").alias("n_rows")).withColumn("table_name", F.lit(name)))
     return counts[0].unionByName(counts[1])
 
 

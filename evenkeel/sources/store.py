@@ -1,4 +1,4 @@
-"""Run history as append-only Parquet tables, partitioned by day."""
+"""Run history as Parquet tables with snapshots, by day."""
 
 from __future__ import annotations
 
@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.operators import history
+from evenkeel.session import pinned
+from evenkeel.sources.snapshots import PERIOD, SnapshotTable
 
 SCHEMAS = {
     "sessions": "session_id string, test_type string, client_id string, client_role string,"
@@ -25,6 +27,7 @@ SCHEMAS = {
     " created_at timestamp",
 }
 _TIME = {"sessions": "created_at", "events": "event_ts", "files": "recorded_at", "audit": "created_at"}
+TABLES = (*SCHEMAS, "results", "mismatches")
 STATUSES = ("pending", "running", "completed", "failed")
 
 
@@ -35,19 +38,20 @@ def run_id(source_query: str, target_query: str, at: datetime) -> str:
 
 
 class HistoryStore:
-    """Writes run history under ``root``; a change of state is a new event row."""
+    """Writes run history under ``root``; a change of state is a new event row.
+
+    Each table is a ``SnapshotTable``: several programs may write, and readers keep the version they began with.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
 
-    def _path(self, table: str) -> str:
-        return f"{self.root}/{table}"
+    def snapshots(self, table: str) -> SnapshotTable:
+        return SnapshotTable(self.spark, f"{self.root}/{table}")
 
     def append(self, table: str, df: DataFrame, ts: str) -> None:
-        df.withColumn("run_date", F.to_date(ts)).write.mode("append").partitionBy("run_date").parquet(
-            self._path(table)
-        )
+        self.snapshots(table).append(df, ts)
 
     def _append_rows(self, table: str, rows: Sequence[Mapping[str, object]]) -> None:
         names = [c.split()[0] for c in SCHEMAS[table].split(", ")]
@@ -55,10 +59,13 @@ class HistoryStore:
         self.append(table, df, _TIME[table])
 
     def table(self, name: str) -> DataFrame:
-        reader = self.spark.read
-        if name in SCHEMAS:
-            reader = reader.schema(f"{SCHEMAS[name]}, run_date date")
-        return reader.parquet(self._path(name))
+        """The latest rows, with their day as ``period``."""
+        rows = self.snapshots(name).read()
+        if rows is not None:
+            return rows
+        if name not in SCHEMAS:
+            raise LookupError(f"nothing has been written to {name!r} yet")
+        return self.spark.createDataFrame([], f"{SCHEMAS[name]}, {PERIOD} date")
 
     def create_session(self, session_id: str, at: datetime, **fields: object) -> None:
         self._append_rows("sessions", [{"session_id": session_id, "created_at": at, **fields}])
@@ -97,41 +104,18 @@ class HistoryStore:
     def sessions(self) -> DataFrame:
         """Sessions with their current status, from the event log."""
         state = history.session_state(self.table("events")).drop("created_at")
-        return self.table("sessions").drop("run_date").join(state, "session_id", "left")
+        return self.table("sessions").drop(PERIOD).join(state, "session_id", "left")
 
-    def compacted(self, out: str) -> "HistoryStore":
-        """Write all tables to a new root, one file per table and day, and return its store.
+    def compact(self) -> None:
+        """Bring the small files of each table and day together; days with one file stay as they are."""
+        for name in TABLES:
+            self.snapshots(name).compact()
 
-        Every change of state is a small file; run this now and then and switch roots.
-        """
-        kept = HistoryStore(self.spark, out)
-        for name in (*SCHEMAS, "results", "mismatches"):
-            rows = self._written(name)
-            if rows is not None:
-                rows.repartition("run_date").write.partitionBy("run_date").parquet(kept._path(name))
-        return kept
-
-    def _written(self, name: str) -> DataFrame | None:
-        """A table, or None when nobody has written it yet."""
-        try:
-            return self.table(name)
-        except Exception as missing:
-            if "PATH_NOT_FOUND" not in str(missing):
-                raise
-            return None
-
-    def remove_expired(self, as_of: datetime, days: int, out: str) -> "HistoryStore":
-        """Write what the retention rule keeps to a new root and return its store.
-
-        Files being read are never overwritten; the caller switches roots. The audit
-        log outlives its sessions and is kept whole.
+    def remove_expired(self, as_of: datetime, days: int) -> dict[str, set[str]]:
+        """Take out what the retention rule ends: the days that were written again, by table.
+
+        Sessions go last, so a run that stops half-way is made good by the next. The audit log outlives its sessions.
         """
-        kept = HistoryStore(self.spark, out)
-        gone = history.expired_sessions(self.sessions(), F.lit(as_of), days)
-        for name in ("sessions", "events", "files", "results", "mismatches", "audit"):
-            rows = self._written(name)
-            if rows is None:
-                continue
-            left = rows if name == "audit" else rows.join(gone, "session_id", "left_anti")
-            left.write.partitionBy("run_date").parquet(kept._path(name))
-        return kept
+        gone = pinned(history.expired_sessions(self.sessions(), F.lit(as_of), days))
+        order = [t for t in TABLES if t not in ("audit", "sessions")]
+        return {name: self.snapshots(name).remove(gone, "session_id") for name in (*order, "sessions")}

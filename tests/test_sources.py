@@ -1,6 +1,7 @@
 """Files, archives, databases and the history store."""
 
 import random
+import threading
 import zipfile
 from datetime import datetime
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from evenkeel import session
 from evenkeel.operators import diff, report
 from evenkeel.sources import archives, csvsplit, files, named, store
+from evenkeel.sources.snapshots import Conflict, SnapshotTable
 from evenkeel.spec import CompareSpec
 
 AT = datetime(2024, 5, 1, 12)
@@ -313,17 +315,104 @@ def test_history_store(spark, tmp_path):
     assert runs.table("results").first()["match_score"] == 50.0
     assert runs.table("mismatches").select("source_value", "target_value").collect() == [("y", "z")]
 
-    small = runs.compacted(str(tmp_path / "small"))
-    for table in ("sessions", "events", "files", "results", "mismatches", "audit"):
-        assert small.table(table).count() == runs.table(table).count()
-    assert len(list((tmp_path / "small" / "events").rglob("*.parquet"))) == 1
+    before = {t: runs.table(t).count() for t in store.TABLES}
+    assert len(runs.snapshots("events").snapshot().entries) == 4
+    runs.compact()
+    assert {t: runs.table(t).count() for t in store.TABLES} == before
+    assert len(runs.snapshots("events").snapshot().entries) == 1
 
-    kept = runs.remove_expired(datetime(2024, 7, 1), 30, str(tmp_path / "kept"))
-    assert [r["session_id"] for r in kept.table("sessions").collect()] == ["open"]
-    assert kept.table("files").count() == 0 and kept.table("events").count() == 1
-    assert kept.table("audit").count() == 1
+    assert set(runs.remove_expired(datetime(2024, 7, 1), 30)) == {"events", "files", "results", "mismatches", "sessions"}
+    assert [r["session_id"] for r in runs.table("sessions").collect()] == ["open"]
+    assert runs.table("files").count() == 0 and runs.table("events").count() == 1
+    assert runs.table("audit").count() == 1
     with pytest.raises(ValueError):
         runs.set_status(name, "lost", AT)
+    with pytest.raises(LookupError):
+        store.HistoryStore(spark, str(tmp_path / "new")).table("results")
+
+
+def _log(spark, rows):
+    return spark.createDataFrame([(k, AT.replace(day=day), v) for k, day, v in rows], "k string, ts timestamp, v long")
+
+
+def _kept(table, version=None):
+    return sorted((r["k"], r["v"]) for r in table.read(version).collect())
+
+
+def test_snapshots_upsert_and_compact(spark, tmp_path):
+    table = SnapshotTable(spark, str(tmp_path / "t"), keys=["k"])
+    assert table.read() is None and table.compact() == set() and table.remove(_log(spark, []), "k") == set()
+    table.upsert(_log(spark, [("a", 1, 1), ("b", 1, 2), ("b", 1, 3), (None, 2, 4)]), "ts", ["v"])
+    table.upsert(_log(spark, [("a", 3, 9), ("c", 3, 5), (None, 3, 6)]), "ts", ["v"])
+    want = [("a", 9), ("b", 3), ("c", 5)]
+    assert sorted((r["k"] or "", r["v"]) for r in table.read().collect()) == [("", 6), *want]
+    assert sorted((r["k"] or "", r["v"]) for r in table.read(1).collect()) == [("", 4), ("a", 1), ("b", 3)]
+    table.append(_log(spark, []), "ts")
+    table.compact()
+    assert not any(e.upsert for e in table.snapshot().entries) and table.read().count() == 4
+    table.upsert(_log(spark, [("b", 1, 1)]), "ts", ["v"])
+    assert ("b", 1) in {(r["k"], r["v"]) for r in table.read().collect()}
+    assert table.vacuum(keep=1) > 0 and table.read().count() == 4 and len(table.versions()) == 1
+    with pytest.raises(ValueError, match="nothing to replace"):
+        SnapshotTable(spark, str(tmp_path / "u")).upsert(_log(spark, []), "ts", ["v"])
+    with pytest.raises(ValueError, match="column 'v'"):
+        table.append(_log(spark, [("z", 1, 1)]).withColumn("v", F.lit("text")), "ts")
+
+
+def test_untouched_days_keep_their_files(spark, tmp_path):
+    table = SnapshotTable(spark, str(tmp_path / "t"))
+    table.append(_log(spark, [("a", 1, 1), ("b", 2, 2), ("c", 3, 3), ("d", 3, 4)]), "ts")
+    table.append(_log(spark, [("a", 4, 5)]).withColumn("more", F.lit("x")), "ts")
+    before = {e.period: e for e in table.snapshot().entries}
+    assert table.remove(spark.createDataFrame([("a",), ("d",)], "k string"), "k") == {"2024-05-01", "2024-05-03", "2024-05-04"}
+    after = {e.period: e for e in table.snapshot().entries}
+    assert set(after) == {"2024-05-02", "2024-05-03"} and after["2024-05-02"] == before["2024-05-02"]
+    assert _kept(table) == [("b", 2), ("c", 3)] and _kept(table, 2) == [("a", 1), ("a", 5), ("b", 2), ("c", 3), ("d", 4)]
+    assert table.read().columns == ["k", "ts", "v", "more", "period"]
+    assert table.compact() == set()  # one file a day already
+
+
+@pytest.mark.parametrize("local", [True, False])
+def test_two_writers_lose_no_commit(spark, tmp_path, local):
+    path = str(tmp_path / "t")
+
+    def writer():
+        table = SnapshotTable(spark, path, keys=["k"])
+        table.files.local = local
+        return table
+
+    one, two = writer(), writer()
+    one.append(_log(spark, [("a", 1, 1), ("b", 1, 2)]), "ts")
+    # Both take the same number; the second goes on from the first's version.
+    seen = two.snapshot()
+    create = two.files.create_once
+    first = [True]
+
+    def late(file, text):
+        if first.pop() if first else False:
+            one.upsert(_log(spark, [("a", 1, 7)]), "ts", ["v"])
+        return create(file, text)
+
+    two.files.create_once = late
+    two.append(_log(spark, [("c", 2, 3)]), "ts")
+    assert two.versions() == [1, 2, 3] and _kept(one) == [("a", 7), ("b", 2), ("c", 3)]
+    # A compaction that began before an upsert does not bring old rows back.
+    first.append(True)
+    one.upsert(_log(spark, [("b", 1, 8)]), "ts", ["v"])
+    two.compact()
+    assert _kept(one) == [("a", 7), ("b", 8), ("c", 3)]
+    # Two that replace the same folders cannot both do so.
+    first.append(True)
+    one.upsert = lambda *a: one.remove(spark.createDataFrame([("c",)], "k string"), "k")
+    with pytest.raises(Conflict):
+        two.remove(spark.createDataFrame([("c",), ("b",)], "k string"), "k")
+    assert _kept(one) == [("a", 7), ("b", 8)] and seen.version == 1
+    threads = [threading.Thread(target=lambda i=i: writer().append(_log(spark, [(f"t{i}", 9, i)]), "ts")) for i in range(4)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert len(_kept(one)) == 6
 
 
 def test_profile(spark):
