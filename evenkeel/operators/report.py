@@ -33,7 +33,7 @@ def status_counts() -> list[Column]:
     ]
 
 
-def _scored(counts: DataFrame) -> DataFrame:
+def scored(counts: DataFrame) -> DataFrame:
     score = scores.match_score(F.col("matching_rows"), F.col("total_rows_source"), F.col("total_rows_target"))
     clean = (
         (F.col("matching_rows") == F.col("total_rows_source"))
@@ -52,22 +52,27 @@ def summary(source: DataFrame, target: DataFrame, spec: CompareSpec) -> DataFram
 
     All of it comes from one pass over the paired rows.
     """
+    return scored(counts(source, target, spec))
+
+
+def counts(source: DataFrame, target: DataFrame, spec: CompareSpec) -> DataFrame:
+    """One row: counts per status, compared and differing columns."""
     paired = diff.pair(source, target, spec)
     differs = [
         (paired.both() & ~paired.equal(c)).alias(f"_differs_{c}") for c in paired.columns
     ]
     rows = paired.rows.select("n_source", "n_target", paired.status().alias("row_status"), *differs)
     marks = [F.coalesce(F.bool_or(f"_differs_{c}"), F.lit(False)).alias(f"_differs_{c}") for c in paired.columns]
-    counts = rows.agg(*status_counts(), *marks)
+    found = rows.agg(*status_counts(), *marks)
     if not spec.exact and paired.columns:
-        return _scored(counts.drop("_differs_digest"))
+        return found.drop("_differs_digest")
     n_differing = F.lit(0)
     for c in paired.columns:
         n_differing = n_differing + F.col(f"_differs_{c}").cast("int")
-    counts = counts.withColumn("columns_compared", F.lit(len(paired.columns))).withColumn(
+    found = found.withColumn("columns_compared", F.lit(len(paired.columns))).withColumn(
         "columns_with_differences", n_differing
     )
-    return _scored(counts.drop(*[f"_differs_{c}" for c in paired.columns]))
+    return found.drop(*[f"_differs_{c}" for c in paired.columns])
 
 
 def summary_by(source: DataFrame, target: DataFrame, spec: CompareSpec, segment: str) -> DataFrame:
@@ -85,7 +90,7 @@ def summary_by(source: DataFrame, target: DataFrame, spec: CompareSpec, segment:
         "n_target",
         paired.status().alias("row_status"),
     )
-    return _scored(rows.groupBy("segment").agg(*status_counts()))
+    return scored(rows.groupBy("segment").agg(*status_counts()))
 
 
 def mismatches_by_column(source: DataFrame, target: DataFrame, spec: CompareSpec) -> DataFrame:

@@ -23,6 +23,13 @@ RELATIONS = {
                case when o_orderkey % 41 = 0 then 'X' else o_orderstatus end as o_orderstatus,
                case when o_orderkey % 31 = 0 then o_totalprice + 0.5 else o_totalprice end as o_totalprice
         from orders where o_orderkey % 97 <> 0""",
+    # All orders, and a copy that differs in a few stretches of keys.
+    "ball": "select o_orderkey, o_custkey, o_orderstatus, o_totalprice from orders",
+    "bpart": """
+        select o_orderkey, case when o_orderkey % 4096 = 9 then o_custkey + 1 else o_custkey end as o_custkey, o_orderstatus,
+               case when o_orderkey % 4096 < 24 and o_orderkey % 3 = 0 then o_totalprice + 0.5 else o_totalprice end
+                 as o_totalprice
+        from orders where o_orderkey % 4096 <> 77""",
     # NULL keys, NULL values, padding and case noise.
     "nsrc": """
         select case when c_custkey % 101 = 0 then null else c_custkey end as k, c_name as name,

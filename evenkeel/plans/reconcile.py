@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.operators import diff, keys, normalize, report
+from evenkeel.operators import diff, digests, keys, normalize, report
 from evenkeel.plans import oracles
 from evenkeel.plans.fixtures import load, relation, relations, with_
 from evenkeel.session import workspace
@@ -375,6 +375,12 @@ def mismatch_sample(spark, sf_dir):
     return report.mismatch_sample(value_diff_long(spark, sf_dir), ["o_orderkey"], limit=100)
 
 
+@query("digest_summary", oracles.summary(["ball", "bpart"], "ball", "bpart", ["o_orderkey"], EQUAL))
+def digest_summary(spark, sf_dir):
+    """The summary of two mostly equal sides, of which only differing key ranges are compared by value."""
+    return digests.summary(*relations(spark, sf_dir, "ball", "bpart"), ORDER, fan=64, few=1_000)
+
+
 @query(
     "mismatch_report_rows",
     f"""{with_("src", "tgt")}, d as ({VALUE_DIFF})

@@ -1,5 +1,6 @@
 """Compare semantics: NULLs, repeated keys, options and invariants."""
 
+import random
 from collections import Counter
 from functools import partial
 
@@ -8,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from evenkeel.operators import diff, keys, normalize, report, rowindex
+from evenkeel.operators import diff, digests, keys, normalize, report, rowindex
 from evenkeel.spec import CompareSpec, fold_case, within
 
 SCHEMA = "k long, a string, b double"
@@ -306,3 +307,46 @@ def test_schema_diff(spark):
     b = spark.createDataFrame([], "id string, name string, new int")
     got = {r["column_name"]: r["status"] for r in normalize.schema_diff(a, b).collect()}
     assert got == {"id": "type_changed", "name": "common", "old": "source_only", "new": "target_only"}
+
+
+def test_digests_find_the_ranges_that_differ(spark, tmp_path):
+    a = spark.range(100_000).selectExpr("id - 50000 as k", "id % 97 as v", "cast(id as string) as w")
+    b = a.where("k != 7").withColumn("v", F.expr("if(k between 20000 and 20040, v + 1, v)")).union(spark.sql("select 60000L, 1L, 'x'"))
+    spec = CompareSpec(keys=("k",))
+    found = digests.differing(a, b, spec, fan=16, few=200)
+    assert found.levels >= 3 and found.equal_rows > 190_000
+    inside = [n for low, high in found.ranges() for n in (low, high)]
+    assert all(any(low <= k <= high for low, high in found.ranges()) for k in (7, 20_000, 20_040, 60_000)) and len(inside) <= 20
+    for df, name in ((a, "a"), (b, "b")):
+        df.repartitionByRange(8, "k").sortWithinPartitions("k").write.parquet(str(tmp_path / name))
+    files = [spark.read.parquet(str(tmp_path / n)) for n in "ab"]
+    near = digests.within(files[0], "k", found)
+    assert near.count() < 1_000
+    assert "PushedFilters: [Or" in near._jdf.queryExecution().executedPlan().toString()
+    assert digests.summary(*files, spec, fan=16, few=200).collect() == report.summary(*files, spec).collect()
+
+
+@pytest.mark.parametrize("null_safe", [False, True])
+def test_digest_summary_equals_the_exact_one(spark, null_safe):
+    r = random.Random(6)
+    rows = [(r.choice([None, r.randint(-40, 2000)]), r.choice([None, "x", "y"]), r.choice([None, 1.5, float("nan"), -0.0])) for _ in range(900)]
+    other = [(k, j, 0.0 if v == 0 else v) for k, j, v in rows if k is None or k % 50] + [(5, "x", 1.5), (5, "x", 1.5)]
+    schema = "k int, j string, v double"
+    a, b = spark.createDataFrame(rows, schema), spark.createDataFrame(other, "k long, j string, v double")
+    for keys in (("k",), ("k", "j")):
+        spec = CompareSpec(keys=keys, null_safe_keys=null_safe)
+        for how in ({"fan": 4, "few": 10}, {"fan": 1000}, {"fan": 8, "most": 2}):
+            assert digests.summary(a, b, spec, **how).collect() == report.summary(a, b, spec).collect()
+        assert digests.summary(a, a, spec).collect() == report.summary(a, a, spec).collect()
+    nothing = a.limit(0)
+    assert digests.summary(nothing, nothing, CompareSpec(keys=("k",))).collect() == report.summary(nothing, nothing, CompareSpec(keys=("k",))).collect()
+
+
+def test_digests_over_dates_and_times(spark):
+    a = spark.range(3000).selectExpr("date_add(date'1969-01-01', cast(id as int)) as d", "timestamp_micros(id * 86400000000 - 1) as t", "id as v")
+    b = a.withColumn("v", F.expr("if(v = 2000, 0, v)"))
+    for key in ("d", "t"):
+        spec = CompareSpec(keys=(key,))
+        assert digests.summary(a, b, spec, unique_keys=True, fan=8, few=10).collect() == report.summary(a, b, spec).collect()
+    with pytest.raises(ValueError, match="ranges need"):
+        digests.differing(a.selectExpr("cast(d as string) as d", "v"), b.selectExpr("cast(d as string) as d", "v"), CompareSpec(keys=("d",)))
