@@ -69,7 +69,7 @@ class Differing:
         return [(a, b) for a, b in found]
 
 
-def _number(df: DataFrame, name: str) -> str:
+def number_of(df: DataFrame, name: str) -> str:
     """A key column as a whole number, in SQL."""
     kind = df.schema[name].dataType
     if isinstance(kind, _WHOLE):
@@ -81,7 +81,7 @@ def _number(df: DataFrame, name: str) -> str:
     raise ValueError(f"{name!r} is {kind.simpleString()}: ranges need whole numbers, dates or zoned times")
 
 
-def _value(df: DataFrame, name: str, number: int) -> Column:
+def value_of(df: DataFrame, name: str, number: int) -> Column:
     """The key value of a number, as a constant that a scan can be given."""
     kind = df.schema[name].dataType
     if isinstance(kind, T.DateType):
@@ -90,7 +90,7 @@ def _value(df: DataFrame, name: str, number: int) -> Column:
 
 
 def _part(df: DataFrame, by: str, low: int, width: int) -> Column:
-    return F.expr(f"({_number(df, by)} - {low}L) div {width}L")
+    return F.expr(f"({number_of(df, by)} - {low}L) div {width}L")
 
 
 def within(df: DataFrame, by: str, found: Differing) -> DataFrame:
@@ -98,7 +98,7 @@ def within(df: DataFrame, by: str, found: Differing) -> DataFrame:
     ranges = found.ranges()
     if not ranges:
         return df.where(F.lit(False))
-    near = [(F.col(by) >= _value(df, by, low)) & (F.col(by) <= _value(df, by, high)) for low, high in ranges]
+    near = [(F.col(by) >= value_of(df, by, low)) & (F.col(by) <= value_of(df, by, high)) for low, high in ranges]
     kept = df.where(reduce(lambda a, b: a | b, near))
     if sum(high - low + 1 for low, high in ranges) == len(found.parts) * found.width:
         return kept
@@ -128,7 +128,7 @@ def differing(
     by = by or spec.keys[0]
     columns = compare_columns(source, target, spec)
     sides = [normalized(df, columns, spec).where(~any_null(list(spec.keys))) for df in (source, target)]
-    ends = [df.select(F.expr(_number(df, by)).alias("k")).agg(F.min("k"), F.max("k")).first() for df in sides]
+    ends = [df.select(F.expr(number_of(df, by)).alias("k")).agg(F.min("k"), F.max("k")).first() for df in sides]
     lows, highs = ([e[i] for e in ends if e[i] is not None] for i in (0, 1))
     if not lows or max(highs) - min(lows) >= 1 << 62:
         return None

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.operators import diff, digests, keys, normalize, report
+from evenkeel.operators import diff, digests, keys, normalize, renames, report, resumable
 from evenkeel.plans import oracles
 from evenkeel.plans.fixtures import load, relation, relations, with_
 from evenkeel.session import workspace
@@ -375,6 +375,45 @@ def mismatch_sample(spark, sf_dir):
     return report.mismatch_sample(value_diff_long(spark, sf_dir), ["o_orderkey"], limit=100)
 
 
+@query(
+    "renamed_columns",
+    """with t as (select c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment from customer where c_custkey % 10 <> 0),
+    pairs(source_column, target_column, common, either) as (
+      select 'c_custkey', 'id', (select count(*) from t), (select count(distinct c_custkey) from customer) union all
+      select 'c_name', 'label', (select count(distinct trim(c_name)) from t), (select count(distinct c_name) from customer) union all
+      select 'c_nationkey', 'country', (select count(distinct c_nationkey) from t), (select count(distinct c_nationkey) from customer) union all
+      select 'c_acctbal', 'balance', (select count(distinct c_acctbal) from t), (select count(distinct c_acctbal) from customer) union all
+      select 'c_mktsegment', 'segment', (select count(distinct c_mktsegment) from t), (select count(distinct c_mktsegment) from customer))
+    select source_column, target_column, round(common / either, 6) as score from pairs""",
+)
+def renamed_columns(spark, sf_dir):
+    """Columns of a target with other names, order and partly other types, found by the values they share."""
+    load(spark, sf_dir)
+    source = spark.table("customer").select("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment")
+    target = source.where("c_custkey % 10 <> 0").select(
+        F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"), F.col("c_custkey").cast("string").alias("id"),
+        F.concat(F.col("c_name"), F.lit(" ")).alias("label"), F.col("c_nationkey").cast("double").alias("country"),
+    )
+    found = renames.proposed_mapping(source, target, bits=16)
+    rows = [(source_column, target_column, round(score, 6)) for target_column, source_column, score in found]
+    return spark.createDataFrame(rows, "source_column string, target_column string, score double")
+
+
+@query(
+    "resumed_compare",
+    f"""{with_("src", "tgt")}, {oracles.statuses("src", "tgt", ["o_orderkey"], EQUAL)}
+    select o_orderkey, n_source, n_target, row_status from j""",
+)
+def resumed_compare(spark, sf_dir):
+    """A compare that stops after two of its units and is taken up by another run."""
+    path = workspace(spark) + "/compare"
+    for most in (2, None):
+        run = resumable.ResumableCompare(*_orders(spark, sf_dir), ORDER, path, units=4)
+        for _ in run.run(most):
+            pass
+    return run.rows().select("o_orderkey", "n_source", "n_target", "row_status")
+
+
 @query("digest_summary", oracles.summary(["ball", "bpart"], "ball", "bpart", ["o_orderkey"], EQUAL))
 def digest_summary(spark, sf_dir):
     """The summary of two mostly equal sides, of which only differing key ranges are compared by value."""

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
+from datetime import date, datetime, timedelta
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +29,17 @@ FETCH_SIZE = 10_000
 
 @dataclass(frozen=True)
 class Partitioning:
-    """Read a JDBC table in ``parts`` ranges of a numeric, date or time column."""
+    """Read a JDBC table in ``parts`` ranges of a numeric, date or time column.
+
+    ``even`` asks the database how rows are spread and cuts ranges of about equally many, with rows without a value as a
+    part of their own; else ranges are equally wide between the bounds, which the database is asked for if not given.
+    """
 
     column: str
     parts: int
     lower: str | int | None = None
     upper: str | int | None = None
+    even: bool = False
 
 
 def resolve(name: str, sources: Mapping[str, Mapping[str, object]]) -> dict[str, str]:
@@ -86,6 +93,10 @@ def read_jdbc(
 
     if partition is None:
         rows = reader(what).load()
+    elif partition.even:
+        conditions = even_ranges(reader, what, partition)
+        properties = {**{k: v for k, v in plain.items() if k != "url"}, "fetchsize": str(fetch_size)}
+        rows = spark.read.jdbc(plain["url"], what, predicates=conditions, properties=properties)
     else:
         lower, upper = partition.lower, partition.upper
         if lower is None or upper is None:
@@ -110,6 +121,70 @@ def read_jdbc(
     return rows if limit is None else rows.limit(limit)
 
 
+#: Borders that one query counts the rows below of, and how often a range that holds too many is cut again.
+_BORDERS = 64
+_ROUNDS = 6
+
+
+def _constant(value: object) -> str:
+    """A border as database text; dates and times in the form that every JDBC driver translates."""
+    if isinstance(value, datetime):
+        return f"{{ts '{value:%Y-%m-%d %H:%M:%S.%f}'}}"
+    return f"{{d '{value:%Y-%m-%d}'}}" if isinstance(value, date) else str(value)
+
+
+def even_ranges(reader: Callable, what: str, partition: Partitioning) -> list[str]:
+    """Conditions that cut a relation into about ``parts`` ranges of equally many rows, and one for NULLs.
+
+    The database counts the rows below a few borders at a time; a range that holds more than its share is given borders
+    of its own in the next query, so a skewed column takes a few queries more. A single value is never cut.
+    """
+    column = partition.column
+    ends = reader(what).load().agg(F.min(column), F.max(column), F.count(column)).first()
+    low, high, total = ends
+    if low is None or partition.parts < 2 or low == high:
+        return ["1 = 1"]
+    step = timedelta(days=1) if type(low) is date else timedelta(microseconds=1) if isinstance(low, datetime) else type(low)(1)
+    whole = not isinstance(low, float | Decimal)
+    share = total / partition.parts
+    below: dict[object, int] = {low: 0}  # rows below each border
+    ranges = [(low, high)]
+    for _ in range(_ROUNDS):
+        wanted: list = []
+        for begin, end in ranges:
+            n = max(2, _BORDERS // len(ranges))
+            cuts = {begin + (end - begin) * i // n if whole else begin + (end - begin) * i / n for i in range(1, n)}
+            if whole:
+                cuts.add(min(begin + step, end))
+            wanted.extend(sorted(c for c in cuts if begin < c <= high and c not in below))
+        wanted = wanted[: 4 * _BORDERS]
+        if not wanted:
+            break
+        sums = ", ".join(f"SUM(CASE WHEN {column} < {_constant(c)} THEN 1 ELSE 0 END) AS B{i}" for i, c in enumerate(wanted))
+        counts = reader(f"(SELECT {sums} FROM {what if what.startswith('(') else what + ' q'}) h").load().first()
+        below.update({c: int(n) for c, n in zip(wanted, counts, strict=True)})
+        borders = sorted(below)
+        held = [(a, b, below[b] - below[a]) for a, b in zip(borders, borders[1:], strict=False)]
+        held.append((borders[-1], high, total - below[borders[-1]]))
+        ranges = [(a, b) for a, b, n in held if n > share / 4 and a < b and not (whole and b - a <= step)]
+        if not ranges:
+            break
+    cuts, last = [], 0
+    for border in sorted(below):
+        following = next((b for b in sorted(below) if b > border), None)
+        ahead = total if following is None else below[following]
+        # The last border before a part would grow beyond its share ends it.
+        if below[border] > last and ahead - last > share:
+            cuts.append(border)
+            last = below[border]
+    ends = [None, *cuts, None]
+    conditions = []
+    for begin, end in zip(ends, ends[1:], strict=False):
+        sides = ([] if begin is None else [f"{column} >= {_constant(begin)}"]) + ([] if end is None else [f"{column} < {_constant(end)}"])
+        conditions.append(" AND ".join(sides) or f"{column} IS NOT NULL")
+    return [*conditions, f"{column} IS NULL"]
+
+
 def read_sql(spark: SparkSession, query: str, views: Mapping[str, DataFrame]) -> DataFrame:
     """A SQL text over relations that it names plainly or in braces, as a side.
 

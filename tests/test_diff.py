@@ -9,7 +9,7 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from evenkeel.operators import diff, digests, keys, normalize, report, rowindex
+from evenkeel.operators import diff, digests, keys, normalize, renames, report, resumable, rowindex
 from evenkeel.spec import CompareSpec, fold_case, within
 
 SCHEMA = "k long, a string, b double"
@@ -350,3 +350,51 @@ def test_digests_over_dates_and_times(spark):
         assert digests.summary(a, b, spec, unique_keys=True, fan=8, few=10).collect() == report.summary(a, b, spec).collect()
     with pytest.raises(ValueError, match="ranges need"):
         digests.differing(a.selectExpr("cast(d as string) as d", "v"), b.selectExpr("cast(d as string) as d", "v"), CompareSpec(keys=("d",)))
+
+
+def test_renamed_columns_are_found_by_their_values(spark):
+    a = spark.range(3000).selectExpr("id as order_id", "id % 7 as kind", "concat('name ', id % 900) as name", "id * 0.5 as price", "id % 2 = 0 as flag")
+    b = a.where("order_id % 3 > 0").selectExpr("price as cost", "cast(order_id as string) as ref", "concat(name, ' ') as label", "cast(kind as int) as kind", "flag as is_even")
+    sets = [{c: {str(v).strip().removesuffix(".0") for r in df.collect() if (v := r[c]) is not None} for c in df.columns} for df in (a, b)]
+    exact = {(x, y): len(m & n) / len(m | n) for x, m in sets[0].items() for y, n in sets[1].items() if m & n}
+    got = {(r["source_column"], r["target_column"]): r["overlap"] for r in renames.column_likeness(a, b).collect()}
+    lower = {k: v for k, v in got.items() if "flag" not in k[0]}
+    assert lower == pytest.approx({k: v for k, v in exact.items() if "flag" not in k[0]})
+    proposed = renames.proposed_mapping(a, b)
+    assert renames.as_mapping(proposed) == {"cost": "price", "ref": "order_id", "label": "name", "is_even": "flag"}
+    aligned = normalize.renamed(b, renames.as_mapping(proposed)).withColumn("order_id", F.col("order_id").cast("long"))
+    assert report.summary(a, aligned, CompareSpec(keys=("order_id",), trim=True)).first()["missing_in_target"] == 1000
+    # Many values: an estimate.
+    c = spark.range(60_000).selectExpr("id as x")
+    d = spark.range(30_000, 90_000).selectExpr("id as y")
+    assert renames.column_likeness(c, d).first()["overlap"] == pytest.approx(1 / 3, abs=0.03)
+    assert renames.proposed_mapping(a.limit(0), b) == []
+
+
+def test_a_stopped_compare_goes_on(spark, tmp_path):
+    rows = [(None if i % 40 == 0 else i, "x" if i % 11 else "y", None if i % 13 else 1.0) for i in range(400)]
+    other = [(k, a, 2.0 if k and k % 9 == 0 else b) for k, a, b in rows if k is None or k % 17] + [(999, "z", 0.5), (5, "x", 0.5)]
+    a, b = (spark.createDataFrame(r, SCHEMA) for r in (rows, other))
+    want = diff.row_statuses(a, b, K)
+
+    def fresh():
+        return resumable.ResumableCompare(a, b, K, str(tmp_path / "run"), units=5)
+
+    first = fresh()
+    assert first.progress().first()["finished"] == 0 and first.rows() is None
+    done = list(first.run(2))
+    assert [d["unit"] for d in done] == [0, 1]
+    so_far = first.progress().first()
+    assert so_far["finished"] == 2 and so_far["units"] == 6
+    assert so_far["mismatches"] == first.rows().where("row_status != 'match'").count() > 0
+    stamps = {p: p.stat().st_mtime_ns for p in (tmp_path / "run" / "rows").rglob("*.parquet")}
+    # A unit that was stopped while it wrote leaves rows without counters.
+    (tmp_path / "run" / "rows" / "unit=2").mkdir()
+    (tmp_path / "run" / "rows" / "unit=2" / "part-00000-half.parquet").write_bytes(b"half")
+    again = fresh()
+    assert [d["unit"] for d in again.run()] == [2, 3, 4, 5] and list(fresh().run()) == []
+    assert all(p.stat().st_mtime_ns == t for p, t in stamps.items())
+    keys = ["k", "n_source", "n_target", "row_status"]
+    assert Counter(map(tuple, again.rows().select(keys).collect())) == Counter(map(tuple, want.select(keys).collect()))
+    total = again.progress().first()
+    assert (total["rows_source"], total["rows_target"]) == (len(rows), len(other))

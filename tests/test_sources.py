@@ -232,6 +232,25 @@ def test_jdbc_partitions_find_their_bounds(spark, derby):
     assert split.rdd.getNumPartitions() == 4 and split.count() == 100
 
 
+def test_jdbc_ranges_of_equally_many_rows(spark, derby):
+    skewed = spark.range(4000).selectExpr(
+        "case when id % 50 = 0 then null when id < 3000 then cast(pow(1.006, id) as bigint) else 10000000000 + id end as N",
+        "timestamp_seconds(1700000000 + cast(pow(1.005, id % 2000) as bigint)) as T", "cast(date_add(date'2024-01-01', cast(sqrt(id) as int)) as date) as D",
+        "cast(pow(1.004, id) as double) as X", "id as ID",
+    )
+    skewed.write.format("jdbc").mode("overwrite").option("url", derby["url"]).option("dbtable", "SKEWED").save()
+    for column, values in (("N", 3920), ("X", 4000), ("T", 4000), ("D", 4000), ("ID", 4000)):
+        how = named.Partitioning(column, 8, even=True)
+        rows = named.read_jdbc(spark, derby, query="SELECT * FROM SKEWED;", partition=how)
+        sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert rows.count() == sum(sizes) == 4000 and rows.select("id").distinct().count() == 4000
+        assert max(sizes) < 2 * values / 8 and 8 <= len(sizes) <= 18, (column, sizes)
+    one = named.read_jdbc(spark, derby, table="SKEWED", where="id < 10", partition=named.Partitioning("ID", 3, even=True))
+    assert sorted(r["id"] for r in one.collect()) == list(range(10))
+    empty = named.read_jdbc(spark, derby, query="SELECT * FROM SKEWED WHERE ID < 0", partition=named.Partitioning("ID", 3, even=True))
+    assert empty.count() == 0
+
+
 def test_two_sources_compare(spark, derby):
     other = spark.range(1, 101).selectExpr("id", "id % 4 as grp", "if(id = 7, 'seven', cast(id as string)) as name")
     got = report.summary(named.read_jdbc(spark, derby, table="T"), other, CompareSpec(keys=("id",))).first()
