@@ -1,8 +1,8 @@
 """Connected components of a table of links, as a fixed point of large-star and small-star steps.
 
 Each round replaces links by links to the smallest neighbour (Kiveris et al., "Connected Components in MapReduce and
-Beyond"); the smallest neighbour of a node is an aggregate with partial sums, and the join that follows may be split by
-AQE where a node has very many links. Each round is written to the cluster's shared folder; only two numbers per round
+Beyond"); the smallest neighbour of a node is an aggregate with partial sums. It groups by a struct, so the join that
+follows shuffles its result once more, and AQE can split a node that has very many links. Each round is written to the cluster's shared folder; only two numbers per round
 reach the driver (rows and a checksum), which tell when nothing has changed.
 """
 
@@ -22,17 +22,22 @@ def _state(links: DataFrame) -> tuple[int, int]:
     return int(row["n"]), int(row["x"] or 0)
 
 
+def _least(links: DataFrame) -> DataFrame:
+    """(a, m): the smallest neighbour of each node."""
+    return links.groupBy(F.struct("a").alias("node")).agg(F.min("b").alias("m")).select("node.a", "m")
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     """Each larger neighbour of a node goes to the node's smallest neighbour."""
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = _least(both)
+    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("m", "a").alias("b")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Each smaller neighbour of a node, and the node, go to its smallest neighbour."""
     down = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
+    least = _least(down)
     moved = down.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 

@@ -242,7 +242,8 @@ def near_duplicates(prints: DataFrame, bits: int = BITS, most_in_run: int = MOST
     grouped = smallest.join(labelled.withColumnRenamed("node", "simhash"), "simhash", "left").select(
         "simhash", "doc_id", F.coalesce("root", "simhash").alias("root")
     )
-    least = grouped.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # Grouped by a struct, so that the join shuffles it once more and AQE can split a root with very many fingerprints.
+    least = grouped.groupBy(F.struct("root").alias("r")).agg(F.min("doc_id").alias("component_id")).select("r.root", "component_id")
     whole = grouped.select("simhash", "root").join(least, "root")
     return prints.select("doc_id", "simhash").join(whole, "simhash").select("doc_id", "simhash", "component_id", "root")
 
