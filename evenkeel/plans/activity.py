@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evenkeel.functions import clock, text
-from evenkeel.operators import activity, replay
+from evenkeel.operators import activity, replay, searchindex
 from evenkeel.plans.fixtures import latest, relation, relations, with_
 from evenkeel.session import workspace
 from evenkeel.sources.snapshots import PERIOD, SnapshotTable
@@ -333,6 +333,14 @@ def search_submissions(spark, sf_dir):
     return activity.search(notes, "query slow", order, issue_type="bug").select("id", "issue_type", "title")
 
 
+@query("indexed_search", ORACLES["search_submissions"])
+def indexed_search(spark, sf_dir):
+    """The same search through an index by terms and recency."""
+    notes = relation(spark, sf_dir, "notes").select("id", "issue_type", "title", "description", "created_at")
+    path = searchindex.build(notes, workspace(spark) + "/index", ["title", "description"], "created_at", block=64, folders=16)
+    return searchindex.Index(spark, path).search("query slow", issue_type="bug").select("id", "issue_type", "title")
+
+
 @query(
     "client_fingerprint",
     """select event_id,

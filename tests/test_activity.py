@@ -13,7 +13,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evenkeel.functions import clock
-from evenkeel.operators import activity, admission, links, replay, running
+from evenkeel.operators import activity, admission, links, replay, running, searchindex
 
 quick = partial(settings, deadline=None, max_examples=6, suppress_health_check=list(HealthCheck))
 START = datetime(2024, 1, 1)
@@ -298,3 +298,25 @@ def test_rejected_rows_use_no_quota(spark):
     quota = admission.Quota(session=(2, 10), client=(20, 50), duplicate_minutes=30)
     got = admission.decided(spark.createDataFrame(rows, schema), quota, "created_at")
     assert Counter(r["stage"] for r in got.collect()) == {"accepted": 8, "rate": 4}
+
+
+def test_indexed_search_equals_reading_all(spark, tmp_path):
+    r = random.Random(8)
+    words = ["query", "slow", "queries", "index", "plan", "slowly", "Table", "x"]
+    rows = [
+        (i, " ".join(r.choices(words, k=2)), None if i % 17 == 0 else "\n".join(r.choices(words, k=r.randint(0, 4))),
+         r.choice(["bug", "feature"]), START + timedelta(minutes=r.randint(0, 400)))
+        for i in range(500)
+    ]
+    df = spark.createDataFrame(rows, "id long, title string, description string, issue_type string, created_at timestamp_ntz")
+    path = searchindex.build(df, str(tmp_path / "index"), ["title", "description"], "created_at", block=16, folders=8)
+    index = searchindex.Index(spark, path)
+    order = [F.desc("created_at"), F.desc("id")]
+    for query, equal in (("query slow", {"issue_type": "bug"}), ("QUER", {}), ("able index", {}), ("x x", {"issue_type": None}), ("nowhere", {}), ("", {}), ("slow nowhere", {})):
+        want = [row["id"] for row in activity.search(df, query, order, **equal).select("id").collect()]
+        assert [row["id"] for row in index.search(query, **equal).collect()] == want, query
+    # Only folders of the word's terms are read.
+    folders = {f.split("folder=")[1].split("/")[0] for f in index.postings("able").inputFiles()}
+    assert folders == {str(folder) for folder, _ in index.terms("able")} and len(folders) == 1
+    empty = searchindex.build(df.limit(0), str(tmp_path / "none"), ["title", "description"], "created_at")
+    assert searchindex.Index(spark, empty).search("query").count() == 0
