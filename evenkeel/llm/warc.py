@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from evenkeel.session import pinned
 
+#: A base with no more revisits than this is never copied.
+HOT_ROWS = 1_000
 #: Headers that a 304 response may update (fixed values, lower case).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 #: Query parameters that do not name a page (fixed values).
@@ -133,16 +135,32 @@ def resolved(records: DataFrame) -> DataFrame:
 
     ``records``: record_id, url, ts, kind ('response' or 'revisit'), status, headers (map, lower-case names), body.
     """
-    found = bases(records)
-    known = found.select("digest", "page", "base_id", "base_digest", "outcome").distinct()
+    spark = records.sparkSession
+    known = pinned(bases(records).select("digest", "page", "base_id", "base_digest", "outcome").distinct())
     own = records.where("kind = 'revisit'").select("record_id", "url", "ts", F.col("headers").alias("own"), _digest().alias("digest"))
     ids = own.join(known, "digest")
     stored = records.where("kind = 'response'").select(
         _digest().alias("base_digest"), F.col("headers").alias("base_headers"), F.col("body").alias("base_body")
     )
+    # Responses of one digest are equal: one of them is joined. A base with more revisits than a partition has on average
+    # is copied, and its revisits are dealt to the copies. There are fewer such bases than partitions, and together they
+    # have at most twice as many copies.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    share = max(HOT_ROWS, -(-known.count() // parts))
+    counts = known.where("base_digest is not null").groupBy("base_digest").count().where(F.col("count") > share)
+    hot = {bytes(r["base_digest"]): -(-r["count"] // share) for r in counts.collect()}
+    if hot:
+        often = F.coalesce(F.col("base_digest").isin(list(hot)), F.lit(False))
+        copies = F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])[F.col("base_digest")]
+        bodies = stored.where(often).dropDuplicates(["base_digest"])
+        bodies = bodies.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), (copies - 1).cast("long"))))
+        dealt = ids.where(often).withColumn("copy", F.pmod(F.xxhash64("record_id", "url", "ts"), copies.cast("long")))
+        rest = ids.where(~often).join(stored.where(~often).dropDuplicates(["base_digest"]), "base_digest", "left")
+        met = dealt.join(bodies, ["base_digest", "copy"], "left").drop("copy").unionByName(rest)
+    else:
+        met = ids.join(stored.dropDuplicates(["base_digest"]), "base_digest", "left")
     got = F.col("outcome") == "resolved"
-    # responses of one digest are equal; a base that very many revisits share is split by AQE
-    return ids.join(stored.dropDuplicates(["base_digest"]), "base_digest", "left").select(
+    return met.select(
         "record_id",
         "url",
         "ts",

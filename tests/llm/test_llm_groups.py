@@ -574,6 +574,38 @@ def test_revisits_against_brute_force(spark):
     assert len(seen) == 4
 
 
+@pytest.mark.parametrize("hot_rows", [5, 1_000])
+def test_a_base_that_most_revisits_share(spark, monkeypatch, hot_rows):
+    from datetime import datetime, timedelta
+
+    monkeypatch.setattr(warc, "HOT_ROWS", hot_rows)
+    begin = datetime(2024, 1, 1)
+    rows = [(i, f"http://a.org/{i}", begin, "response", 200, {"etag": '"1"'}, f"body {i}") for i in range(100)]
+    rows += [
+        (1000 + n, f"http://a.org/{0 if n % 10 < 7 else n % 100}", begin + timedelta(hours=1 + n % 50), "revisit", 304,
+         {"etag": '"1"' if n % 90 else '"2"', "date": str(n)}, None)
+        for n in range(1600)
+    ]
+    rows += rows[-40:]  # some revisits twice
+    change = {"spark.sql.shuffle.partitions": "8", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    kept = {c: spark.conf.get(c) for c in change}
+    try:
+        for c, v in change.items():
+            spark.conf.set(c, v)
+        got = warc.resolved(spark.createDataFrame(rows, RECORD)).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for c, v in kept.items():
+            spark.conf.set(c, v)
+    assert Counter(x["record_id"] for x in got) == Counter(x[0] for x in rows if x[3] == "revisit")
+    for x in got:
+        n = x["record_id"] - 1000
+        assert x["outcome"] == ("resolved" if n % 90 else "validator_differs")
+        if n % 90:
+            assert x["body"] == f"body {0 if n % 10 < 7 else n % 100}" and x["headers"] == {"etag": '"1"', "date": str(n)}
+    most = max(Counter(x["task"] for x in got).values())
+    assert (most <= 2.5 * len(got) / 8) == (hot_rows == 5)
+
+
 def test_repeated_records_and_empty_tables(spark):
     df = spark.createDataFrame(_records()[:60], RECORD)
     twice = warc.resolved(df.unionByName(df))
