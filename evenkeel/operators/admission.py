@@ -14,12 +14,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.functions import clock
 from evenkeel.operators.links import components
-from evenkeel.operators.running import Fold, running
 from evenkeel.session import pinned
 
 ACCEPTED = "accepted"
@@ -53,12 +52,36 @@ def linked(pairs: DataFrame, left: str, right: str) -> DataFrame:
 def pieces(rows: DataFrame, keys: list[str], at: str, tie: str, gap: int) -> DataFrame:
     """Add ``piece``: counts up in each key wherever no row of it lies within ``gap`` before a row.
 
-    Both passes are running aggregates over ranges of (key, time), so a hot key is never in one task.
+    Rows are dealt to ranges of (key, time) once, so a hot key is never in one task. Within a range a row is seen beside
+    the one before it; from range to range one row for each key goes on, with its last time and the pieces begun so far.
     """
-    before = running(rows, keys, at, {"_before": Fold("max", at)}, after=[tie])
-    starts = F.when(F.col("_before").isNull() | (F.col(at) - F.col("_before") >= gap), 1).otherwise(0)
-    counted = running(before.withColumn("_starts", starts.cast("long")), keys, at, {"piece": Fold("sum", "_starts")})
-    return counted.drop("_before", "_starts")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartitionByRange(*keys, at, tie).withColumn("_part", F.spark_partition_id())
+    # A range keeps its partition, so the windows below need no further shuffle.
+    fixed = pinned(dealt).repartitionById(parts, F.col("_part"))
+    inside = Window.partitionBy("_part", *keys).orderBy(at, tie)
+    earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    near = fixed.withColumn("_near", F.lag(at).over(inside))
+
+    def begins(before: Column) -> Column:
+        return F.when(before.isNull() | (F.col(at) - before >= gap), 1).otherwise(0)
+
+    # A range's first row of a key begins a piece if the key's last row of an earlier range is that far back.
+    sums = near.groupBy("_part", *keys).agg(
+        F.min(at).alias("_first"),
+        F.max(at).alias("_last"),
+        F.sum(F.when(F.col("_near").isNotNull(), begins(F.col("_near"))).otherwise(0)).alias("_begun"),
+    )
+    known = sums.withColumn("_before", F.max("_last").over(earlier))
+    opens = F.when(F.col("_before").isNull() | (F.col("_first") - F.col("_before") >= gap), 1).otherwise(0)
+    known = known.withColumn("_opens", opens)
+    so_far = F.coalesce(F.sum(F.col("_begun") + F.col("_opens")).over(earlier), F.lit(0))
+    # Only the first key of a range can go on from another: one small row for each range. Any other begins its first piece.
+    entry = known.select("_part", *keys, (so_far + F.col("_opens")).alias("_entry"), "_before").where("_before is not null").drop("_before")
+    up_to = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.sum(F.when(F.col("_near").isNotNull(), begins(F.col("_near"))).otherwise(0)).over(up_to)
+    met = near.withColumn("_own", own).join(F.broadcast(entry), ["_part", *keys], "left")
+    return met.withColumn("piece", F.coalesce("_entry", F.lit(1)) + F.col("_own")).select(*rows.columns, "piece")
 
 
 @dataclass

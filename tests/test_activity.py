@@ -277,6 +277,20 @@ def test_a_hot_node_is_split(spark):
     assert "skew=true" in plan
 
 
+def test_pieces_of_hot_and_other_keys(spark, twelve_parts):
+    r = random.Random(4)
+    rows = [("h" if r.random() < 0.7 else f"k{r.randint(0, 5)}", r.choice([r.randint(0, 60), r.randint(0, 9000)]), i) for i in range(700)]
+    df = spark.createDataFrame(rows, "g string, at long, tie long")
+    got = {x["tie"]: x["piece"] for x in admission.pieces(df, ["g"], "at", "tie", 25).collect()}
+    last, want = {}, {}
+    for g, at, tie in sorted(rows, key=lambda x: (x[0], x[1], x[2])):
+        before, piece = last.get(g, (None, 0))
+        piece += before is None or at - before >= 25
+        last[g] = at, piece
+        want[tie] = piece
+    assert got == want
+
+
 def test_a_group_is_cut_where_it_rests(spark, twelve_parts):
     rng = np.random.default_rng(9)
     rows = [
