@@ -179,8 +179,10 @@ def summary(
         repeats = each.agg(
             F.coalesce(F.sum("n"), F.lit(0)).alias("_rows"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("_repeated")
         )
-    more = {c: "_rows" for c in ("total_rows_source", "total_rows_target")}
-    more |= {c: "_repeated" for c in ("duplicate_rows_source", "duplicate_rows_target")}
-    together = counts.join(repeats, F.lit(True))  # one row each
-    together = together.withColumns({c: F.col(c) + F.col(add) for c, add in more.items()})
-    return report.scored(together.withColumn("matching_rows", F.col("matching_rows") + F.col("_rows") - F.col("_repeated")).drop("_rows", "_repeated"))
+    none = F.lit(0).cast("long")
+    same = {"total_rows_source": "_rows", "total_rows_target": "_rows", "duplicate_rows_source": "_repeated", "duplicate_rows_target": "_repeated"}
+    alike = repeats.select(
+        *[F.col(same[c]).alias(c) if c in same else (F.col("_rows") - F.col("_repeated") if c == "matching_rows" else none).alias(c) for c in counts.columns]
+    )
+    both = counts.unionByName(alike)  # two rows
+    return report.scored(both.agg(*[(F.max if c.startswith("columns_") else F.sum)(c).alias(c) for c in counts.columns]))
