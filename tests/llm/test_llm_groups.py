@@ -116,28 +116,6 @@ def test_components_against_union_find(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_a_hot_node_is_split(spark):
-    """One node with most links: the join of a round is dealt to several tasks."""
-    change = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
-    }
-    kept = {c: spark.conf.get(c, None) for c in change}
-    star = spark.range(1, 300_000).selectExpr("if(id % 10 < 7, 0, id) as a", "id * 7 as b").repartition(8)
-    try:
-        for c, v in change.items():
-            spark.conf.set(c, v)
-        found = components._large_star(star)
-        found.write.format("noop").mode("overwrite").save()
-        found.collect()
-        plan = found._jdf.queryExecution().executedPlan().toString()
-    finally:
-        for c, v in kept.items():
-            spark.conf.unset(c) if v is None else spark.conf.set(c, v)
-    assert "skew=true" in plan
-
-
 def test_near_duplicates_of_edges(spark):
     df = _edges(spark)
     got = simhash.near_duplicates(pinned(simhash.fingerprinted(df))).collect()
