@@ -138,7 +138,10 @@ def resolved(records: DataFrame) -> DataFrame:
     spark = records.sparkSession
     known = pinned(bases(records).select("digest", "page", "base_id", "base_digest", "outcome").distinct())
     own = records.where("kind = 'revisit'").select("record_id", "url", "ts", F.col("headers").alias("own"), _digest().alias("digest"))
-    ids = own.join(known, "digest")
+    every = own.join(known, "digest")
+    # Revisits without a base would all meet in the partition of NULL.
+    lone = every.where("base_digest is null")
+    ids = every.where("base_digest is not null")
     stored = records.where("kind = 'response'").select(
         _digest().alias("base_digest"), F.col("headers").alias("base_headers"), F.col("body").alias("base_body")
     )
@@ -150,7 +153,7 @@ def resolved(records: DataFrame) -> DataFrame:
     counts = known.where("base_digest is not null").groupBy("base_digest").count().where(F.col("count") > share)
     hot = {bytes(r["base_digest"]): -(-r["count"] // share) for r in counts.collect()}
     if hot:
-        often = F.coalesce(F.col("base_digest").isin(list(hot)), F.lit(False))
+        often = F.col("base_digest").isin(list(hot))
         copies = F.create_map(*[F.lit(x) for pair in hot.items() for x in pair])[F.col("base_digest")]
         bodies = stored.where(often).dropDuplicates(["base_digest"])
         bodies = bodies.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), (copies - 1).cast("long"))))
@@ -160,7 +163,7 @@ def resolved(records: DataFrame) -> DataFrame:
     else:
         met = ids.join(stored.dropDuplicates(["base_digest"]), "base_digest", "left")
     got = F.col("outcome") == "resolved"
-    return met.select(
+    return met.unionByName(lone, allowMissingColumns=True).select(
         "record_id",
         "url",
         "ts",
