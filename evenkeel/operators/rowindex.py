@@ -61,9 +61,9 @@ def with_ordinal(df: DataFrame, keys: Sequence[str], name: str = "ordinal") -> D
     fixed, _ = _sorted(df, list(keys))
     rows = fixed.withColumn("_key", F.struct(*keys))
     first = rows.groupBy("_part").agg(F.min_by("_key", "_at").alias("_key"))
-    counts = rows.groupBy("_part", "_key").agg(F.count("*").alias("_rows"))
-    # Only keys that begin a stretch can have rows before it: at most one row for each stretch and such key it meets.
-    carried = counts.join(F.broadcast(first.select("_key").distinct()), "_key")
+    # Only keys that begin a stretch can have rows before it, so other rows are left out before any are counted.
+    border = rows.select("_part", "_key").join(F.broadcast(first.select("_key").distinct()), "_key")
+    carried = border.groupBy("_part", "_key").agg(F.count("*").alias("_rows"))
     before = Window.partitionBy("_key").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     opening = carried.select("_part", "_key", F.sum("_rows").over(before).alias("_before")).where("_before > 0")
     within = F.row_number().over(Window.partitionBy("_part", "_key").orderBy("_at"))
