@@ -13,7 +13,7 @@ from evenkeel.functions import clock
 from evenkeel.operators import diff
 from evenkeel.plans import activity, oracles
 from evenkeel.plans.fixtures import relation, relations, with_
-from evenkeel.session import workspace
+from evenkeel.session import rocksdb_state, workspace
 from evenkeel.spec import CompareSpec
 from evenkeel.streaming import feeds, limits
 
@@ -218,7 +218,8 @@ def stream_admissions(spark, sf_dir):
     path = workspace(spark)
     stream, delay = _submissions(spark, sf_dir, path)
     rows = limits.stream_limits(stream, ["session_id"], "created_at", "id", activity.LIMITS, delay, clock.DAY)
-    return feeds.drain(rows, path).drop("at_us")
+    with rocksdb_state(spark):
+        return feeds.drain(rows, path).drop("at_us")
 
 
 @query(
@@ -230,9 +231,8 @@ def stream_distinct(spark, sf_dir):
     path = workspace(spark)
     stream, delay = _submissions(spark, sf_dir, path)
     rows = limits.stream_distinct(stream, keys, "created_at", "id", 12 * 60, delay, clock.DAY)
-    return feeds.drain(rows, path).select("id", "decision")
-
-
+    with rocksdb_state(spark):
+        return feeds.drain(rows, path).select("id", "decision")
 
 _FILES = 4
 

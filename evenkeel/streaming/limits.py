@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +16,7 @@ from pyspark.sql.streaming.stateful_processor import (
     TimerValues,
 )
 
+import evenkeel
 from evenkeel.functions import clock
 from evenkeel.operators.keys import any_null
 from evenkeel.operators.replay import ADMITTED, Admissions, Limits, reason
@@ -118,7 +120,8 @@ def stream_limits(
     one slot, and state those that wait. A key's state goes when no limit looks back
     to it any more. ``seed`` (from ``states_after``) lets a stream go on where a batch
     replay has ended. Rows without a key are admitted at once, rows without a time
-    are left out.
+    are left out. The stream is to be started within ``session.rocksdb_state`` (or
+    in a session that has RocksDB as its state store).
     """
     keys = list(keys)
     narrow = df.select(
@@ -134,13 +137,19 @@ def stream_limits(
          T.StructField("at_us", T.LongType()), T.StructField("number", T.LongType())]
     )
     grouped = narrow.where(~any_null(keys)).withWatermark("event_time", delay).groupBy(*keys)
-    decided = grouped.transformWithStateInPandas(
-        _Limiter(keys, kinds["row_tie"], limits, slot),
-        schema,
-        "append",
-        "EventTime",
-        initialState=None if seed is None else seed.select(*keys, "times", "until").groupBy(*keys),
-    )
+    # A Python process of the driver loads the processor too, and that one gets neither the paths of the driver's own
+    # Python nor the files of addPyFile: so the code goes with it instead of being imported there.
+    cloudpickle.register_pickle_by_value(evenkeel)
+    try:
+        decided = grouped.transformWithStateInPandas(
+            _Limiter(keys, kinds["row_tie"], limits, slot),
+            schema,
+            "append",
+            "EventTime",
+            initialState=None if seed is None else seed.select(*keys, "times", "until").groupBy(*keys),
+        )
+    finally:
+        cloudpickle.unregister_pickle_by_value(evenkeel)
     labelled = decided.select(*keys, F.col("row_tie").alias(tie), "at_us", reason(limits, F.col("number")).alias("decision"))
     return labelled.unionByName(free)
 

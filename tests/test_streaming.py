@@ -1,16 +1,22 @@
 """Streams fed file by file, late rows and progress."""
 
+import os
 import random
+import subprocess
+import sys
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from evenkeel.functions import clock
 from evenkeel.operators import diff, replay
+from evenkeel.plans import streams
 from evenkeel.session import workspace
 from evenkeel.spec import CompareSpec
 from evenkeel.streaming import feeds, limits
+from oracle import connect, differences
 
 START = datetime(2024, 1, 1)
 
@@ -177,3 +183,28 @@ def test_copies_are_suppressed_from_the_last_accepted(spark, tmp_path, minutes,
     stream = _stream(spark, str(tmp_path / "in"), [rows[2:], rows[:2]])
     got = feeds.drain(limits.stream_distinct(stream, ["session_id"], "created_at", "id", minutes), workspace(spark))
     assert sorted(r["id"] for r in got.where(F.col("decision") == "admitted").collect()) == kept
+
+
+ELSEWHERE = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+builder = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config("spark.driver.host", "127.0.0.1")
+builder = builder.config("spark.sql.session.timeZone", "UTC").config("spark.sql.shuffle.partitions", "2")
+spark = builder.config("spark.checkpoint.dir", {out!r}).getOrCreate()
+from evenkeel.plans import streams
+for name in ("stream_admissions", "stream_distinct"):
+    streams.QUERIES[name](spark, {sf!r}).write.parquet({out!r} + "/" + name)
+assert "RocksDB" not in (spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) or "")
+"""
+
+
+def test_limits_run_in_a_plain_session_of_another_folder(spark, sf_dir, tmp_path):
+    """With Spark's own settings, and where only the driver's Python knows the package."""
+    root, out = str(Path(streams.__file__).parents[2]), str(tmp_path)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    code = ELSEWHERE.format(root=root, out=out, sf=sf_dir)
+    ran = subprocess.run([sys.executable, "-c", code], cwd=out, env=env, capture_output=True, text=True, timeout=600)
+    assert ran.returncode == 0, ran.stderr[-3000:]
+    for name in ("stream_admissions", "stream_distinct"):
+        assert differences(spark.read.parquet(f"{out}/{name}"), connect(sf_dir), streams.ORACLES[name]) == []
