@@ -1,7 +1,9 @@
 """Keyword search that does not read every text: postings by term, cut in blocks by recency.
 
 Building ranks the rows from the newest on and writes three tables: ``rows`` (by blocks of ``BLOCK`` ranks, without the
-texts), ``postings`` (term, block, ranks; a folder for each range of term hashes) and ``terms`` (each distinct term once).
+texts), ``postings`` (term, block, rank; a folder for each range of term hashes) and ``terms`` (each distinct term once).
+Postings are shuffled once and not gathered in lists, which need a sort of their own on both sides of a shuffle; a folder's
+files hold a stretch of ranks each, so that more rows make more files and not longer tasks.
 A word of a query is looked for inside terms, as in the texts themselves: terms hold no blanks, and neither do words.
 Only the folders of the terms found are read, the newest blocks first, and as soon as enough rows have been found no
 older block is looked at.
@@ -21,11 +23,13 @@ from evenkeel.operators.rowindex import with_row_index
 #: Ranks in a block, and folders of postings.
 BLOCK = 1 << 14
 FOLDERS = 256
+#: A file of postings holds a stretch of about so many rows for each folder there is.
+FILE_ROWS = 1 << 11
 #: Blocks that are looked at first; each further step takes twice as many.
 FIRST_BLOCKS = 4
 #: Terms that are named in a filter; more are joined.
 NAMED_TERMS = 10_000
-_POSTINGS = "term string, block long, ranks array<long>, folder int"
+_POSTINGS = "term string, block long, rank long, folder int"
 
 
 def _folder(term: F.Column, folders: int) -> F.Column:
@@ -45,13 +49,15 @@ def build(df: DataFrame, path: str, texts: Sequence[str], newest: str, tie: str
     rows.repartitionByRange("block").sortWithinPartitions("block", "rank").write.parquet(f"{path}/rows")
     content = F.lower(F.concat_ws(" ", *texts))
     words = F.array_distinct(F.filter(F.split(content, r"[ \t\n\x0B\f\r]+"), lambda w: w != ""))
-    posted = ranked.select("block", "rank", F.explode(words).alias("term"))
-    ranks = posted.groupBy("term", "block").agg(F.sort_array(F.collect_list("rank")).alias("ranks"))
-    dealt = ranks.withColumn("folder", _folder(F.col("term"), folders))
-    dealt.repartition("folder").sortWithinPartitions("folder", "block", "term").write.partitionBy("folder").parquet(f"{path}/postings")
+    posted = ranked.select("rank", F.explode(words).alias("term"))
+    folder, stretch = _folder(F.col("term"), folders), F.floor(F.col("rank") / (FILE_ROWS * folders))
+    dealt = posted.repartition(folder, stretch)  # what follows from term and rank is not shuffled
+    full = dealt.select("term", F.floor(F.col("rank") / block).cast("long").alias("block"), "rank", folder.alias("folder"))
+    laid = full.sortWithinPartitions("folder", "block", "term")
+    laid.write.partitionBy("folder").parquet(f"{path}/postings")
     spark = df.sparkSession
     found = spark.read.schema(_POSTINGS).parquet(f"{path}/postings")
-    found.groupBy("folder", "term").agg(F.sum(F.size("ranks")).alias("rows")).write.parquet(f"{path}/terms")
+    found.groupBy("folder", "term").agg(F.count("*").alias("rows")).write.parquet(f"{path}/terms")
     return path
 
 
@@ -79,7 +85,7 @@ class Index:
         else:
             read = base.parquet(*sorted({f"{self.path}/postings/folder={folder}" for folder, _ in found}))
             hits = read.where(F.col("term").isin([term for _, term in found]))
-        return hits.select("block", F.explode("ranks").alias("rank")).distinct()
+        return hits.select("block", "rank").distinct()
 
     def search(self, query: str, limit: int = 10, **equal: str | None) -> DataFrame:
         """The newest ``limit`` rows that contain every word of ``query`` and have the given values; newest first."""

@@ -334,3 +334,16 @@ def test_indexed_search_equals_reading_all(spark, tmp_path):
     assert folders == {str(folder) for folder, _ in index.terms("able")} and len(folders) == 1
     empty = searchindex.build(df.limit(0), str(tmp_path / "none"), ["title", "description"], "created_at")
     assert searchindex.Index(spark, empty).search("query").count() == 0
+
+
+def test_postings_of_a_folder_are_laid_out_by_several_tasks(spark, tmp_path, monkeypatch, twelve_parts):
+    """A folder was the work of one task, however many rows there were."""
+    monkeypatch.setattr(searchindex, "FILE_ROWS", 20, raising=False)
+    rows = [(i, f"query {i % 7}", "slow plan", "bug", START + timedelta(minutes=i)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, title string, description string, issue_type string, created_at timestamp_ntz")
+    path = searchindex.build(df, str(tmp_path / "index"), ["title", "description"], "created_at", block=8, folders=2)
+    found = spark.read.parquet(f"{path}/postings").withColumn("file", F.input_file_name())
+    files = {r["folder"]: r["n"] for r in found.groupBy("folder").agg(F.countDistinct("file").alias("n")).collect()}
+    assert max(files.values()) >= 4
+    assert found.count() == 400 * 4 and found.select("term", "rank").distinct().count() == 400 * 4
+    assert [r["id"] for r in searchindex.Index(spark, path).search("query 3").collect()] == [i for i in range(399, 0, -1) if i % 7 == 3][:10]
