@@ -210,3 +210,51 @@ def test_toxicity_uses_every_language_of_the_sample(monkeypatch):
     assert full.lang_log is not None and full.thresholds == model.thresholds
     assert full.scores(texts).tolist() == model.scores(texts).tolist()
     assert len({*model.thresholds.values()}) > 1
+
+
+def test_toxicity_learns_from_all_documents(spark, monkeypatch):
+    """Word counts, parameters and thresholds beyond the documents that training starts with."""
+    r = random.Random(6)
+    vocab = [f"w{chr(97 + i % 26)}{i}" for i in range(200)]
+    docs, marks = [], []
+    for i in range(1500):
+        toxic = int(i % 3 == 0)
+        docs.append((i, " ".join(r.choices(vocab, k=20) + ["vilething"] * toxic), "en" if i % 50 else f"l{i // 50 % 5}"))
+        marks.append((i, 1, toxic))
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    marks = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    start = toxicity.sample(docs, marks, per_class=20).collect()
+    assert len({x["lang"] for x in start}) < 6
+    monkeypatch.setattr(toxicity, "PIECE", 200)
+    model = toxicity.fit(docs, marks, per_class=20)
+    used = docs.where("crc32(cast(doc_id as string)) % 5 <> 0").collect()
+    assert model.langs == sorted({x["lang"] for x in used}) and len(model.langs) == 6
+    assert sorted(model.thresholds) == model.langs
+    rest = docs.where("crc32(cast(doc_id as string)) % 5 = 0").collect()
+    found = model.scores([x["text"] for x in rest]) >= 0.5
+    assert (found == np.array([x["doc_id"] % 3 == 0 for x in rest])).mean() > 0.95
+    # counts of the guess: every word of the documents that are not set apart
+    marked = {x["doc_id"]: x["mark"] for x in toxicity._marked(marks).collect()}
+    learned = [x for x in used if int(marked[x["doc_id"]] * (1 << 30)) % toxicity.HOLD]
+    cells = [toxicity.features([x["text"]])[0] for x in learned]
+    want = toxicity.ToxicityModel()
+    toxicity._learn_langs(want, cells, [x["lang"] for x in learned])
+    assert want.langs == model.langs and np.array_equal(want.lang_log, model.lang_log)
+    # the order in which rows come is no matter
+    again = toxicity.fit(docs.repartition(7), marks.repartition(3), per_class=20)
+    texts = [x["text"] for x in rest]
+    assert np.array_equal(again.scores(texts), model.scores(texts))
+    # all in the start: nothing more to learn from
+    assert toxicity.sample(docs, marks, per_class=1500).count() == len(used)
+
+
+def test_toxicity_cut_of_counts():
+    r = np.random.default_rng(3)
+    for _ in range(50):
+        steps, labels = r.integers(-30, 30, 40), r.random(40) < 0.5
+        every = np.unique(steps)
+        bad, good = (np.array([(labels[steps == s] == want).sum() for s in every]) for want in (True, False))
+        cut = toxicity._best_step(every, bad, good)
+        by_row = toxicity._best_cut((steps + 0.5) / toxicity.STEPS, labels)
+        assert ((steps / toxicity.STEPS >= cut) == (steps / toxicity.STEPS >= by_row)).all()
+    assert toxicity._best_step(np.array([1, 2]), np.array([1, 1]), np.array([0, 0])) is None
