@@ -14,7 +14,9 @@ miss their partner.
 
 The successor of a document (by doc_id, then text) may lie in another partition: documents are dealt to ranges of
 doc_id, and the first document of each range is also given to the range before. Ranges come from quantiles of doc_id, so
-one shuffle moves the texts, and no range grows with the table beyond its share.
+one shuffle moves the texts, and no range grows with the table beyond its share. Tasks pack the texts that they have for
+a range and compress them, so the shuffle is smaller than the texts however finely they are dealt; Spark sorts them
+after it.
 
 Cases: NULL text is an empty text; a text shorter than ``K`` has one anchor, its whole; an empty text has none; two
 fingerprints without anchors are alike (1.0), one without and one with are not (0.0). NULL doc_ids sort first; repeated
@@ -41,6 +43,9 @@ K = 10
 S = 4
 #: Rows that one range of doc_id should hold.
 RANGE_ROWS = 4_000
+#: Bytes of texts that a task holds to pack them by range, and that it unpacks together.
+PACKED_BYTES = 1 << 25
+UNPACKED_BYTES = 1 << 22
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 _NULL_ID = -(1 << 63)
@@ -194,6 +199,61 @@ def _bounds(docs: DataFrame, range_rows: int) -> list[int]:
     return sorted(set(got))
 
 
+_ROW = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("lent", pa.int32())])
+_DEALT = "doc_id long, text string, lent int, range int"
+_PACKED = "range int, size int, data binary"
+_CODEC = "zstd"
+
+
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows in tables of about ``PACKED_BYTES``; a larger batch makes a table of its own."""
+    some: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        if some and size + batch.nbytes > PACKED_BYTES:
+            yield pa.Table.from_batches(some)
+            some, size = [], 0
+        some.append(batch)
+        size += batch.nbytes
+    if some:
+        yield pa.Table.from_batches(some)
+
+
+def _packed(table: pa.Table, which: np.ndarray, to: np.ndarray, n_own: int) -> pa.RecordBatch:
+    """Rows ``which`` of a table, the first ``n_own`` of them not lent, as one compressed row for each range in ``to``."""
+    order = np.argsort(to, kind="stable")
+    to, sorted_rows = to[order], table.take(pa.array(which[order]))
+    columns = [sorted_rows.column("doc_id"), sorted_rows.column("text"), pa.array((order >= n_own).astype(np.int32))]
+    whole = pa.table([c.cast(kind) for c, kind in zip(columns, _ROW.types, strict=True)], schema=_ROW).combine_chunks()
+    starts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]])).tolist()
+    ranges, sizes, data = [], [], []
+    for start, end in zip(starts, [*starts[1:], len(to)], strict=True):
+        for batch in whole.slice(start, end - start).to_batches():
+            plain = batch.serialize()
+            ranges.append(int(to[start]))
+            sizes.append(plain.size)
+            data.append(pa.compress(plain, _CODEC, asbytes=True))
+    columns = [pa.array(ranges, pa.int32()), pa.array(sizes, pa.int32()), pa.array(data, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["range", "size", "data"])
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    some: list[pa.RecordBatch] = []
+    held = 0
+    for batch in batches:
+        for number, size, data in zip(*(batch.column(c) for c in ("range", "size", "data")), strict=True):
+            rows = pa.ipc.read_record_batch(pa.decompress(data.as_buffer(), size.as_py(), _CODEC), _ROW)
+            some.append(rows.append_column("range", pa.repeat(number, rows.num_rows)))
+            held += size.as_py()
+            if held > UNPACKED_BYTES:
+                yield from pa.Table.from_batches(some).combine_chunks().to_batches()
+                some, held = [], 0
+    if some:
+        yield from pa.Table.from_batches(some).combine_chunks().to_batches()
+
+
 _SCHEMA = (
     "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string,"
     " near_edited double, near_next double"
@@ -215,17 +275,22 @@ def compared(docs: DataFrame, range_rows: int = RANGE_ROWS) -> DataFrame:
     # one row per range: at most 100,001
     begin = {r["range"]: r["low"] for r in firsts.collect()}
     used = sorted(begin)
-    before = {k: used[i - 1] for i, k in enumerate(used)}  # the last range precedes the first
-
-    @F.pandas_udf("array<int>")
-    def places(ids: pd.Series) -> pd.Series:
-        """The range of an id and, for the first id of a range, the range before it as well."""
-        at = np.searchsorted(bounds, ids.to_numpy(), side="right")
-        return pd.Series([[k, before[k]] if begin.get(k) == i else [k] for k, i in zip(at.tolist(), ids.tolist(), strict=True)])
+    lowest, before = np.zeros((2, len(bounds) + 1), np.int64)
+    lowest[used] = [begin[k] for k in used]
+    before[used] = used[-1:] + used[:-1]  # the last range precedes the first
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows go to the range of their id and, with the first id of a range, to the range before it as well."""
+        for table in _gathered(batches):
+            ids = table.column("doc_id").fill_null(_NULL_ID).to_numpy()
+            held = np.searchsorted(bounds, ids, side="right")
+            lent = np.flatnonzero(lowest[held] == ids)
+            which, to = np.concatenate([np.arange(len(ids)), lent]), np.concatenate([held, before[held[lent]]])
+            yield _packed(table, which, to, len(ids))
 
-    dealt = rows.select("doc_id", "text", F.posexplode(places(low)).alias("lent", "range"))
     # Each range has a partition of its own, where hashes of range numbers would bring some together.
-    ordered = dealt.repartitionById(len(bounds) + 1, F.col("range")).sortWithinPartitions("range", "lent", "doc_id", "text")
+    packed = rows.mapInArrow(dealt, _PACKED).repartitionById(len(bounds) + 1, F.col("range"))
+    ordered = packed.mapInArrow(_unpacked, _DEALT).sortWithinPartitions("range", "lent", "doc_id", "text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: tuple | None = None  # (range, doc_id, text, print) whose next row has not come yet

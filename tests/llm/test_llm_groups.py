@@ -455,6 +455,31 @@ def test_syncmer_edges(spark, range_rows):
     assert one["near_next"] == 1.0
 
 
+def _shuffled_bytes(df):
+    """Bytes of the rows that the largest shuffle of a collected frame has moved, before Spark's own compression."""
+    waiting, found = [df._jdf.queryExecution().executedPlan()], [0]
+    while waiting:
+        node = waiting.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.executedPlan()
+        if node.nodeName().endswith("QueryStage"):
+            node = node.plan()
+        if node.nodeName() == "Exchange":
+            found.append(node.metrics().apply("dataSize").value())
+        children = node.children()
+        waiting.extend(children.apply(i) for i in range(children.size()))
+    return max(found)
+
+
+@pytest.mark.parametrize("range_rows", [8, 1_000])
+def test_texts_are_dealt_to_ranges_compressed(spark, sf_dir, range_rows):
+    docs = table(spark, sf_dir, "documents")
+    size = docs.selectExpr("sum(octet_length(text))").first()[0]
+    got = syncmers.compared(docs, range_rows)
+    assert len(got.collect()) == docs.count()
+    assert 0 < _shuffled_bytes(got) < 0.7 * size
+
+
 def test_likeness_tells_edits_from_others(spark, sf_dir):
     rows = syncmers.compared(table(spark, sf_dir, "documents")).where("n_chars > 200").collect()
     assert np.mean([x["near_edited"] >= 0.5 for x in rows]) > 0.98
