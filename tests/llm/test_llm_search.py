@@ -3,12 +3,15 @@
 import math
 import random
 import re
+import weakref
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from evenkeel import session
 from evenkeel.llm import lexical, neighbours, whitening
 from evenkeel.llm.common import table
 
@@ -267,6 +270,40 @@ def test_blocks_of_any_size(spark, corpus):
     assert best(many).__len__() == best(one).__len__() and best(many) == best(one)
 
 
+def test_a_task_holds_one_block_at_a_time(spark, corpus):
+    docs, items = corpus
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    n_docs, n_terms = lexical.totals(d)
+    blocks = lexical.index(d.repartition(40), n_docs, n_terms)
+    asked = lexical.weighted(i, blocks, n_docs)
+    met = lexical.met(blocks, asked)
+    lanes = [r["n"] for r in met.where("turn is not null").groupBy("lane").agg(F.count("*").alias("n")).collect()]
+    assert sum(lanes) == blocks.count() and min(lanes) > 1
+
+    def most(batches):
+        for batch in batches:
+            yield batch.slice(0, 1).select(["lane"]).append_column("blocks", pa.array([len(batch) - batch["turn"].null_count]))
+
+    with session.arrow_bytes(spark, 1):
+        assert {r["blocks"] for r in met.mapInArrow(most, "lane int, blocks long").collect()} == {0, 1}
+
+    held = []
+
+    def one_by_one():
+        # as Spark hands them over in one task
+        for row in met.where("lane = 0").toArrow().to_batches(max_chunksize=1):
+            assert all(ref() is None for ref in held)
+            row = pa.RecordBatch.from_pydict(row.to_pydict(), row.schema)
+            held.append(weakref.ref(row))
+            yield row
+            del row
+
+    got = pa.Table.from_batches(lexical._searched_in_turn(one_by_one(), 20)).to_pylist()
+    own = blocks.join(met.where("lane = 0 and turn is not null").select("ids"), "ids", "left_semi")
+    want = lexical._searched(own.toArrow(), asked.toArrow(), 20).to_pylist()
+    assert len(held) > 2 and got and sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_registered_searches(spark, sf_dir):
     vectors = [(r["vec_id"], r["embedding"]) for r in table(spark, sf_dir, "embeddings").collect()]
     _check_nearest(spark, vectors)
