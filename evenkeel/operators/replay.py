@@ -58,6 +58,7 @@ class Admissions:
         self.limits = limits
         self.times = list(times)
         self.blocked_until = blocked_until
+        self._held: list[tuple[int, int]] | None = None  # releases by reason number, until the next admission
 
     def releases(self) -> list[int | None]:
         """From when each reason no longer rejects; None when it does not now."""
@@ -68,12 +69,23 @@ class Admissions:
         return [self.blocked_until, *held]
 
     def admit(self, at: int) -> None:
+        self._held = None
         self.times = [*self.times, at][-self.limits.memory :]
         if self.limits.block_at is not None:
             first = self.limits.spans[0][1]
             if sum(1 for t in self.times if t > at - first) >= self.limits.block_at:
                 self.blocked_until = at + self.limits.block_span
 
+    def number(self, at: int) -> int:
+        """Reason number, as ``decide`` gives it, of the next row."""
+        if self._held is None:
+            self._held = [(n, r) for n, r in enumerate(self.releases(), 1) if r is not None]
+        for number, release in self._held:
+            if at < release:
+                return number
+        self.admit(at)
+        return 0
+
     def decide(self, at: np.ndarray) -> np.ndarray:
         """Reason number per row of sorted times: 0 admitted, i+1 for reason i.
 

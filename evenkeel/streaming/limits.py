@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
@@ -21,81 +22,111 @@ from evenkeel.functions import clock
 from evenkeel.operators.keys import any_null
 from evenkeel.operators.replay import ADMITTED, Admissions, Limits, reason
 
-_TIME = T.StructType([T.StructField("at", T.LongType())])
+#: Keys are dealt to so many groups by hash. A stream that goes on from its checkpoint needs the number it began with.
+GROUPS = 256
+_DATA = T.StructType([T.StructField("data", T.BinaryType())])
+State = tuple[list[int], int | None]
+
+
+def _plain(values: pd.Series) -> list:
+    """The values as Python objects; None for what is missing."""
+    held = values.tolist()
+    return [None if gone else v for v, gone in zip(held, values.isna().tolist(), strict=True)] if values.hasnans else held
 
 
 class _Limiter(StatefulProcessor):
-    """One key: rows wait, by slots of event time, until the watermark has passed their slot, and are then decided.
+    """A group of keys: rows wait, by slots of event time, until the watermark has passed their slot, and are then decided.
 
-    Kept are the latest admission times (a list), the end of a block (a value), and the rows that wait (a map by slot).
-    A timer at the end of each slot decides its rows; timers come in order of time, so decisions do, whatever order rows
-    arrived in. One more timer forgets the key when no limit looks back any longer.
+    Each key is decided on its own; a group shares the calls to the state store, which cost far more than a decision.
+    Kept are the latest admission times and the end of a block of each key (one value for all) and the rows that wait (a
+    map by slot and number, with a map of how many numbers a slot has). A timer at the end of each slot decides its rows;
+    timers come in order of time, so decisions do, whatever order rows arrived in. Keys that no limit looks back to any
+    more are forgotten with each slot; one more timer after the last slot forgets the rest.
     """
 
-    def __init__(self, keys: Sequence[str], tie: T.DataType, limits: Limits, slot: int) -> None:
-        self.keys, self.tie, self.limits, self.slot = list(keys), tie, limits, slot
+    def __init__(self, keys: Sequence[str], limits: Limits, slot: int) -> None:
+        self.keys, self.limits, self.slot = list(keys), limits, slot
         self.widest = max([w for _, w, _ in limits.spans] + [limits.block_span if limits.block_at else 0])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.times = handle.getListState("times", _TIME)
-        self.until = handle.getValueState("until", _TIME)
-        slot = T.StructType([T.StructField("slot", T.LongType())])
-        rows = T.StructType([T.StructField("at", T.ArrayType(T.LongType())), T.StructField("tie", T.ArrayType(self.tie))])
-        self.waiting = handle.getMapState("waiting", slot, rows)
+        self.states = handle.getValueState("states", _DATA)
+        slot, number = T.StructField("slot", T.LongType()), T.StructField("number", T.LongType())
+        self.numbers = handle.getMapState("numbers", T.StructType([slot]), T.StructType([number]))
+        self.waiting = handle.getMapState("waiting", T.StructType([slot, number]), _DATA)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        for piece in rows:  # a key's rows of a micro-batch come in pieces and are never held together
+        for piece in rows:  # a group's rows of a micro-batch come in pieces and are never held together
             for slot, some in piece.groupby(piece["at_us"] // self.slot, sort=False):
-                at, ties = some["at_us"].tolist(), some["row_tie"].tolist()
-                if self.waiting.containsKey((int(slot),)):
-                    before = self.waiting.getValue((int(slot),))
-                    at, ties = [*before[0], *at], [*before[1], *ties]
+                slot, number = int(slot), 0
+                if self.numbers.containsKey((slot,)):
+                    number = int(self.numbers.getValue((slot,))[0])
                 else:
-                    self.handle.registerTimer(self._end(int(slot)))
-                self.waiting.updateValue((int(slot),), ([int(t) for t in at], ties))
+                    self.handle.registerTimer(self._end(slot))
+                columns = [_plain(some[c]) for c in (*self.keys, "row_tie", "at_us")]
+                self.waiting.updateValue((slot, number), (pickle.dumps(columns),))
+                self.numbers.updateValue((slot,), (number + 1,))
         return iter(())
 
     def _end(self, slot: int) -> int:
         return -(-(slot + 1) * self.slot // 1000)
 
+    def _forget_after(self, slot: int) -> None:
+        """A timer, beside that of any slot, when nothing of a slot bears on later rows."""
+        self.handle.registerTimer(self._end(slot - (-self.widest // self.slot)) + 1)
+
+    def _known(self, since: int) -> dict[tuple, State]:
+        """State of the keys that bear on rows from a time on."""
+        if not self.states.exists():
+            return {}
+        held = pickle.loads(self.states.get()[0])
+        return {k: (t, u) for k, (t, u) in held.items() if t and t[-1] + self.widest > since or u is not None and u > since}
+
+    def _keep(self, known: dict[tuple, State]) -> None:
+        if known:
+            self.states.update((pickle.dumps(known),))
+        else:
+            self.states.clear()
+
     def handleExpiredTimer(
         self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo
     ) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs()
-        slot = (now * 1000 // self.slot - 1,)
-        if not self.waiting.containsKey(slot):
-            if not any(True for _ in self.waiting.keys()):  # the last timer: nothing bears on later rows
-                self.times.clear()
-                self.until.clear()
+        slot = now * 1000 // self.slot - 1
+        if not self.numbers.containsKey((slot,)):  # the last timer of some slot
+            self._keep(self._known(now * 1000))
             return
-        at, ties = self.waiting.getValue(slot)
-        self.waiting.removeKey(slot)
-        rows = sorted(zip(at, ties, strict=True), key=lambda r: (r[0], r[1] is not None, r[1]))
-        state = Admissions(
-            self.limits, [r[0] for r in self.times.get()], self.until.get()[0] if self.until.exists() else None
-        )
-        table = pd.DataFrame(rows, columns=["at_us", "row_tie"])
-        number = state.decide(table["at_us"].to_numpy("int64"))
-        self.times.clear()
-        if state.times:
-            self.times.put([(int(t),) for t in state.times])
-        if state.blocked_until is not None:
-            self.until.update((int(state.blocked_until),))
-        self.handle.registerTimer(-(-(int(at[-1]) + self.widest + self.slot) // 1000) + 1)
-        yield pd.DataFrame(
-            {**{n: [k] * len(rows) for n, k in zip(self.keys, key, strict=True)}, "row_tie": table["row_tie"],
-             "at_us": table["at_us"], "number": number}
-        )
+        rows: list[tuple] = []
+        for number in range(int(self.numbers.getValue((slot,))[0])):
+            *keys, ties, at = pickle.loads(self.waiting.getValue((slot, number))[0])
+            rows += zip(zip(*keys, strict=True), at, ties, strict=True)
+            self.waiting.removeKey((slot, number))
+        self.numbers.removeKey((slot,))
+        rows.sort(key=lambda r: (r[1], r[2] is not None, r[2]))
+        known = self._known(slot * self.slot)
+        states: dict[tuple, Admissions] = {}
+        numbers = []
+        for one, at, _ in rows:
+            one = tuple(None if v != v else v for v in one)  # noqa: PLR0124 (NaN is a key like others; NULL is none)
+            if one not in states:
+                states[one] = Admissions(self.limits, *known.get(one, ((), None)))
+            numbers.append(states[one].number(at))
+        known.update((one, (state.times, state.blocked_until)) for one, state in states.items())
+        self._keep(known)
+        self._forget_after(slot)
+        named = dict(zip(self.keys, zip(*(r[0] for r in rows), strict=True), strict=True))
+        ties = pd.Series([r[2] for r in rows], dtype=object)  # numbers stay whole beside a NULL
+        yield pd.DataFrame({**named, "row_tie": ties, "at_us": [r[1] for r in rows], "number": numbers})
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
-        times = [int(t) for t in initialState["times"].iloc[0]]
-        until = initialState["until"].iloc[0]
-        if times:
-            self.times.put([(t,) for t in times])
-            self.handle.registerTimer(-(-(times[-1] + self.widest) // 1000) + 1)
-        if not pd.isna(until):
-            self.until.update((int(until),))
+        known = pickle.loads(self.states.get()[0]) if self.states.exists() else {}
+        keys = zip(*(_plain(initialState[k]) for k in self.keys), strict=True)
+        for one, times, until in zip(keys, initialState["times"], initialState["until"], strict=True):
+            times = [int(t) for t in times]
+            known[tuple(None if v != v else v for v in one)] = times, None if pd.isna(until) else int(until)  # noqa: PLR0124
+            if times:
+                self._forget_after(times[-1] // self.slot)
+        self._keep(known)
 
     def close(self) -> None:
         pass
@@ -116,8 +147,9 @@ def stream_limits(
     Rows are decided when the watermark, ``delay`` behind the latest row, has passed
     their ``slot`` of time (microseconds), in order of time and tie. So decisions are
     those of the batch replay whatever order rows come in and however batches are cut;
-    rows that are later than ``delay`` are dropped. Memory holds the rows of a key in
-    one slot, and state those that wait. A key's state goes when no limit looks back
+    rows that are later than ``delay`` are dropped. Keys are dealt to ``GROUPS`` by
+    hash; memory holds the rows of a group in one slot and the latest admissions of
+    its keys, and state the rows that wait. A key's state goes when no limit looks back
     to it any more. ``seed`` (from ``states_after``) lets a stream go on where a batch
     replay has ended. Rows without a key are admitted at once, rows without a time
     are left out. The stream is to be started within ``session.rocksdb_state`` (or
@@ -136,17 +168,17 @@ def stream_limits(
         [*(T.StructField(k, kinds[k]) for k in keys), T.StructField("row_tie", kinds["row_tie"]),
          T.StructField("at_us", T.LongType()), T.StructField("number", T.LongType())]
     )
-    grouped = narrow.where(~any_null(keys)).withWatermark("event_time", delay).groupBy(*keys)
+    group = F.pmod(F.xxhash64(*keys), F.lit(GROUPS)).cast("int").alias("_group")
+    grouped = narrow.where(~any_null(keys)).withWatermark("event_time", delay).select("*", group).groupBy("_group")
+    if seed is not None:  # a hash depends on the type
+        typed = seed.select(*(F.col(k).cast(kinds[k]).alias(k) for k in keys), "times", "until")
+        seed = typed.select("*", group).groupBy("_group")
     # A Python process of the driver loads the processor too, and that one gets neither the paths of the driver's own
     # Python nor the files of addPyFile: so the code goes with it instead of being imported there.
     cloudpickle.register_pickle_by_value(evenkeel)
     try:
         decided = grouped.transformWithStateInPandas(
-            _Limiter(keys, kinds["row_tie"], limits, slot),
-            schema,
-            "append",
-            "EventTime",
-            initialState=None if seed is None else seed.select(*keys, "times", "until").groupBy(*keys),
+            _Limiter(keys, limits, slot), schema, "append", "EventTime", initialState=seed
         )
     finally:
         cloudpickle.unregister_pickle_by_value(evenkeel)

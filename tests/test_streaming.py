@@ -9,6 +9,7 @@ from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from evenkeel.functions import clock
 from evenkeel.operators import diff, replay
@@ -185,6 +186,55 @@ def test_copies_are_suppressed_from_the_last_accepted(spark, tmp_path, minutes,
     assert sorted(r["id"] for r in got.where(F.col("decision") == "admitted").collect()) == kept
 
 
+class _StateCalls(StreamingQueryListener):
+    """Timers that stateful processors have set; each costs the calls that read, decide and keep what it is for."""
+
+    timers = 0
+
+    def onQueryStarted(self, event):
+        pass
+
+    def onQueryProgress(self, event):
+        self.timers += sum(op.customMetrics.get("numRegisteredTimers", 0) for op in event.progress.stateOperators)
+
+    def onQueryIdle(self, event):
+        pass
+
+    def onQueryTerminated(self, event):
+        pass
+
+
+def test_keys_of_a_group_share_their_timers(spark, tmp_path):
+    rule = replay.Limits(spans=(("hour", clock.HOUR, 1), ("day", clock.DAY, 2)))
+    rows = [(i, f"s{i % 2500}", START + timedelta(minutes=30 * (i // 2500), seconds=i % 60)) for i in range(10_000)]
+    calls = _StateCalls()
+    spark.streams.addListener(calls)
+    stream = _stream(spark, str(tmp_path / "in"), [rows[5_000:], rows[:5_000]])
+    decided = limits.stream_limits(stream, ["session_id"], "created_at", "id", rule, slot=clock.DAY)
+    got = _decisions(feeds.drain(decided, workspace(spark)))
+    spark.streams.removeListener(calls)
+    twin = replay.replay(spark.createDataFrame(rows, SUBMITTED), ["session_id"], "created_at", "id", rule)
+    assert got == _decisions(twin) and len(got) == 10_000
+    assert 0 < calls.timers <= 2 * (limits.GROUPS + 1)  # the end of the slot, and when it is forgotten
+
+
+def test_keys_and_ties_of_other_types(spark, tmp_path):
+    rule = replay.Limits(spans=(("hour", clock.HOUR, 1),))
+    schema = "id string, user long, score double, created_at timestamp_ntz"
+    nan = float("nan")
+    rows = [("b", 1, nan, START), (None, 1, nan, START), ("c", 1, nan, START + timedelta(hours=1)), ("d", 2**60 + 1, -0.0, START)]
+    rows += [("e", 2**60 + 1, 0.0, START), ("f", 2**60, 0.0, START), ("g", None, 0.0, START)]
+    end = [("closing", -1, 0.0, START + timedelta(days=900))]
+    path = write_files(spark, str(tmp_path / "in"), [rows, end], schema)
+    stream = feeds.file_stream(spark, path, schema, files_per_batch=1)
+    decided = limits.stream_limits(stream, ["user", "score"], "created_at", "id", rule)
+    got = feeds.drain(decided, workspace(spark)).where("id is null or id <> 'closing'").collect()
+    assert {(r["id"], r["user"]): r["decision"] for r in got} == {
+        (None, 1): "admitted", ("b", 1): "hour", ("c", 1): "admitted", ("d", 2**60 + 1): "admitted", ("e", 2**60 + 1): "hour",
+        ("f", 2**60): "admitted", ("g", None): "admitted",
+    }
+
+
 ELSEWHERE = """
 import sys
 sys.path.insert(0, {root!r})
