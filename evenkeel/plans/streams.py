@@ -205,7 +205,7 @@ def _submissions(spark: SparkSession, sf_dir: str, path: str) -> tuple[DataFrame
     dealt = log.withColumn("turn", F.when(late, turn + 1).otherwise(turn))
     closing = spark.sql(f"select -1L as id, 'closing' as session_id, 'closing' as submission_type, timestamp_ntz '{CLOSING}' as created_at")
     for n in range(_BATCHES):
-        dealt.where(F.col("turn") == n).drop("turn").coalesce(1).write.parquet(f"{path}/in/turn={n}")
+        dealt.where(F.col("turn") == n).drop("turn").repartition(1).write.parquet(f"{path}/in/turn={n}")
     closing.coalesce(1).write.parquet(f"{path}/in/turn={_BATCHES}")
     return feeds.file_stream(spark, f"{path}/in/*", closing.schema, files_per_batch=1), f"{(2 * width).days + 1} days"
 

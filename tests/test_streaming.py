@@ -218,6 +218,21 @@ def test_keys_of_a_group_share_their_timers(spark, tmp_path):
     assert 0 < calls.timers <= 2 * (limits.GROUPS + 1)  # the end of the slot, and when it is forgotten
 
 
+def test_copies_of_a_group_share_their_timers(spark, tmp_path):
+    schema = "id long, session_id string, submission_type string, created_at timestamp_ntz"
+    rows = [(i, f"s{i % 1400 // 2}", "ab"[i % 2], START + timedelta(hours=11 * (i // 1400))) for i in range(4_200)]
+    end = [(-1, "closing", "", START + timedelta(days=900))]
+    calls = _StateCalls()
+    spark.streams.addListener(calls)
+    path = write_files(spark, str(tmp_path / "in"), [rows, end], schema)
+    stream = feeds.file_stream(spark, path, schema, files_per_batch=1)
+    found = limits.stream_distinct(stream, ["session_id", "submission_type"], "created_at", "id", 12 * 60, slot=clock.DAY)
+    got = _decisions(feeds.drain(found, workspace(spark)))
+    spark.streams.removeListener(calls)
+    assert got == {i: ("admitted", "duplicate", "admitted")[i // 1400] for i in range(4_200)}
+    assert 0 < calls.timers <= 2 * (limits.GROUPS + 1)
+
+
 def test_keys_and_ties_of_other_types(spark, tmp_path):
     rule = replay.Limits(spans=(("hour", clock.HOUR, 1),))
     schema = "id string, user long, score double, created_at timestamp_ntz"
